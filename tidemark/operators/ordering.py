@@ -123,3 +123,32 @@ def ordered_fold(
             yield finish(current, state)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+GROUP_LIMIT = 1000  # up to this Spark itself prunes each task to the first n per group
+
+
+def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, rank: str = "rank") -> DataFrame:
+    """The first ``n`` rows per key in order, numbered from 1.
+
+    Every task keeps at most ``n`` rows per key before the shuffle. Above
+    Spark's own pruning threshold the group is first ranked in salted parts,
+    each of which contains its share of the final rows.
+    """
+    if n <= 0:
+        return df.withColumn(rank, F.lit(0)).limit(0)
+    if n > GROUP_LIMIT:
+        salt = F.pmod(F.xxhash64(*_hashable(df)), F.lit(64))
+        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        df = (
+            df.withColumn("_salt", salt)
+            .withColumn("_r", F.row_number().over(part))
+            .filter(F.col("_r") <= n)
+            .drop("_salt", "_r")
+        )
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(rank, F.row_number().over(whole)).filter(F.col(rank) <= n)
+
+
+def _hashable(df: DataFrame) -> list[str]:
+    return [name for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
