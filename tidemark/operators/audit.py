@@ -112,7 +112,7 @@ def counts_by(df: DataFrame, **dimensions: Column) -> DataFrame:
     names = list(dimensions)
     keyed = df.select(*[c.cast("string").alias(n) for n, c in dimensions.items()])
     # one grouping set per dimension keeps the partial aggregate at O(distinct values)
-    grouped = keyed.groupingSets([[keyed[n]] for n in names], *[keyed[n] for n in names]).agg(
+    grouped = keyed.groupingSets([[F.col(n)] for n in names], *[F.col(n) for n in names]).agg(
         F.grouping_id(*names).alias("_gid"), F.count("*").alias("events")
     )
     full = (1 << len(names)) - 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["audit", "access", "retrieval", "documents"]
+MODULES = ["audit", "access", "retrieval", "documents", "records", "streams"]
 
 
 def collect() -> tuple[dict, dict]:

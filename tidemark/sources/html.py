@@ -26,10 +26,14 @@ COUNTED = {
 }
 
 
-@F.pandas_udf("string")
-def unescape(texts: pd.Series) -> pd.Series:
+def unescape(text: Column) -> Column:
     """Character references to characters (the full HTML table of the standard library)."""
-    return texts.map(lambda t: _html.unescape(t) if t is not None and "&" in t else t)
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _html.unescape(t) if t is not None and "&" in t else t)
+
+    return run(text)
 
 
 def clean(html: Column) -> Column:
