@@ -61,7 +61,7 @@ def stream_ttl_store(spark, sf_dir):
     sink, ckpt = _paths(spark, "ttl")
     entries = _events(spark, sf_dir).select(F.concat(F.lit("k"), "source").alias("key"), F.col("props").alias("value"), F.col("timestamp").alias("created_at"))
     with st.rocksdb(spark):
-        st.update_into(st.stream_ttl_store(entries, 3600), sink, ckpt).awaitTermination()
+        st.update_into(st.stream_ttl_store(entries, 3600, lateness=LATE), sink, ckpt).awaitTermination()
     return st.latest(spark, sink, "key string, value string, created_us bigint, expires_us bigint", ["key"])
 
 

@@ -145,11 +145,11 @@ class RateProcessor(StatefulProcessor):
         self.state = handle.getValueState("limits", "accepted array<bigint>, blocked_until bigint, last_ms bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        data = _batches(rows).sort_values(["_at", self.tie])
+        data = _batches(rows).sort_values(["at_us", self.tie])
         stored = self.state.get() if self.state.exists() else None
         client = ClientState(stored[0], stored[1]) if stored else ClientState()
-        verdicts = decide(client, data["_at"].tolist(), self.config)
-        last = int(data["_at"].iloc[-1]) // 1000
+        verdicts = decide(client, data["at_us"].tolist(), self.config)
+        last = int(data["at_us"].iloc[-1]) // 1000
         self.state.update((list(client.accepted), client.blocked_until, max(last, stored[2] if stored else 0)))
         idle = max(self.IDLE_MS, self.config.memory * 1000)
         self.handle.registerTimer(last + idle)
@@ -170,7 +170,7 @@ def stream_rate_limit(
 ) -> DataFrame:
     """(client, id, verdict) as in the batch operator; rows are ordered inside each micro-batch."""
     kinds = dict(stream.dtypes)
-    timed = event_time(stream, lateness=lateness).select(client, tie, "timestamp", micros(F.col("timestamp")).alias("_at"))
+    timed = event_time(stream, lateness=lateness).select(client, tie, "timestamp", micros(F.col("timestamp")).alias("at_us"))
     return timed.groupBy(client).transformWithStateInPandas(
         RateProcessor(config, client, tie),
         f"{client} {kinds[client]}, {tie} {kinds[tie]}, verdict string",
@@ -180,42 +180,49 @@ def stream_rate_limit(
 
 
 class TtlProcessor(StatefulProcessor):
-    """Newest value of a key, dropped by the state store when its time is up."""
+    """Newest value of a key; a timer drops it once the watermark is past its expiry."""
 
     def __init__(self, key: str, ttl_seconds: int):
         self.key, self.ttl = key, ttl_seconds
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("entry", "value string, at bigint", ttlDurationMs=self.ttl * 1000)
+        self.handle = handle
+        self.state = handle.getValueState("entry", "value string, at_us bigint")
 
     def handleInputRows(self, key, rows, timerValues):
         value, at = (self.state.get() if self.state.exists() else (None, None))
         changed = False
         for batch in rows:
-            newest = batch.loc[batch["_at"].idxmax()]
-            if at is None or newest["_at"] >= at:
-                value, at, changed = newest["value"], int(newest["_at"]), True
+            newest = batch.loc[batch["at_us"].idxmax()]
+            if at is None or newest["at_us"] >= at:
+                value, at, changed = newest["value"], int(newest["at_us"]), True
         if changed:
             self.state.update((value, at))
+            self.handle.registerTimer(at // 1000 + self.ttl * 1000)
             yield pd.DataFrame({self.key: [key[0]], "value": [value], "created_us": [at], "expires_us": [at + self.ttl * MICROS]})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        # a newer value has its own, later timer
+        if self.state.exists() and self.state.get()[1] // 1000 + self.ttl * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        yield pd.DataFrame()
+
     def close(self) -> None:
         pass
 
 
-def stream_ttl_store(stream: DataFrame, ttl_seconds: int, key: str = "key", at: str = "created_at") -> DataFrame:
+def stream_ttl_store(stream: DataFrame, ttl_seconds: int, key: str = "key", at: str = "created_at", lateness: str = LATENESS) -> DataFrame:
     """Changes of the store: (key, value, created_us, expires_us), newest value per key.
 
-    The state itself expires in processing time; readers compare ``expires_us``
-    with their own clock.
+    Expiry follows event time, so that replays give the same store.
     """
     kind = dict(stream.dtypes)[key]
-    timed = stream.select(key, "value", micros(F.col(at)).alias("_at"))
+    timed = event_time(stream, at, lateness).select(key, "value", at, micros(F.col(at)).alias("at_us"))
     return timed.groupBy(key).transformWithStateInPandas(
         TtlProcessor(key, ttl_seconds),
         f"{key} {kind}, value string, created_us bigint, expires_us bigint",
         "Update",
-        "ProcessingTime",
+        "EventTime",
     )
 
 
