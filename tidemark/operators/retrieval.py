@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.embedding import Embedder, embed
 from tidemark.functions.text import chunk_text
 from tidemark.operators.ordering import first_n
+from tidemark.session import cut_lineage
 
 # ------------------------------------------------------------- pair scores
 
@@ -125,6 +126,8 @@ def vector_search(
     # a distance threshold is an upper bound on the squared distance
     floor = threshold if threshold is None or metric == "cosine" else -threshold
 
+    # written once, so that measuring the queries does not compute them again
+    queries = cut_lineage(queries)
     size = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
     if size[1] <= query_values:
         rows = queries.orderBy("query_id").collect()  # bounded by query_values

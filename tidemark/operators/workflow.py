@@ -33,21 +33,20 @@ def dag_levels(steps: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     hangs on them) gets a null level. Only open steps and edges are carried
     into the next round, through the shared checkpoint folder.
     """
-    open_steps = cut_lineage(steps.select(*STEP).distinct())
+    open_steps = steps.select(*STEP).distinct()
     edges = cut_lineage(dependencies(steps))
-    settled, left = [], open_steps.count()
+    settled = []
     for level in range(max_rounds):
-        if not left:
+        waiting = edges.select(*STEP).distinct().withColumn("_waits", F.lit(True))
+        tagged = cut_lineage(open_steps.join(waiting, STEP, "left"))
+        ready = tagged.filter(F.col("_waits").isNull()).select(*STEP)
+        open_steps = tagged.filter(F.col("_waits").isNotNull()).select(*STEP)
+        if ready.isEmpty():
             break
-        ready = open_steps.join(edges.select(*STEP).distinct(), STEP, "left_anti")
-        ready = cut_lineage(ready.withColumn("level", F.lit(level)))
-        n = ready.count()
-        if not n:
+        settled.append(ready.withColumn("level", F.lit(level)))
+        if open_steps.isEmpty():
             break
-        settled.append(ready)
-        left -= n
-        open_steps = cut_lineage(open_steps.join(ready, STEP, "left_anti"))
-        parents = ready.select("workflow_id", F.col("step_id").alias("depends_on"))
+        parents = ready.withColumnRenamed("step_id", "depends_on")
         edges = cut_lineage(edges.join(parents, ["workflow_id", "depends_on"], "left_anti").select(*STEP, "depends_on"))
     else:
         raise RuntimeError(f"more than {max_rounds} levels")
@@ -71,22 +70,26 @@ def propagate_status(steps: DataFrame, results: DataFrame, max_rounds: int = 10_
     as_parent = failed.select("workflow_id", F.col("step_id").alias("parent"))
     to_failed = edges.join(as_parent, ["workflow_id", "parent"])
 
-    undecided = cut_lineage(failed)
-    inner = cut_lineage(to_failed.join(failed, STEP, "left_semi"))
+    undecided, inner = failed, cut_lineage(to_failed.join(failed, STEP, "left_semi"))
     final_failed = []
     for _ in range(max_rounds):
-        # no open failed parent: the step itself runs and fails
-        ready = cut_lineage(undecided.join(inner.select(*STEP).distinct(), STEP, "left_anti"))
+        # without an open failed parent the step itself runs and fails
+        waiting = inner.select(*STEP).distinct().withColumn("_waits", F.lit(True))
+        tagged = cut_lineage(undecided.join(waiting, STEP, "left"))
+        ready = tagged.filter(F.col("_waits").isNull()).select(*STEP)
         if ready.isEmpty():
             break
         final_failed.append(ready)
-        parents = ready.select("workflow_id", F.col("step_id").alias("parent"))
-        skipped = cut_lineage(inner.join(parents, ["workflow_id", "parent"], "left_semi").select(*STEP).distinct())
-        done = ready.unionByName(skipped)
-        gone = done.select("workflow_id", F.col("step_id").alias("parent"))
-        undecided = cut_lineage(undecided.join(done, STEP, "left_anti"))
+        undecided = tagged.filter(F.col("_waits").isNotNull()).select(*STEP)
+        if undecided.isEmpty():
+            break
+        as_parents = ready.withColumnRenamed("step_id", "parent")
+        skipped = inner.join(as_parents, ["workflow_id", "parent"], "left_semi").select(*STEP).distinct()
+        undecided = cut_lineage(undecided.join(skipped, STEP, "left_anti"))
+        # what is left waits on parents that are themselves still undecided
+        open_parents = undecided.withColumnRenamed("step_id", "parent")
         inner = cut_lineage(
-            inner.join(gone, ["workflow_id", "parent"], "left_anti").join(done, STEP, "left_anti")
+            inner.join(open_parents, ["workflow_id", "parent"], "left_semi").join(undecided, STEP, "left_semi")
         )
     else:
         raise RuntimeError(f"more than {max_rounds} rounds of failed steps")
