@@ -10,8 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import spread
-
 
 class Embedder(Protocol):
     name: str
@@ -51,8 +49,6 @@ def embed(
 ) -> DataFrame:
     """Add an ``array<float>`` column; the embedder is called with whole batches."""
     model = embedder or HashEmbedder()
-    if not df.isStreaming:
-        df = spread(df)
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -10,7 +10,7 @@ from tidemark.operators import audit as audit_op
 from tidemark.operators import validation as val
 from tidemark.plans.audit import AUDIT, END, PERIOD, START
 from tidemark.plans.views import SQL_STAMP, audit_view, stamp
-from tidemark.session import fresh_path, table
+from tidemark.session import fresh_path, spread, table
 from tidemark.sources import files, html
 
 # ------------------------------------------------------------------- files
@@ -181,7 +181,7 @@ def audit_export(spark, sf_dir):
 
 
 def _pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", "html")
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html"))
 
 
 def html_text(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import embedding, text
 from tidemark.operators import retrieval as op
-from tidemark.session import table
+from tidemark.session import spread, table
 
 
 def _store(spark, sf_dir):
@@ -15,6 +15,10 @@ def _store(spark, sf_dir):
     )
 
 
+def _docs(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def _queries(spark, sf_dir):
     """One query per label: the vector of its smallest id."""
     return (
@@ -64,7 +68,7 @@ def _words(df, key, column):
 
 
 def sparse_dot(spark, sf_dir):
-    docs = _words(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id", "text")
+    docs = _words(_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), "id", "text")
     asked = _words(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id", "text")
     return op.sparse_search(asked, docs, k=5)
 
@@ -95,19 +99,19 @@ def chunk_fixed(spark, sf_dir):
 
 
 def chunk_sentences(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _docs(spark, sf_dir)
     return text.chunk_sentences(docs, 500).select("doc_id", "chunk_id", "chunk_index", F.md5("content").alias("content_md5"), "start_index", "end_index")
 
 
 def hash_embedding(spark, sf_dir):
-    out = embedding.hash_embed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = embedding.hash_embed(_docs(spark, sf_dir))
     part = lambda i: F.round(F.element_at("embedding", i).cast("double"), 4)
     total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
     return out.select("doc_id", F.size("embedding").alias("dim"), part(1).alias("first"), part(700).alias("middle"), part(1536).alias("last"), F.round(total, 3).alias("total"))
 
 
 def embed_column(spark, sf_dir):
-    chunks = text.chunk_text(table(spark, sf_dir, "documents").select("doc_id", "text"), 800, 0)
+    chunks = text.chunk_text(_docs(spark, sf_dir), 800, 0)
     out = embedding.embed(chunks, embedding.HashEmbedder(256), "content", batch_size=64)
     total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
     return out.select("chunk_id", F.size("embedding").alias("dim"), F.round(total, 3).alias("total"))
@@ -128,13 +132,13 @@ DIM = 1536
 
 
 def _index(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = _docs(spark, sf_dir)
     return op.build_index(docs, embedding.HashEmbedder(DIM), 1000, 100, metadata=["lang"])
 
 
 def rag_index(spark, sf_dir):
     """Index the documents, then replace those that are labelled with a shortened copy."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = _docs(spark, sf_dir)
     labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
     again = labelled.withColumn("text", F.concat(F.lit("v2 "), "text"))
     small = embedding.HashEmbedder(16)

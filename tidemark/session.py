@@ -63,10 +63,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly per-row work on an input of few partitions.
+    """Use all cores for costly per-row work on a scan of few partitions.
 
-    A large input has more partitions than cores and is left as it is, without
-    a shuffle.
+    A large table has more partitions than cores and is left as it is, without
+    a shuffle. Meant for scans and projections: counting the partitions of
+    those runs no job.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() > 2 * cores else df.repartition(cores * 2)
