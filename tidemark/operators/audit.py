@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.fixed_values import PENALTY, TEST_TOKENS
-from tidemark.operators.ordering import MICROS, micros, ordered_fold, split_by_time
+from tidemark.operators.ordering import MICROS, micros, moment, ordered_fold, split_by_time
 
 # ------------------------------------------------------------------ filters
 
@@ -32,9 +32,9 @@ def audit_filter(
 ) -> DataFrame:
     """AND of the given criteria; time is half-open ``[start, end)``."""
     if start is not None:
-        df = df.filter(F.col("timestamp") >= F.lit(start))
+        df = df.filter(F.col("timestamp") >= moment(start))
     if end is not None:
-        df = df.filter(F.col("timestamp") < F.lit(end))
+        df = df.filter(F.col("timestamp") < moment(end))
     lists = {
         "event_type": event_types,
         "outcome": outcomes,
@@ -72,7 +72,7 @@ def security_filter(
     min_risk: int | None = None,
 ) -> DataFrame:
     """Closed interval ``[start, end]``; an empty type list means any type."""
-    df = df.filter(F.col("timestamp").between(F.lit(start), F.lit(end)))
+    df = df.filter(F.col("timestamp").between(moment(start), moment(end)))
     if user_id is not None:
         df = df.filter(F.col("user_id") == user_id)
     if event_types:
@@ -331,7 +331,7 @@ def audit_report(df: DataFrame, start, end) -> dict[str, DataFrame]:
 
 def security_metrics(df: DataFrame, now, hours: int = 24) -> DataFrame:
     """Events of the closing ``hours`` by stored type name, plus active sessions."""
-    recent = F.col("timestamp") >= F.lit(now) - F.expr(f"INTERVAL {int(hours)} HOURS")
+    recent = F.col("timestamp") >= moment(now) - F.expr(f"INTERVAL {int(hours)} HOURS")
     typed = lambda name: F.count_if(recent & (F.col("event_type") == name))
     sessions = (
         df.groupBy("session_id")
@@ -343,7 +343,7 @@ def security_metrics(df: DataFrame, now, hours: int = 24) -> DataFrame:
             typed("policy_violation").alias("p"),
         )
     )
-    live = F.col("session_id").isNotNull() & ((F.col("endless") > 0) | (F.lit(now) <= F.col("expires_at")))
+    live = F.col("session_id").isNotNull() & ((F.col("endless") > 0) | (moment(now) <= F.col("expires_at")))
     return sessions.agg(
         F.coalesce(F.sum("a"), F.lit(0)).alias("authentication_events"),
         F.coalesce(F.sum("t"), F.lit(0)).alias("threats_detected"),
@@ -421,7 +421,7 @@ def verify_period(
 ) -> DataFrame:
     """Recompute every chain; per log the period's totals and the whole-chain flag."""
     checked = corrupted_entries(df, log, order)
-    inside = F.col("timestamp").between(F.lit(start), F.lit(end))
+    inside = F.col("timestamp").between(moment(start), moment(end))
     bad = ~F.col("matches")
     return checked.groupBy(log).agg(
         F.count_if(inside).alias("total_entries"),
@@ -484,13 +484,13 @@ def rapid_ops(df: DataFrame, key: str = "actor", gap: int = MICROS, slice_len: i
 
 def apply_retention(df: DataFrame, now, days: int = 365, inclusive: bool = False) -> DataFrame:
     """Rows newer than ``now - days``; the purge variant also keeps the cutoff itself."""
-    cutoff = F.lit(now) - F.expr(f"INTERVAL {int(days)} DAYS")
+    cutoff = moment(now) - F.expr(f"INTERVAL {int(days)} DAYS")
     at = F.col("timestamp")
     return df.filter(at >= cutoff if inclusive else at > cutoff)
 
 
 def purged_count(df: DataFrame, now, days: int = 365, inclusive: bool = False) -> DataFrame:
-    cutoff = F.lit(now) - F.expr(f"INTERVAL {int(days)} DAYS")
+    cutoff = moment(now) - F.expr(f"INTERVAL {int(days)} DAYS")
     gone = F.col("timestamp") < cutoff if inclusive else F.col("timestamp") <= cutoff
     return df.agg(F.count_if(gone).alias("purged"), F.count_if(~gone).alias("kept"))
 

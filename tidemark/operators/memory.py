@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import first_n, micros, newest
+from tidemark.operators.ordering import first_n, micros, moment, newest
 
 
 def is_live(now) -> Column:
     """No expiry, or not yet past it (the instant itself is still live)."""
-    return F.col("expires_at").isNull() | (F.lit(now) <= F.col("expires_at"))
+    return F.col("expires_at").isNull() | (moment(now) <= F.col("expires_at"))
 
 
 def not_expired(df: DataFrame, now) -> DataFrame:
@@ -96,7 +96,7 @@ def active_sessions(df: DataFrame, now, idle_hours: int | None = None) -> DataFr
     ).select("session_id", F.col("_last.timestamp").alias("last_activity"), F.col("_last.expires_at").alias("expires_at"))
     active = is_live(now)
     if idle_hours is not None:
-        active = active & (F.col("last_activity") >= F.lit(now) - F.expr(f"INTERVAL {int(idle_hours)} HOURS"))
+        active = active & (F.col("last_activity") >= moment(now) - F.expr(f"INTERVAL {int(idle_hours)} HOURS"))
     return last.withColumn("active", active)
 
 

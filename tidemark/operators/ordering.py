@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -25,6 +26,14 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def moment(value: dt.datetime | Column) -> Column:
+    """A literal that no machine's zone can shift; naive times stay zone-less and prune zone-less columns."""
+    if isinstance(value, Column):
+        return value
+    kind = "timestamp" if value.tzinfo else "timestamp_ntz"
+    return F.lit(value.isoformat(sep=" ")).cast(kind)
+
+
 def split_by_time(df: DataFrame, at: Column, reach: int, slice_len: int | None = None) -> DataFrame:
     """Add ``_slice`` and ``_context``.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.fixed_values import NAMED_SCHEDULES
+from tidemark.operators.ordering import moment
 
 BOUNDS = {
     "second": (0, 59), "minute": (0, 59), "hour": (0, 23), "day_of_month": (1, 31), "month": (1, 12), "day_of_week": (0, 7),
@@ -66,7 +67,7 @@ def expand_schedules(df: DataFrame, start, end, expression: str = "expression",
     both day fields fires when either holds.
     """
     parsed = parse_schedules(df, expression).filter(F.col("error").isNull())
-    days = parsed.withColumn("_day", F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)))))
+    days = parsed.withColumn("_day", F.explode(F.sequence(F.to_date(moment(start)), F.to_date(moment(end)))))
     dom = F.array_contains("day_of_month", F.dayofmonth("_day"))
     dow = F.array_contains("day_of_week", F.dayofweek("_day") - 1)
     day_ok = dom & dow
@@ -79,7 +80,7 @@ def expand_schedules(df: DataFrame, start, end, expression: str = "expression",
     offset = F.make_dt_interval(F.lit(0), F.col("_h"), F.col("_m"), F.col("_s").cast("decimal(18,6)"))
     at = F.col("_day").cast("timestamp_ntz") + offset
     keep = [c for c in df.columns]
-    return timed.select(*keep, at.alias("fire_at")).filter((F.col("fire_at") >= F.lit(start)) & (F.col("fire_at") < F.lit(end)))
+    return timed.select(*keep, at.alias("fire_at")).filter((F.col("fire_at") >= moment(start)) & (F.col("fire_at") < moment(end)))
 
 
 def apply_window(df: DataFrame, at: str = "fire_at", opens: int = 9, closes: int = 17) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.fixed_values import TEST_TOKENS
 from tidemark.functions import security as sec
 from tidemark.operators import audit as op
+from tidemark.operators.ordering import moment
 from tidemark.plans.views import AUDIT_SQL, SECURITY_SQL, SQL_STAMP, audit_view, security_view, stamp
 from tidemark.session import table
 
@@ -204,7 +205,7 @@ def security_highlights(spark, sf_dir):
 
 
 def security_stats(spark, sf_dir):
-    df = _scored(spark, sf_dir).filter(F.col("timestamp").between(F.lit(START), F.lit(END)))
+    df = _scored(spark, sf_dir).filter(F.col("timestamp").between(moment(START), moment(END)))
     return op.security_stats(df)
 
 
