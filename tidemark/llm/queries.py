@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, sharding
+from tidemark.llm import exact_dedup, sharding, simhash
 from tidemark.session import table
 
 
@@ -24,5 +24,10 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM n
 """
 
-QUERIES = {"op5_sharding": op5_sharding, "op10_exact_dedup": op10_exact_dedup}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_groups(docs, width=4, max_bits=4).select("doc_id", "fingerprint", "component_id")
+
+
+QUERIES = {"op9_simhash": op9_simhash, "op5_sharding": op5_sharding, "op10_exact_dedup": op10_exact_dedup}
 ORACLE = {"op10_exact_dedup": EXACT_SQL}
