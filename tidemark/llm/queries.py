@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, sharding, simhash
+from tidemark.llm import exact_dedup, sharding, simhash, token_store
 from tidemark.session import table
 
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def _tokenizer() -> str:
+    """Where the installed package of public vocabularies keeps its file; asked for by the task that reads it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = token_store.write_store(docs, _tokenizer, end_id=0)
+    return token_store.read_boundaries(spark.read.parquet(path))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
@@ -29,5 +45,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(docs, width=4, max_bits=4).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {"op9_simhash": op9_simhash, "op5_sharding": op5_sharding, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {
+    "op3_token_store": op3_token_store,
+    "op9_simhash": op9_simhash, "op5_sharding": op5_sharding, "op10_exact_dedup": op10_exact_dedup}
 ORACLE = {"op10_exact_dedup": EXACT_SQL}
