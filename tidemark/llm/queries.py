@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, packing, sharding, simhash, token_store
+from tidemark.llm import exact_dedup, packing, quality, sharding, simhash, token_store
 from tidemark.session import table
 
 
@@ -28,6 +28,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, _tokenizer, end_id=1, window=2048)
@@ -51,6 +55,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_quality": op6_quality,
     "op8_packing": op8_packing,
     "op3_token_store": op3_token_store,
     "op9_simhash": op9_simhash, "op5_sharding": op5_sharding, "op10_exact_dedup": op10_exact_dedup}
