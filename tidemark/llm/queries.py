@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, html_main, packing, quality, sharding, simhash, token_store
+from tidemark.llm import decontaminate, exact_dedup, html_main, packing, quality, sharding, simhash, token_store
 from tidemark.session import table
 
 
@@ -18,6 +18,11 @@ def _tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = token_store.write_store(docs, _tokenizer, end_id=0)
@@ -59,6 +64,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op7_html_main": op7_html_main,
     "op6_quality": op6_quality,
     "op8_packing": op8_packing,
