@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, exact_dedup, html_main, packing, quality, sharding, simhash, token_store
+from tidemark.llm import decontaminate, exact_dedup, html_main, lm_score, packing, quality, sharding, simhash, token_store
 from tidemark.session import table
 
 
@@ -29,6 +29,13 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_boundaries(spark.read.parquet(path))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled as good and not toxic; background: all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+    return lm_score.cross_entropy_difference(docs, docs.join(good, "doc_id", "left_semi"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
@@ -64,6 +71,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_lm_score": op4_lm_score,
     "op1_decontaminate": op1_decontaminate,
     "op7_html_main": op7_html_main,
     "op6_quality": op6_quality,
