@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import fresh_path, text_or_empty
+from tidemark.llm.common import fresh_path, stored, text_or_empty
 from tidemark.llm.tokens import id_encoder
 
 MAGIC, VERSION, HEAD, SAMPLE = b"TMKT", 1, "<4sHHQQII", 512
@@ -189,6 +189,9 @@ def read_boundaries(store: DataFrame, checksum: bool = True) -> DataFrame:
     named = [F.col("first").isNotNull().alias("known"), F.col("first").alias("at_first"), F.element_at("keys", -1).alias("at_last"),
              F.col("number").alias("at_number")]
     bases = store.select(*named, "ids").select("known", "at_first", "at_last", "at_number", F.coalesce(F.sum("ids").over(order), F.lit(0)).alias("base"))
+    bases = stored(bases, "image-bases")
+    if bases.count() <= 1 << 22:  # a checked size: at most some 200 MB, for 8 trillion ids; beyond that the images are shuffled
+        bases = F.broadcast(bases)
     placed = store.withColumn("last", F.element_at("keys", -1)).join(
         bases, F.col("first").eqNullSafe(F.col("at_first")) & F.col("last").eqNullSafe(F.col("at_last")) & (F.col("number") == F.col("at_number")))
     return placed.select("keys", "image", "base").mapInArrow(
