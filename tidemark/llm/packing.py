@@ -26,11 +26,17 @@ class Bm25Shard:
         doc = np.repeat(np.arange(len(documents)), sizes)
         norm = k1 * (1 - b + b * np.array([len(d) for d in documents], np.float64) / mean_length)
         order = np.argsort(terms, kind="stable")
-        self.posting_doc = doc[order].astype(np.int32)
-        self.weight = (idf[terms] * tf * (k1 + 1) / (tf + norm[doc]))[order]
+        doc_of, weight = doc[order].astype(np.int32), (idf[terms] * tf * (k1 + 1) / (tf + norm[doc]))[order].astype(np.float32)
         vocabulary, first, count = np.unique(terms[order], return_index=True, return_counts=True)
         place = np.searchsorted(vocabulary, terms)  # each document's terms as rows of the index
-        self.first, self.count, self.size = first[place], count[place], len(documents)
+        # long postings are added up as whole rows, short ones one by one
+        wide = count * 32 >= len(documents)
+        row = np.where(wide, np.cumsum(wide) - 1, -1)
+        inside = wide[place[order]]
+        self.rows = np.zeros((int(wide.sum()), len(documents)), np.float32)
+        self.rows[row[place[order][inside]], doc_of[inside]] = weight[inside]
+        self.posting_doc, self.weight = doc_of, weight
+        self.row, self.first, self.count, self.size = row[place], first[place], count[place], len(documents)
         self.begin = np.concatenate([[0], np.cumsum(sizes)])
 
     def scores(self, doc: int):
@@ -38,10 +44,14 @@ class Bm25Shard:
         import numpy as np
 
         own = slice(self.begin[doc], self.begin[doc + 1])
-        first, count = self.first[own], self.count[own]
+        row = self.row[own]
+        total = self.rows[row[row >= 0]].sum(axis=0)
+        first, count = self.first[own][row < 0], self.count[own][row < 0]
+        if not len(first):
+            return total
         ends = np.cumsum(count)
         at = np.arange(ends[-1]) + np.repeat(first - (ends - count), count)
-        return np.bincount(self.posting_doc[at], self.weight[at], self.size)
+        return total + np.bincount(self.posting_doc[at], self.weight[at], self.size)
 
 
 def pack_shard(lengths: list[int], scores: Callable, window: int) -> Iterator[tuple[int, int, int, int, int]]:
