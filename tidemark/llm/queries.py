@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, html_main, lm_score, packing, quality, sharding, simhash, token_store
+from tidemark.llm import decontaminate, exact_dedup, html_main, lm_score, packing, quality, sharding, simhash, suffix_dedup, token_store
 from tidemark.session import table
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = suffix_dedup.remove_repeats(docs, length=50)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -71,6 +78,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_lm_score": op4_lm_score,
     "op1_decontaminate": op1_decontaminate,
     "op7_html_main": op7_html_main,
