@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, text_or_empty
-from tidemark.llm.tokens import id_encoder
+from tidemark.llm.tokens import id_encoder, without_collector
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -108,7 +108,8 @@ def encode_documents(docs: DataFrame, tokenizer: str | Callable[[], str], end_id
         encode, dtype = id_encoder(tokenizer if isinstance(tokenizer, str) else tokenizer())
         stop = np.array([end_id], dtype).tobytes()
         for batch in batches:
-            ids = [encode(t.as_py()) + stop for t in batch.column(1)]
+            with without_collector():
+                ids = [encode(t.as_py()) + stop for t in batch.column(1)]
             counts = pa.array([len(x) // len(stop) for x in ids], pa.int64())
             width = pa.array([len(stop)] * len(ids), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), counts, width, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "id_bytes", "ids"])

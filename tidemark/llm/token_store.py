@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import fresh_path, stored, text_or_empty
-from tidemark.llm.tokens import id_encoder
+from tidemark.llm.tokens import id_encoder, without_collector
 
 MAGIC, VERSION, HEAD, SAMPLE = b"TMKT", 1, "<4sHHQQII", 512
 
@@ -139,8 +139,9 @@ def write_store(
 
         for batch in batches:
             key_type = batch.schema.field(0).type
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = encode(value.as_py()) + stop
+            with without_collector():
+                encoded = [encode(value.as_py()) + stop for value in batch.column(1)]
+            for key, own in zip(batch.column(0).to_pylist(), encoded):
                 keys.append(key)
                 parts.append(own)
                 lengths.append(len(own) // len(stop))

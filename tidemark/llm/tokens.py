@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import gc
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 # GPT-2's pattern, which cuts a text before the merges of a byte-level BPE file; a fixed, published value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _TIED_SPACE = re.compile(r"\s (?:\s|$)")
-REMEMBERED = 300_000
+_SIGNS = ".,%&$#*!?;:|"
+REMEMBERED = 400_000
+
+
+@contextmanager
+def without_collector() -> Iterator[None]:
+    """Encoding makes no reference cycles, and the collector would walk all remembered pieces again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 def byte_letters() -> dict[int, str]:
@@ -19,7 +34,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Units(dict):
-    """Ids, as bytes, of a blank and the text up to the next blank; forgets the older half when it is full."""
+    """Ids, as bytes, of the texts between blanks; forgets the older half when it is full."""
 
     def __init__(self, encode: Callable[[str], bytes]):
         self.encode, self.older = encode, {}
@@ -27,7 +42,7 @@ class _Units(dict):
     def __missing__(self, unit: str) -> bytes:
         ids = self.older.get(unit)
         if ids is None:
-            ids = self.encode(" " + unit)
+            ids = self.encode(unit)
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
@@ -64,6 +79,7 @@ def id_encoder(path: str) -> tuple[Callable[[str], bytes], str]:
     plain = (
         described["model"]["type"] == "BPE" and described.get("normalizer") is None and split.get("type") == "ByteLevel"
         and not split.get("add_prefix_space") and split.get("use_regex", True) and not any(" " in t for t in special)
+        and all(any(not c.isalpha() and c not in _SIGNS for c in t) for t in special)
         and (described.get("post_processor") or {}).get("type", "ByteLevel") == "ByteLevel"
     )
     if not plain:
@@ -71,19 +87,27 @@ def id_encoder(path: str) -> tuple[Callable[[str], bytes], str]:
     letters = dict(enumerate(byte_letters().values()))
     pieces, merge, typed = regex.compile(PATTERN).findall, tokenizer.model.tokenize, array.array
 
+    blank = letters[32]
+
+    def ids_of(written: str) -> bytes:
+        return typed(kind, [t.id for t in merge(written)]).tobytes()
+
     def merged(piece: str) -> bytes:
-        return typed(kind, [t.id for t in merge(piece.encode().decode("latin-1").translate(letters))]).tobytes()
+        return ids_of(piece.encode().decode("latin-1").translate(letters))
 
     def unit(text: str) -> bytes:
+        """Ids of a blank and ``text``. Letters are one piece, letters and then signs are two."""
+        plain = text.isascii()  # printable ASCII is written as itself
+        if text.isalpha():
+            return ids_of(blank + text) if plain else merged(" " + text)
+        word = text.rstrip(_SIGNS)
+        if word.isalpha():
+            return units[word] + tails[text[len(word) :]]
         if any(t in text for t in special):
-            return whole(text)
-        if text[1:].isalpha():  # letters only: one piece
-            return merged(text)
-        word = text.rstrip(".,%&$#*!?;:|")
-        if word[1:].isalpha():  # letters, then signs: two pieces
-            return units[word[1:]] + merged(text[len(word) :])
-        return b"".join(map(merged, pieces(text)))
+            return whole(" " + text)
+        return b"".join(map(merged, pieces(" " + text)))
 
+    tails = _Units(ids_of)
     units = _Units(unit)
     known = units.__getitem__
 
