@@ -283,7 +283,7 @@ def test_vector_search_blocks_and_brute_force(spark, metric, threshold):
     queries = spark.createDataFrame([(i, vectors[i].tolist()) for i in range(9)], "query_id int, embedding array<double>")
     limit = threshold if metric == "cosine" or threshold is None else 6.0
     whole = retrieval.vector_search(queries, store, 5, limit, metric=metric).orderBy("query_id", "rank").collect()
-    blocked = retrieval.vector_search(queries, store, 5, limit, metric=metric, query_values=12).orderBy("query_id", "rank").collect()
+    blocked = retrieval.vector_search(queries, store, 5, limit, metric=metric, query_rows=2, store_rows=30).orderBy("query_id", "rank").collect()
     assert whole == blocked
     for q in range(9):
         scored = []
@@ -418,3 +418,75 @@ def test_file_inventory_depth(spark, tmp_path):
     assert [(r["name"], r["path"], r["depth"], r["size"]) for r in listed] == [("x.txt", "x.txt", 0, 3), ("y.csv", "d/y.csv", 1, 3)] or [
         (r["name"], r["path"], r["depth"], r["size"]) for r in listed
     ] == sorted([("x.txt", "x.txt", 0, 3), ("y.csv", "d/y.csv", 1, 3)])
+
+
+def test_csv_keeps_line_ends_in_quotes_and_all_fields(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,"x\ny"\n2,"say ""hi"", you"\n3,4,5,"6,7"\n8\n')
+    rows = files.load_csv(spark, str(tmp_path / "a.csv"))
+    assert rows.columns == ["a", "b", "Column_3", "Column_4"]
+    assert sorted(map(tuple, rows.collect())) == [
+        ("1", "x\ny", None, None), ("2", 'say "hi", you', None, None), ("3", "4", "5", "6,7"), ("8", None, None, None)]
+    (tmp_path / "b.csv").write_text("1;2;3\n4\n")
+    assert files.load_csv(spark, str(tmp_path / "b.csv"), ";", False).columns == ["Column_1", "Column_2", "Column_3"]
+
+
+def test_csv_profile_of_quoted_line_ends(spark):
+    df = spark.createDataFrame([(1, 'a,b\r\n1,"x\ny"\n\n2,"q""q"\n'), (2, 'a,b\n1,"open\n2,3'), (3, None), (4, 'a\n"' + '""' * 100_000 + '"')], "id int, content string")
+    got = {r.id: r for r in files.csv_profile(df).collect()}
+    assert got[1].records == [["1", "x\ny"], ["2", 'q"q']] and got[1].valid
+    assert got[2].row_count == 2 and got[4].records == [['"' * 100_000]]
+
+
+def test_a_null_text_has_no_chunks(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "abc")], "doc_id int, text string")
+    assert [(r.doc_id, r.content) for r in text.chunk_text(df, 10, 2).orderBy("doc_id").collect()] == [(2, ""), (3, "abc")]
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_a_null_key_is_one_log(spark, kind):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        big = 2**53 + 1
+        df = _entries(spark, 40).withColumn("log_id", F.when(F.col("id") % 2 == 0, F.lit(big)).cast(kind))
+        rows = audit.build_chain(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(r.seq == 0 for r in rows) == 2
+    assert {r.log_id for r in rows} == {None, big if kind == "bigint" else str(big)}
+
+
+def test_upsert_keeps_one_row_of_a_key(spark):
+    store = spark.createDataFrame([(1, "old"), (2, "old")], "id int, v string")
+    new = spark.createDataFrame([(1, "a"), (1, "b"), (3, None), (3, "c")], "id int, v string")
+    assert sorted(map(tuple, retrieval.upsert(store, new).collect())) == [(1, "b"), (2, "old"), (3, "c")]
+
+
+def test_threshold_is_held_against_the_raw_score(spark):
+    c = 0.6999997
+    store = spark.createDataFrame([(1, [c, math.sqrt(1 - c * c)], "x"), (2, [0.8, 0.6], "y")], "id int, embedding array<double>, text string")
+    query = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<double>")
+    assert [r.id for r in retrieval.vector_search(query, store, 5, 0.7).collect()] == [2]
+    assert [r.id for r in retrieval.vector_search(query, store, 5, where_document={"$contains": "x"}).collect()] == [1]
+    assert [r.id for r in retrieval.delete(store, where_document={"$contains": "x"}).collect()] == [2]
+
+
+def test_every_log_has_its_own_anchor(spark):
+    df = _entries(spark).union(_entries(spark).withColumn("log_id", F.lit(2)).withColumn("id", F.col("id") + 100)).union(
+        _entries(spark).withColumn("log_id", F.lit(None)).withColumn("id", F.col("id") + 200))
+    stored = df.join(audit.build_chain(df).drop("log_id"), "id").cache()
+    assert audit.verify_chain(stored, block=2).count() == 0
+    kept = stored.filter("seq >= 2")
+    anchors = stored.filter("seq = 1").select("log_id", F.col("chain_hash").alias("anchor_hash"))
+    assert audit.verify_chain(kept, anchor=anchors, block=3).count() == 0
+    assert audit.verify_chain(kept, block=3).count() == 3
+
+
+def test_html_patterns_do_not_overflow(spark):
+    tag = "<a " + " ".join(f'x{i}="v"' for i in range(200_000)) + ' href="/y">t</a>'
+    unbalanced = '<img alt="x>' + '<a href="/a">b</a>' * 3000
+    df = spark.createDataFrame([(1, tag), (2, unbalanced)], "page_id int, html string")
+    links = html.html_links(df).groupBy("page_id").count().collect()
+    assert {r.page_id: r["count"] for r in links}[1] == 1
+    for mode in ("text", "structure", "links", "metadata", "all"):
+        assert html.html_analyze(df, mode).count() >= 0
+        html.html_analyze(df, mode).write.format("noop").mode("overwrite").save()

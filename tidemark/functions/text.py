@@ -15,14 +15,14 @@ def chunk_text(df: DataFrame, size: int = 1000, overlap: int = 100, doc: str = "
     """Character windows of ``size``, each starting ``size - overlap`` after the last.
 
     Adds chunk_id, chunk_index, content, start_index and end_index; other
-    columns are kept, the text is not. Narrow: no shuffle.
+    columns are kept, the text is not. A null text has no chunks. Narrow: no shuffle.
     """
     if not 0 <= overlap < size:
         raise ValueError("need 0 <= overlap < size")
     step = size - overlap
     n = F.char_length(text)
     last = (F.ceil((n - size) / step) * step).cast("int")
-    starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step)))
+    starts = F.when(n <= size, F.array(F.lit(0))).when(n > size, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step)))
     rest = [c for c in df.columns if c != text]
     return df.select(*rest, text, F.posexplode(starts).alias("chunk_index", "start_index")).select(
         *rest,

@@ -395,18 +395,27 @@ def build_chain(
     return ordered_fold(narrow, [log], order, lambda: (0, None), step, schema)
 
 
-def verify_chain(df: DataFrame, log: str = "log_id", anchor: str | None = None) -> DataFrame:
+def verify_chain(df: DataFrame, log: str = "log_id", anchor: DataFrame | str | None = None, block: int = 100_000) -> DataFrame:
     """Rows that break the stored chain, with the reason.
 
-    Each row needs only its stored neighbour, found by an equi join on
-    (log, seq - 1): fully parallel even for one huge log. After retention has
-    dropped a prefix, ``anchor`` is the hash the first survivor must point to.
+    Each row needs only its stored neighbour: a window inside blocks of ``block`` sequence numbers, whose last
+    row is also handed to the next block, so even one huge log is many tasks and the log is read once, plus
+    once for its first number. After retention has dropped a prefix, ``anchor`` is the hash that the first
+    survivor must point to: a table (log, anchor_hash) for many logs, or one value.
     """
-    rows = df.withColumn("_content", chain_content())
-    before = df.select(F.col(log), (F.col("seq") + 1).alias("seq"), F.col("chain_hash").alias("_expected"))
-    first = df.groupBy(log).agg(F.min("seq").alias("_first"))
-    joined = rows.join(before, [log, "seq"], "left").join(first, log)
-    expected = F.when(F.col("seq") == F.col("_first"), F.lit(anchor)).otherwise(F.col("_expected"))
+    own = F.floor(F.col("seq") / block)
+    rows = df.withColumn("_content", chain_content()).withColumn(
+        "_block", F.explode(F.when(F.col("seq") % block == block - 1, F.array(own, own + 1)).otherwise(F.array(own))))
+    before = Window.partitionBy(log, "_block").orderBy("seq")
+    near = (F.lag("seq").over(before) == F.col("seq") - 1)
+    known = rows.withColumn("_expected", F.when(near, F.lag("chain_hash").over(before))).where(F.col("_block") == own)
+    first = df.groupBy(F.col(log).alias("_log")).agg(F.min("seq").alias("_first"))
+    if isinstance(anchor, DataFrame):
+        first = first.join(anchor.select(F.col(log).alias("_of"), "anchor_hash"), F.col("_log").eqNullSafe(F.col("_of")), "left").drop("_of")
+    else:
+        first = first.withColumn("anchor_hash", F.lit(anchor).cast("string"))
+    joined = known.join(first, F.col(log).eqNullSafe(F.col("_log")))
+    expected = F.when(F.col("seq") == F.col("_first"), F.col("anchor_hash")).otherwise(F.col("_expected"))
     recomputed = F.sha2(
         F.concat(F.col("_content"), F.coalesce(F.col("previous_hash"), F.lit(""))).cast("binary"), 256
     )

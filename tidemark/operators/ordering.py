@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MICROS = 1_000_000
 
@@ -113,14 +114,21 @@ def ordered_fold(
     """Fold each key's rows in order; ``step(state, rows)`` sees one batch.
 
     Rows are hash partitioned by key and sorted by Spark (which spills), then
-    streamed: the Python side holds one Arrow batch and one state.
+    streamed: the Python side holds one Arrow batch and one state. A null key
+    is a key like any other. Keys travel as text, so a nullable number keeps
+    all its digits, and get their type back afterwards.
     """
     keys, order = list(keys), list(order)
+    declared = T.StructType.fromDDL(schema)
+    as_text = T.StructType([T.StructField(f.name, T.StringType() if f.name in keys else f.dataType) for f in declared])
+    sorted_rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    rows_in = sorted_rows.select(*[F.col(c).cast("string").alias(c) if c in keys else F.col(c) for c in df.columns])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for batch in batches:
-            for key, rows in batch.groupby(keys, sort=False, dropna=False):
+            for raw, rows in batch.groupby(keys, sort=False, dropna=False):
+                key = tuple(None if pd.isna(k) else k for k in raw)
                 if key != current:
                     if current is not None and finish:
                         yield finish(current, state)
@@ -131,7 +139,8 @@ def ordered_fold(
         if current is not None and finish:
             yield finish(current, state)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    out = rows_in.mapInPandas(run, as_text)
+    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in declared])
 
 
 GROUP_LIMIT = 1000  # up to this Spark itself prunes each task to the first n per group

@@ -40,8 +40,9 @@ def squared_l2(a: Column, b: Column) -> Column:
 
 # ------------------------------------------------------------------- top k
 
-QUERY_VALUES = 4_000_000  # numbers in one query block (32 MB as doubles)
-STORE_ROWS = 100_000  # store rows per block when blocks are needed
+QUERY_ROWS = 20_000  # queries in a block
+STORE_ROWS = 100_000  # store rows in a block
+PAIRS = 4_000_000  # scores a task holds at a time (32 MB as doubles)
 
 
 def _by_length(vectors: Sequence) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -54,7 +55,7 @@ def _by_length(vectors: Sequence) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 
 def _scores(queries, store, metric: str) -> np.ndarray:
-    """Scores (queries x store rows), larger is better, at six decimals."""
+    """Scores (queries x store rows), larger is better."""
     q_groups, s_groups = _by_length(queries), _by_length(store)
     missing = 0.0 if metric == "cosine" else -np.inf
     out = np.full((len(queries), len(store)), missing)
@@ -70,28 +71,64 @@ def _scores(queries, store, metric: str) -> np.ndarray:
         else:
             values = -np.maximum((q * q).sum(1)[:, None] + (s * s).sum(1)[None, :] - 2.0 * dots, 0.0)
         out[np.ix_(q_rows, s_rows)] = values
-    return np.round(out, 6)
+    return out
+
+
+def _best(q_ids, q_vecs, s_ids: np.ndarray, s_vecs, k: int, floor: float | None, metric: str, pairs: int = PAIRS) -> pd.DataFrame:
+    """Top k store rows per query of a block, ties by id, NaN last; at most ``pairs`` scores exist at a time."""
+    wide = max(1, min(len(s_ids), 8192))
+    high = max(1, pairs // wide)
+    kept = []
+    for q in range(0, len(q_ids), high):
+        best = None
+        for s in range(0, len(s_ids), wide):
+            tile = _tile(q_ids[q : q + high], q_vecs[q : q + high], s_ids[s : s + wide], s_vecs[s : s + wide], k, floor, metric)
+            if best is not None:
+                tile = pd.concat([best, tile], ignore_index=True)
+                tile = tile.assign(_key=tile["score"].fillna(-np.finfo(float).max)).sort_values(["_key", "id"], ascending=[False, True])
+                tile = tile.drop(columns="_key").groupby("query_id", sort=False).head(k)
+            best = tile
+        kept.append(best)
+    return pd.concat(kept, ignore_index=True)
 
 
-def _best(q_ids, q_vecs, s_ids: np.ndarray, s_vecs, k: int, floor: float | None, metric: str) -> pd.DataFrame:
-    """Top k store rows per query of one batch, ties by id, NaN last."""
+def _exact(q: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
+    """Scores summed in the order of the dimensions, so that no tiling can change a bit of them."""
+    if metric == "cosine":
+        scale = np.sqrt(np.cumsum(q * q)[-1]) * np.sqrt(np.cumsum(rows * rows, axis=1)[:, -1])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(scale == 0.0, 0.0, np.cumsum(rows * q, axis=1)[:, -1] / scale)
+    return -np.cumsum((rows - q) ** 2, axis=1)[:, -1]
+
+
+def _tile(q_ids, q_vecs, s_ids: np.ndarray, s_vecs, k: int, floor: float | None, metric: str) -> pd.DataFrame:
+    """Fast scores choose what can be among the best, exact ones decide."""
     scores = _scores(q_vecs, s_vecs, metric)
     keys = np.where(np.isnan(scores), -np.finfo(float).max, scores)
+    size = max((float(np.dot(v, v)) for v in (*map(np.asarray, q_vecs), *map(np.asarray, s_vecs)) if len(v)), default=0.0)
+    slack = 1e-9 * (1.0 + (size if np.isfinite(size) and metric == "l2" else 0.0))
     ids, qs, values = [], [], []
     for qi in range(len(q_ids)):
-        row = keys[qi]
+        row, q = keys[qi], np.asarray(q_vecs[qi], dtype=np.float64)
         usable = row > -np.inf
         if floor is not None:
             # a threshold drops what is below it; NaN is not below
-            usable &= (row >= floor) | np.isnan(scores[qi])
+            usable &= (row >= floor - slack) | np.isnan(scores[qi])
         at = np.flatnonzero(usable)
         if len(at) > k:
             cut = np.partition(row[at], len(at) - k)[len(at) - k]
-            at = at[row[at] >= cut]
-        at = at[np.lexsort((s_ids[at], -row[at]))][:k]
-        ids.append(s_ids[at])
-        values.append(scores[qi, at])
-        qs += [q_ids[qi]] * len(at)
+            at = at[row[at] >= cut - slack]
+        found = scores[qi, at]
+        same = np.array([len(s_vecs[i]) == len(q) and len(q) > 0 for i in at], bool)
+        if same.any():
+            found[same] = _exact(q, np.stack([np.asarray(s_vecs[i], dtype=np.float64) for i in at[same]]), metric)
+        if floor is not None:
+            keep = (found >= floor) | np.isnan(found)
+            at, found = at[keep], found[keep]
+        order = np.lexsort((s_ids[at], -np.where(np.isnan(found), -np.finfo(float).max, found)))[:k]
+        ids.append(s_ids[at[order]])
+        values.append(found[order])
+        qs += [q_ids[qi]] * len(order)
     return pd.DataFrame({"query_id": qs, "id": np.concatenate(ids), "score": np.concatenate(values)})
 
 
@@ -102,23 +139,28 @@ def vector_search(
     threshold: float | None = None,
     filters: Mapping[str, object] | None = None,
     metric: str = "cosine",
-    query_values: int = QUERY_VALUES,
+    where: Mapping[str, object] | None = None,
+    where_document: Mapping[str, str] | None = None,
+    namespace: str | None = None,
+    query_rows: int = QUERY_ROWS,
+    store_rows: int = STORE_ROWS,
 ) -> DataFrame:
     """(query_id, id, score, rank) of the ``k`` best store rows for every query.
 
-    ``queries(query_id, embedding)``, ``store(id, embedding, ...)``. Scores are
-    compared at six decimals (float32 vectors carry no more), ties by id. For
-    ``metric="l2"`` the score is the squared distance, smaller is closer.
+    ``queries(query_id, embedding)``, ``store(id, embedding, ...)``. Scores are compared as they are, ties by
+    id. For ``metric="l2"`` the score is the squared distance, smaller is closer. ``filters`` takes equal
+    values, ``where``, ``where_document`` and ``namespace`` what ``vector_filter`` takes.
 
-    While the queries fit one block of ``query_values`` numbers they travel
-    with the task and the store is scanned once, in place, keeping k rows per
-    query and task. Beyond that both sides are cut into blocks of bounded size
-    and joined block by block; either way only top-k rows are ever emitted.
+    Queries and store are cut into blocks of about ``query_rows`` and ``store_rows`` rows and meet block by
+    block, whatever their size. A task holds one pair of blocks and a bounded tile of their scores, and emits
+    k rows for each query and store block.
     """
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric: {metric}")
     if filters:
         store = metadata_filter(store, filters)
+    store = vector_filter(store, where, where_document, namespace)
+    s_blocks = max(1, math.ceil(store.select("id").count() / store_rows))  # counted before vectors are computed
     store = store.select("id", "embedding").filter(F.col("embedding").isNotNull())
     queries = queries.select("query_id", "embedding")
     q_kind, s_kind = dict(queries.dtypes)["query_id"], dict(store.dtypes)["id"]
@@ -126,43 +168,19 @@ def vector_search(
     # a distance threshold is an upper bound on the squared distance
     floor = threshold if threshold is None or metric == "cosine" else -threshold
 
-    # written once, so that measuring the queries does not compute them again
+    # written once, so that counting the queries does not compute them again
     queries = cut_lineage(queries)
-    size = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
-    if size[1] <= query_values:
-        rows = queries.orderBy("query_id").collect()  # bounded by query_values
-        q_ids, q_vecs = [r[0] for r in rows], [np.asarray(r[1], dtype=np.float64) for r in rows]
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = None
-            for batch in batches:
-                if not len(batch) or not q_ids:
-                    continue
-                found = _best(q_ids, q_vecs, batch["id"].to_numpy(), batch["embedding"].tolist(), k, floor, metric)
-                if best is not None:
-                    found = pd.concat([best, found], ignore_index=True)
-                    found = found.assign(_key=found["score"].fillna(-np.finfo(float).max))
-                    found = found.sort_values(["_key", "id"], ascending=[False, True]).drop(columns="_key")
-                    found = found.groupby("query_id", sort=False).head(k)
-                best = found
-            if best is not None:
-                yield best
-
-        best = store.mapInPandas(scan, schema)
-    else:
-        q_blocks = math.ceil(size[1] / query_values)
-        s_blocks = max(1, math.ceil(store.count() / STORE_ROWS))
-        numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("_s", numbers(s_blocks))
-        right = store.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(s_blocks)).cast("int")).withColumn("_q", numbers(q_blocks))
+    q_blocks = max(1, math.ceil(queries.count() / query_rows))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("_s", numbers(s_blocks))
+    right = store.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(s_blocks)).cast("int")).withColumn("_q", numbers(q_blocks))
 
-        def block(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-            if not len(q) or not len(s):
-                return pd.DataFrame({"query_id": q["query_id"][:0], "id": s["id"][:0], "score": np.empty(0)})
-            return _best(q["query_id"].tolist(), q["embedding"].tolist(), s["id"].to_numpy(), s["embedding"].tolist(), k, floor, metric)
-
-        best = left.groupBy("_q", "_s").cogroup(right.groupBy("_q", "_s")).applyInPandas(block, schema)
+    def block(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(s):
+            return pd.DataFrame({"query_id": q["query_id"][:0], "id": s["id"][:0], "score": np.empty(0)})
+        return _best(q["query_id"].tolist(), q["embedding"].tolist(), s["id"].to_numpy(), s["embedding"].tolist(), k, floor, metric)
 
+    best = left.groupBy("_q", "_s").cogroup(right.groupBy("_q", "_s")).applyInPandas(block, schema)
     nan_last = F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))
     ranked = first_n(best, ["query_id"], [nan_last.desc(), F.col("id")], k)
     if metric == "l2":
@@ -170,9 +188,9 @@ def vector_search(
     return ranked.select("query_id", "id", "score", "rank")
 
 
-def vector_query(store: DataFrame, queries: DataFrame, include: Sequence[str] = (), k: int = 10) -> DataFrame:
-    """Nearest rows by squared distance, with the asked columns of the store."""
-    hits = vector_search(queries, store, k, metric="l2").withColumnRenamed("score", "distance")
+def vector_query(store: DataFrame, queries: DataFrame, include: Sequence[str] = (), k: int = 10, **options) -> DataFrame:
+    """Nearest rows by squared distance, with the asked columns of the store; options as for ``vector_search``."""
+    hits = vector_search(queries, store, k, metric="l2", **options).withColumnRenamed("score", "distance")
     return hits.join(store.select("id", *include), "id") if include else hits
 
 
@@ -204,19 +222,27 @@ def fetch(store: DataFrame, ids: DataFrame, namespace: str | None = None) -> Dat
 
 
 def upsert(store: DataFrame, rows: DataFrame, version: str | None = None, key: str = "id") -> DataFrame:
-    """Insert or replace by key; with ``version`` the newest of several new rows wins."""
-    if version is not None:
-        latest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), version).alias("r"))
-        rows = latest.select("r.*")
-    fresh = rows.select(*store.columns)
+    """Insert or replace by key.
+
+    Of several new rows of a key the newest ``version`` wins; without one, and among equal versions, the row
+    that is greatest column by column.
+    """
+    whole = [F.to_json(c) if kind.startswith("map") else F.col(c) for c, kind in ((c, dict(rows.dtypes)[c]) for c in store.columns)]
+    rank = F.struct(*([F.col(version)] if version else []), *whole)
+    fresh = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), rank).alias("r")).select("r.*").select(*store.columns)
     return store.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
 
 
 def delete(
     store: DataFrame, ids: DataFrame | None = None, where: Mapping[str, object] | None = None,
-    documents: DataFrame | None = None,
+    documents: DataFrame | None = None, where_document: Mapping[str, str] | None = None, text: str = "text",
 ) -> DataFrame:
-    """What remains after deleting by id, by filter, or whole documents with their chunks."""
+    """What remains after deleting by id, by filters on fields or text, or whole documents with their chunks.
+
+    A row goes if it fits any of them.
+    """
+    for name, value in (where_document or {}).items():
+        store = store.filter(~F.coalesce(_OPERATORS[name](F.col(text), value), F.lit(False)))
     if ids is not None:
         store = store.join(ids.select("id").distinct(), "id", "left_anti")
     if where:

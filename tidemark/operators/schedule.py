@@ -27,9 +27,9 @@ def parse_field(field: Column, low: int, high: int) -> Column:
         .when(base.contains("-"), number(F.split_part(base, F.lit("-"), F.lit(2))))
         .otherwise(first)
     )
-    spans = field.rlike(r"^(\*|\d{1,4}|\d{1,4}-\d{1,4})(/\d{1,4})?$") & first.between(low, high) & last.between(first, high) & (step > 0)
+    spans = field.rlike(r"^(\*|0*\d{1,4}|0*\d{1,4}-0*\d{1,4})(/0*\d{1,4})?$") & first.between(low, high) & last.between(first, high) & (step > 0)
     listed = F.transform(F.split(field, ","), number)
-    is_list = field.rlike(r"^\d{1,4}(,\d{1,4})+$") & F.forall(listed, lambda v: v.between(low, high))
+    is_list = field.rlike(r"^0*\d{1,4}(,0*\d{1,4})+$") & F.forall(listed, lambda v: v.between(low, high))
     return F.when(spans, F.sequence(first, last, step)).when(is_list, F.array_sort(F.array_distinct(listed)))
 
 

@@ -158,7 +158,7 @@ def classify_commands(df: DataFrame, command: str = "command", args: str = "args
     )
     remote = F.lower(F.try_element_at(a, F.lit(1))).isin(fv.REMOTE_GIT_OPS)
     kind = (
-        F.when(c.isin([*fv.DENIED_SYMBOLS, *fv.DENIED_COMMANDS]), "denied_command")
+        F.when(c.isin(fv.DENIED_COMMANDS), "denied_command")
         .when(found.isNotNull(), found)
         .when(~base.isin(fv.ALLOWED_COMMANDS), "not_allowed")
         .when(base.isin("curl", "wget") & private, "private_host")

@@ -76,7 +76,7 @@ def prompt_cache(spark, sf_dir):
     prompts = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"))
     cache = _cache(spark, sf_dir)
     hits, misses = memory.cache_lookup(prompts, cache)
-    grown = memory.cache_store(misses.filter(F.char_length("prompt") > 500).select("prompt", F.upper(F.md5("prompt")).alias("result")), cache)
+    grown = memory.cache_store(misses.select("prompt", F.upper(F.md5("prompt")).alias("result")), cache)
     again, still = memory.cache_lookup(prompts, grown)
     return again.select("doc_id", F.lit("hit").alias("state"), "result").unionByName(
         still.select("doc_id", F.lit("miss").alias("state"), F.lit(None).cast("string").alias("result"))
@@ -452,8 +452,8 @@ ORACLE = {
     + f"""SELECT session_id, strftime(max(timestamp), '{SQL_STAMP}') AS last_activity, max(timestamp) >= TIMESTAMP '2024-01-15 06:00:00'
         AND (any_value(user_id) % 4 = 0 OR max(timestamp) + INTERVAL 3 DAYS >= {NOW_SQL}) AS active FROM s GROUP BY 1""",
     "prompt_cache": """WITH c AS (SELECT DISTINCT text, md5(text) AS result FROM documents WHERE lang = 'en')
-        SELECT doc_id, CASE WHEN result IS NOT NULL OR length(d.text) > 500 THEN 'hit' ELSE 'miss' END AS state,
-        CASE WHEN result IS NOT NULL THEN result WHEN length(d.text) > 500 THEN upper(md5(d.text)) END AS result FROM documents d LEFT JOIN c ON c.text = d.text""",
+        SELECT doc_id, CASE WHEN d.text IS NOT NULL THEN 'hit' ELSE 'miss' END AS state,
+        coalesce(result, upper(md5(d.text))) AS result FROM documents d LEFT JOIN c ON c.text = d.text""",
     "benchmark_stats": """WITH g AS (SELECT l_returnflag, l_linestatus, l_extendedprice AS v, list_sort(list(l_extendedprice) OVER (PARTITION BY l_returnflag, l_linestatus)) AS s FROM lineitem LIMIT 0),
         a AS (SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_extendedprice) AS total, avg(l_extendedprice) AS mean, median(l_extendedprice) AS median,
             stddev_samp(l_extendedprice) AS sd, min(l_extendedprice) AS min, max(l_extendedprice) AS max, list_sort(list(l_extendedprice)) AS s FROM lineitem GROUP BY 1, 2)

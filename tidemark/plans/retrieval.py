@@ -35,16 +35,21 @@ _L2 = "list_sum(list_transform(list_zip(embedding, qv), lambda p: (CAST(p[1] AS
 
 
 def _rank_sql(score, order, source="q, embeddings", where="true", k=10):
-    return f"""s AS (SELECT query_id, vec_id AS id, round({score}, 6) AS score, label FROM {source} WHERE {where}),
-        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {order}, id) AS INTEGER) AS rank FROM s)"""
+    return f"""s AS (SELECT query_id, vec_id AS id, {score} AS score, label FROM {source} WHERE {where}),
+        r AS (SELECT * REPLACE (round(score, 6) AS score), CAST(row_number() OVER (PARTITION BY query_id ORDER BY {order}, id) AS INTEGER) AS rank FROM s)"""
+
+
+def _rounded(df, column="score"):
+    """Compared at six decimals with the SQL; ranked by the operator on scores as they are."""
+    return df.withColumn(column, F.round(column, 6))
 
 
 def vector_topk(spark, sf_dir):
-    return op.vector_search(_queries(spark, sf_dir), _store(spark, sf_dir), k=10, threshold=0.05)
+    return _rounded(op.vector_search(_queries(spark, sf_dir), _store(spark, sf_dir), k=10, threshold=0.05))
 
 
 def vector_topk_filtered(spark, sf_dir):
-    return op.vector_search(_queries(spark, sf_dir), _store(spark, sf_dir), k=5, filters={"namespace": "ns_3"})
+    return _rounded(op.vector_search(_queries(spark, sf_dir), _store(spark, sf_dir), k=5, where={"label": {"$in": [3]}}, namespace="ns_3"))
 
 
 def cosine(spark, sf_dir):
@@ -53,12 +58,12 @@ def cosine(spark, sf_dir):
 
 
 def distances(spark, sf_dir):
-    return op.vector_query(_store(spark, sf_dir), _queries(spark, sf_dir), include=["label"], k=8)
+    return _rounded(op.vector_query(_store(spark, sf_dir), _queries(spark, sf_dir), include=["label"], k=8), "distance")
 
 
 def query_by_id(spark, sf_dir):
     ids = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.max("vec_id").alias("id"))
-    return op.search_by_id(_store(spark, sf_dir), ids.select("id"), k=4)
+    return _rounded(op.search_by_id(_store(spark, sf_dir), ids.select("id"), k=4))
 
 
 def _words(df, key, column):
@@ -223,7 +228,7 @@ def _chunks_sql(size, overlap, source="documents", doc="doc_id", content="text")
 _RAG_SQL = f"""WITH {_chunks_sql(1000, 100)},
     idx AS (SELECT doc_id, chunk_id, content, CAST({_embed_sql('content', DIM)} AS DOUBLE[]) AS embedding FROM ch),
     q AS (SELECT item_id AS query_id, CAST({_embed_sql('text', DIM)} AS DOUBLE[]) AS qv FROM benchmark),
-    sc AS (SELECT query_id, doc_id, chunk_id, content, round(list_cosine_similarity(embedding, qv), 6) AS score FROM q, idx),
+    sc AS (SELECT query_id, doc_id, chunk_id, content, list_cosine_similarity(embedding, qv) AS score FROM q, idx),
     rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM sc WHERE score >= 0.7)"""
 
 _SENTENCES_SQL = """WITH RECURSIVE parts AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i, s FROM (

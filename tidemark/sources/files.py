@@ -15,28 +15,38 @@ from tidemark.fixed_values import EXPORT_COLUMNS
 # --------------------------------------------------------------------- CSV
 
 
-def _width(spark: SparkSession, path: str, delimiter: str) -> int:
-    """Fields in the widest line; quoted delimiters do not count."""
-    bare = F.regexp_replace("value", r'"[^"]*(?:""[^"]*)*"', "")
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
+_BROKEN = "_broken_record"
+
+
+def _width(spark: SparkSession, path: str, delimiter: str, multi_line: bool) -> int:
+    """Fields in the widest record; delimiters and line ends inside quotes do not count."""
+    # with a schema of one column the reader hands over every wider record as it stands in the file
+    probe = spark.read.csv(path, schema=f"one string, {_BROKEN} string", sep=delimiter, escape='"', multiLine=multi_line,
+                           mode="PERMISSIVE", columnNameOfCorruptRecord=_BROKEN, enforceSchema=True)
+    bare = F.regexp_replace(_BROKEN, _QUOTED, "")
     fields = F.size(F.split(bare, "\\Q" + delimiter + "\\E", -1))
-    return spark.read.text(path).agg(F.max(fields)).first()[0] or 1
+    # the reader refuses a query of the broken records alone, so the other column takes part
+    width = F.when(F.col(_BROKEN).isNotNull(), fields).otherwise(F.least(F.length("one"), F.lit(1)))
+    return probe.agg(F.max(width)).first()[0] or 1
 
 
 def load_csv(
-    spark: SparkSession, path: str, delimiter: str = ",", has_headers: bool = True, max_width: int | None = None
+    spark: SparkSession, path: str, delimiter: str = ",", has_headers: bool = True, multi_line: bool = True
 ) -> DataFrame:
     """All-string columns; without headers ``Column_1..n``; ragged rows are kept.
 
-    Short rows are padded with nulls. Rows wider than the header go on in
-    ``Column_<n>``; give ``max_width`` to save the pass that finds the widest.
+    Short rows are padded with nulls. Rows wider than the header go on in ``Column_<n>``, up to the widest
+    record. A quoted field may hold line ends, so a file is one task; say ``multi_line=False`` for files
+    without such fields, and they are split.
     """
     names: list[str] = []
     if has_headers:
-        names = spark.read.csv(path, sep=delimiter, header=True, escape='"').columns
-    width = max(max_width or _width(spark, path, delimiter), len(names))
+        names = spark.read.csv(path, sep=delimiter, header=True, escape='"', multiLine=multi_line).columns
+    width = max(_width(spark, path, delimiter, multi_line), len(names))
     names += [f"Column_{i}" for i in range(len(names) + 1, width + 1)]
     schema = ", ".join(f"`{n}` string" for n in names)
-    return spark.read.csv(path, schema=schema, sep=delimiter, header=has_headers, escape='"', mode="PERMISSIVE")
+    return spark.read.csv(path, schema=schema, sep=delimiter, header=has_headers, escape='"', multiLine=multi_line, mode="PERMISSIVE")
 
 
 def csv_as_text(df: DataFrame, index: str | None = None) -> DataFrame:
@@ -63,7 +73,7 @@ def csv_summary(df: DataFrame) -> DataFrame:
 def _fields(line: Column, delimiter: str) -> Column:
     d = "\\" + delimiter
     found = F.regexp_extract_all(
-        F.concat(F.lit(delimiter), line), F.lit(rf'{d}("[^"]*(?:""[^"]*)*"|[^{d}]*)'), F.lit(1)
+        F.concat(F.lit(delimiter), line), F.lit(rf'{d}({_QUOTED}|[^{d}]*+)'), F.lit(1)
     )
     return F.transform(
         found,
@@ -75,8 +85,12 @@ def _fields(line: Column, delimiter: str) -> Column:
 
 
 def csv_profile(df: DataFrame, content: str = "content", delimiter: str = ",") -> DataFrame:
-    """A column of CSV text to headers, records, row_count; ``valid`` when all rows fit the header."""
-    lines = F.filter(F.split(F.col(content), r"\r?\n"), lambda v: v != "")
+    """A column of CSV text to headers, records, row_count; ``valid`` when all rows fit the header.
+
+    Line ends inside quotes belong to their field; a quote that never closes ends with its line.
+    """
+    record = r'(?:[^"\r\n]++|"[^"]*+"|"[^\r\n]*+)++'
+    lines = F.regexp_extract_all(F.col(content), F.lit(record), F.lit(0))
     parsed = df.withColumn("_lines", lines)
     records = F.transform(F.slice("_lines", F.lit(2), F.greatest(F.size("_lines") - 1, F.lit(0))), lambda v: _fields(v, delimiter))
     return (

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import strip
 
 _NOISE = r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)"
-_TAG = r"""</?[A-Za-z][^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>|<[!?][^>]*>"""
-_ATTRS = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*"""
+# Every loop is possessive: a repeated alternation that may give back recurses for each turn and overflows on
+# long tags. A tag whose quotes do not close ends at its first ">".
+_ATTRS = r"""(?:[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+(?=>)|[^>]*+)"""
+_TAG = rf"""</?[A-Za-z]{_ATTRS}>|<[!?][^>]*+>"""
 _MARK = "\u0001"
 
 # Counted elements.
