@@ -490,3 +490,27 @@ def test_html_patterns_do_not_overflow(spark):
     for mode in ("text", "structure", "links", "metadata", "all"):
         assert html.html_analyze(df, mode).count() >= 0
         html.html_analyze(df, mode).write.format("noop").mode("overwrite").save()
+
+
+def test_a_chain_goes_on_where_it_stopped(spark):
+    df = _entries(spark, 9).union(_entries(spark, 4).withColumn("log_id", F.lit(None)).withColumn("id", F.col("id") + 50))
+    whole = {r.id: (r.seq, r.previous_hash, r.chain_hash) for r in audit.build_chain(df).collect()}
+    done = None
+    for part in (df.filter("id < 3"), df.filter("id BETWEEN 3 AND 51"), df.filter("id > 51")):
+        tails = None if done is None else done.groupBy("log_id").agg(F.max("seq").alias("seq"), F.max_by("chain_hash", "seq").alias("chain_hash"))
+        new = audit.build_chain(part, tails=tails)
+        done = spark.createDataFrame((done.collect() if done else []) + new.collect(), new.schema)
+    assert {r.id: (r.seq, r.previous_hash, r.chain_hash) for r in done.collect()} == whole
+
+
+def test_the_digest_of_an_empty_log(spark):
+    logs = spark.createDataFrame([(1,), (7,), (None,)], "log_id int")
+    got = {r.log_id: r.digest for r in audit.log_digest(_entries(spark), logs=logs).collect()}
+    assert got[7] == got[None] == "genesis" and len(got[1]) == 64
+
+
+def test_most_frequent_actions(spark):
+    df = _entries(spark, 6).withColumn("action", F.concat(F.lit("a"), F.col("id") % 4))
+    assert [(a.action, a.events) for a in audit.audit_summary(df).first().top_actions] == [("a0", 2), ("a1", 2), ("a2", 1), ("a3", 1)]
+    empty = audit.audit_range(df.limit(0)).first()
+    assert empty.total_events == 0 and empty.top_actions == []

@@ -136,6 +136,11 @@ def top_n(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     )
 
 
+def top_n_of(counts: DataFrame, column: str, n: int) -> DataFrame:
+    """The ``n`` largest of rows that are counted already."""
+    return counts.select(column, "events").orderBy(F.desc("events"), F.asc(column)).limit(n)
+
+
 def audit_performance(df: DataFrame) -> DataFrame:
     """Memory is averaged over all rows, time only over the rows that have one."""
     rows = F.count("*")
@@ -297,22 +302,33 @@ def security_stats(df: DataFrame) -> DataFrame:
     return counted.filter(~((F.col("dimension") == "user") & F.col("value").isNull()))
 
 
+def _with_top_actions(counts: DataFrame, totals: dict[str, Column], n: int) -> DataFrame:
+    """One row: totals of the counts per action, and the ``n`` most frequent actions as (action, events)."""
+    top = top_n_of(counts, "action", n)
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("events")).alias("o"), "action", "events")))
+    actions = top.agg(F.transform(listed, lambda a: F.struct(a["action"].alias("action"), a["events"].alias("events"))).alias("top_actions"))
+    return counts.agg(*[v.alias(k) for k, v in totals.items()]).join(actions)
+
+
 def audit_summary(df: DataFrame) -> DataFrame:
+    """Totals and the five most frequent actions."""
     outcome = F.lower("outcome")
-    return df.agg(
-        F.count("*").alias("total_events"),
-        F.count_if(F.col("outcome").isin("success", "Success")).alias("successful"),
-        F.count_if(F.col("outcome").isin("failure", "Failure")).alias("failed"),
-        F.count_if(outcome.contains("violation") | outcome.contains("blocked")).alias("violations"),
+    counts = df.groupBy("action").agg(
+        F.count("*").alias("events"),
+        F.count_if(F.col("outcome").isin("success", "Success")).alias("s"),
+        F.count_if(F.col("outcome").isin("failure", "Failure")).alias("f"),
+        F.count_if(outcome.contains("violation") | outcome.contains("blocked")).alias("v"),
     )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return _with_top_actions(counts, {"total_events": total("events"), "successful": total("s"), "failed": total("f"), "violations": total("v")}, 5)
 
 
 def audit_range(df: DataFrame) -> DataFrame:
-    return df.agg(
-        F.date_format(F.min("timestamp"), "yyyy-MM-dd").alias("first_day"),
-        F.date_format(F.max("timestamp"), "yyyy-MM-dd").alias("last_day"),
-        F.count("*").alias("total_events"),
-    )
+    """First and last day, total and the ten most frequent actions."""
+    counts = df.groupBy("action").agg(F.count("*").alias("events"), F.min("timestamp").alias("a"), F.max("timestamp").alias("b"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    totals = {"first_day": day(F.min("a")), "last_day": day(F.max("b")), "total_events": F.coalesce(F.sum("events"), F.lit(0)).cast("long")}
+    return _with_top_actions(counts, totals, 10)
 
 
 def audit_report(df: DataFrame, start, end) -> dict[str, DataFrame]:
@@ -368,19 +384,27 @@ def _hashed(content: str, previous: str | None) -> str:
 
 
 def build_chain(
-    df: DataFrame, log: str = "log_id", order: Sequence[str] = ("timestamp", "id"), content: Column | None = None
+    df: DataFrame, log: str = "log_id", order: Sequence[str] = ("timestamp", "id"), content: Column | None = None,
+    tails: DataFrame | None = None,
 ) -> DataFrame:
     """(log, id, seq, previous_hash, chain_hash), chained in order within each log.
 
     A hash chain is serial by definition, so a log is one ordered stream; only
     the key, the order and the content string travel to it, and the state is
-    the last hash.
+    the last hash. ``tails`` (log, seq, chain_hash) holds the last stored entry
+    of logs that go on; their new rows follow it. Other logs start afresh.
     """
     order = list(order)
     narrow = df.select(log, "id", *[c for c in order if c != "id"], (content or chain_content()).alias("content"))
+    goes_on = tails is not None
+    if goes_on:
+        last_of = tails.select(F.col(log).alias("_of"), F.col("seq").alias("_seq"), F.col("chain_hash").alias("_hash"))
+        narrow = narrow.join(last_of, F.col(log).eqNullSafe(F.col("_of")), "left").drop("_of")
 
     def step(state, rows: pd.DataFrame):
         seq, last = state
+        if goes_on and last is None and len(rows) and isinstance(rows["_hash"].iloc[0], str):
+            seq, last = int(rows["_seq"].iloc[0]) + 1, rows["_hash"].iloc[0]
         links = []
         for text in rows["content"]:
             new = _hashed(text, last)
@@ -451,9 +475,13 @@ def corrupted_entries(df: DataFrame, log: str = "log_id", order: Sequence[str] =
     )
 
 
-def log_digest(df: DataFrame, log: str = "log_id", order: Sequence[str] = ("timestamp", "id")) -> DataFrame:
+def log_digest(
+    df: DataFrame, log: str = "log_id", order: Sequence[str] = ("timestamp", "id"), logs: DataFrame | None = None
+) -> DataFrame:
     """One digest per log over the ordered timestamp, actor, action and outcome.
 
+    ``logs`` names logs that may have no entry yet; theirs is the digest of an empty log.
+
     Streams the ordered rows into a running SHA-256; the concatenation itself
     is never built.
     """
@@ -471,7 +499,12 @@ def log_digest(df: DataFrame, log: str = "log_id", order: Sequence[str] = ("time
         return pd.DataFrame({log: [key[0]], "digest": [state.hexdigest()]})
 
     kind = dict(narrow.dtypes)[log]
-    return ordered_fold(narrow, [log], list(order), hashlib.sha256, step, f"{log} {kind}, digest string", finish)
+    found = ordered_fold(narrow, [log], list(order), hashlib.sha256, step, f"{log} {kind}, digest string", finish)
+    if logs is None:
+        return found
+    named = logs.select(F.col(log).alias("_named")).distinct()
+    both = named.join(found, F.col("_named").eqNullSafe(F.col(log)), "left")
+    return both.select(F.col("_named").alias(log), F.coalesce("digest", F.lit(GENESIS_DIGEST)).alias("digest"))
 
 
 GENESIS_DIGEST = "genesis"

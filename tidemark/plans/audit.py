@@ -61,12 +61,14 @@ def stamp_of(col):
     return F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
-_DETAILED_SQL = (
-    AUDIT
-    + f""", d AS (SELECT * REPLACE (CASE WHEN id % 40 = 0 THEN 'admin_login' ELSE action END AS action),
+_WHERE_PERIOD = f" WHERE {PERIOD}"
+
+
+def _detailed_sql(where=""):
+    return AUDIT + f""", d AS (SELECT * REPLACE (CASE WHEN id % 40 = 0 THEN 'admin_login' ELSE action END AS action),
         CAST(json_extract_string(props, '$.k') AS BIGINT) AS attempts,
         CASE WHEN id % 300 = 0 THEN '' ELSE 'h' END AS chain_hash,
-        CASE WHEN id % 200 = 1 THEN NULL ELSE 'h' END AS previous_hash FROM audit WHERE {PERIOD}),
+        CASE WHEN id % 200 = 1 THEN NULL ELSE 'h' END AS previous_hash FROM audit{where}),
     hits AS (
     SELECT 'excessive_failed_attempts' AS rule, 'High' AS severity, timestamp FROM d WHERE outcome = 'Failure' AND attempts > 3
     UNION ALL SELECT 'unauthorized_privileged_operation', 'Critical', timestamp FROM d
@@ -84,11 +86,9 @@ _DETAILED_SQL = (
     UNION ALL SELECT 'untracked_tool_execution', 'Low', timestamp FROM d
         WHERE event_type = 'ToolExecution' AND tool_name IS NULL)
     """
-)
 
 
-def _in_period(df):
-    return op.audit_filter(df, start=START, end=END)
+_DETAILED_SQL = _detailed_sql()
 
 
 def _scored(spark, sf_dir):
@@ -148,7 +148,7 @@ def test_data_rows(spark, sf_dir):
 
 
 def audit_performance(spark, sf_dir):
-    out = op.audit_performance(_in_period(audit_view(spark, sf_dir)))
+    out = op.audit_performance(audit_view(spark, sf_dir))
     return out.select(
         F.round("avg_execution_time_ms", 6).alias("avg_execution_time_ms"),
         "max_execution_time_ms",
@@ -182,17 +182,17 @@ _SCORE_SQL = """greatest(0, 100.0 * count_if(outcome <> 'Failure') / count(*) -
 
 
 def compliance_violations(spark, sf_dir):
-    out = op.compliance_violations(_in_period(_detailed(spark, sf_dir)))
+    out = op.compliance_violations(_detailed(spark, sf_dir))
     return out.select("rule", "severity", "violations", stamp("last_occurrence").alias("last_occurrence"))
 
 
 def compliance_score(spark, sf_dir):
-    out = op.compliance_score(_in_period(_detailed(spark, sf_dir)))
+    out = op.compliance_score(_detailed(spark, sf_dir))
     return out.withColumn("compliance_score", F.round("compliance_score", 6))
 
 
 def security_highlights(spark, sf_dir):
-    out = op.security_highlights(_in_period(audit_view(spark, sf_dir)))
+    out = op.security_highlights(audit_view(spark, sf_dir))
     return out.select(
         "event_type",
         "action",
@@ -204,9 +204,13 @@ def security_highlights(spark, sf_dir):
     )
 
 
+def _actions_as_text(df):
+    pairs = F.transform("top_actions", lambda a: F.concat_ws(": ", a["action"], a["events"].cast("string")))
+    return df.withColumn("top_actions", F.array_join(pairs, ", "))
+
+
 def security_stats(spark, sf_dir):
-    df = _scored(spark, sf_dir).filter(F.col("timestamp").between(moment(START), moment(END)))
-    return op.security_stats(df)
+    return op.security_stats(_scored(spark, sf_dir))
 
 
 def security_metrics_24h(spark, sf_dir):
@@ -326,15 +330,15 @@ QUERIES = {
     "audit_tags_all": audit_tags_all,
     "security_filter": security_filter,
     "test_data_rows": test_data_rows,
-    "audit_counts": lambda s, d: op.audit_counts(_in_period(audit_view(s, d))),
-    "top_actors": lambda s, d: op.top_n(_in_period(audit_view(s, d)), "actor", 10),
+    "audit_counts": lambda s, d: op.audit_counts(audit_view(s, d)),
+    "top_actors": lambda s, d: op.top_n(audit_view(s, d), "actor", 10),
     "audit_performance": audit_performance,
     "compliance_violations": compliance_violations,
     "compliance_score": compliance_score,
     "security_highlights": security_highlights,
     "security_stats": security_stats,
-    "audit_summary": lambda s, d: op.audit_summary(audit_view(s, d)),
-    "audit_range": lambda s, d: op.audit_range(audit_view(s, d)),
+    "audit_summary": lambda s, d: _actions_as_text(op.audit_summary(audit_view(s, d))),
+    "audit_range": lambda s, d: _actions_as_text(op.audit_range(audit_view(s, d))),
     "audit_report": audit_report,
     "security_metrics_24h": security_metrics_24h,
     "paged": paged,
@@ -368,17 +372,17 @@ ORACLE = {
         SELECT id, actor, ({_token_sql}) OR (regexp_full_match(actor, 'agent[0-9]+') AND strlen(actor) <= 7) AS is_test
         FROM named""",
     "audit_counts": AUDIT
-    + f"""SELECT 'type' AS dimension, event_type AS value, count(*) AS events FROM audit WHERE {PERIOD} GROUP BY 2
-        UNION ALL SELECT 'outcome', outcome, count(*) FROM audit WHERE {PERIOD} GROUP BY 2
-        UNION ALL SELECT 'risk', risk_level, count(*) FROM audit WHERE {PERIOD} GROUP BY 2""",
+    + f"""SELECT 'type' AS dimension, event_type AS value, count(*) AS events FROM audit GROUP BY 2
+        UNION ALL SELECT 'outcome', outcome, count(*) FROM audit GROUP BY 2
+        UNION ALL SELECT 'risk', risk_level, count(*) FROM audit GROUP BY 2""",
     "top_actors": AUDIT
-    + f"SELECT actor, count(*) AS events FROM audit WHERE {PERIOD} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    + f"SELECT actor, count(*) AS events FROM audit GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "audit_performance": AUDIT
     + f"""SELECT round(avg(execution_time_ms), 6) AS avg_execution_time_ms, max(execution_time_ms) AS max_execution_time_ms,
         count(execution_time_ms) AS total_operations,
         round(CAST(sum(memory_usage_mb) AS DOUBLE) / count(*), 6) AS avg_memory_usage_mb,
         max(memory_usage_mb) AS peak_memory_usage_mb,
-        round(CAST(count_if(outcome = 'Failure') AS DOUBLE) / count(*), 6) AS error_rate FROM audit WHERE {PERIOD}""",
+        round(CAST(count_if(outcome = 'Failure') AS DOUBLE) / count(*), 6) AS error_rate FROM audit""",
     "compliance_violations": _DETAILED_SQL
     + f"""SELECT rule, severity, count(*) AS violations, strftime(max(timestamp), '{SQL_STAMP}') AS last_occurrence
         FROM hits GROUP BY 1, 2""",
@@ -390,10 +394,10 @@ ORACLE = {
     + f"""SELECT event_type, action, count(*) AS events, strftime(min(timestamp), '{SQL_STAMP}') AS first_occurrence,
         strftime(max(timestamp), '{SQL_STAMP}') AS last_occurrence, count(DISTINCT resource) AS affected_resources,
         arg_max(risk_level, timestamp) AS severity FROM audit
-        WHERE {PERIOD} AND risk_level IN ('High', 'Critical') GROUP BY 1, 2""",
+        WHERE risk_level IN ('High', 'Critical') GROUP BY 1, 2""",
     "security_stats": _SCORED_SQL
     + f""", p AS (SELECT *, CASE WHEN risk_score <= 25 THEN 'low' WHEN risk_score <= 50 THEN 'medium'
-        WHEN risk_score <= 75 THEN 'high' ELSE 'critical' END AS band FROM scored WHERE {CLOSED})
+        WHEN risk_score <= 75 THEN 'high' ELSE 'critical' END AS band FROM scored)
         SELECT 'type' AS dimension, event_type AS value, count(*) AS events FROM p GROUP BY 2
         UNION ALL SELECT 'outcome', outcome, count(*) FROM p GROUP BY 2
         UNION ALL SELECT 'user', user_id, count(*) FROM p WHERE user_id IS NOT NULL GROUP BY 2
@@ -401,11 +405,13 @@ ORACLE = {
     "audit_summary": AUDIT
     + """SELECT count(*) AS total_events, CAST(count_if(outcome = 'Success') AS BIGINT) AS successful,
         CAST(count_if(outcome = 'Failure') AS BIGINT) AS failed,
-        CAST(count_if(outcome = 'Blocked') AS BIGINT) AS violations FROM audit""",
+        CAST(count_if(outcome = 'Blocked') AS BIGINT) AS violations, (SELECT string_agg(action || ': ' || n, ', ' ORDER BY n DESC, action)
+            FROM (SELECT action, count(*) AS n FROM audit GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)) AS top_actions FROM audit""",
     "audit_range": AUDIT
     + """SELECT strftime(min(timestamp), '%Y-%m-%d') AS first_day, strftime(max(timestamp), '%Y-%m-%d') AS last_day,
-        count(*) AS total_events FROM audit""",
-    "audit_report": _DETAILED_SQL
+        count(*) AS total_events, (SELECT string_agg(action || ': ' || n, ', ' ORDER BY n DESC, action)
+            FROM (SELECT action, count(*) AS n FROM audit GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)) AS top_actions FROM audit""",
+    "audit_report": _detailed_sql(_WHERE_PERIOD)
     + f"""SELECT 'counts' AS part, 'type:' || event_type AS name, CAST(count(*) AS DOUBLE) AS value FROM d GROUP BY 2
         UNION ALL SELECT 'counts', 'outcome:' || outcome, count(*) FROM d GROUP BY 2
         UNION ALL SELECT 'counts', 'risk:' || risk_level, count(*) FROM d GROUP BY 2
