@@ -40,7 +40,8 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled as good and not toxic; background: all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
-    return lm_score.cross_entropy_difference(docs, docs.join(good, "doc_id", "left_semi"))
+    # labels grow with the documents: a merge join at every size, never a broadcast
+    return lm_score.cross_entropy_difference(docs, docs.join(good.hint("merge"), "doc_id", "left_semi"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
