@@ -185,6 +185,7 @@ def _classify(doc_buckets: int, hot_runs: int):
 
 
 _PER_DOC = "doc_id long, tag long, starts binary, open binary"
+_OPEN = (4, 4, 1, 6)  # bytes of start, count, state and anchor of a run that needs sorting
 
 
 def _gather(batches: Iterator) -> Iterator:
@@ -200,8 +201,8 @@ def _gather(batches: Iterator) -> Iterator:
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
             sure = state[a:b] == 0
             spans = merged(start[a:b][sure], (start + count)[a:b][sure])
-            todo = np.stack([start[a:b][~sure], count[a:b][~sure], state[a:b][~sure], anchor[a:b][~sure]]).astype("<i8")
-            out.append((int(doc[a]), int(tag[a]), spans.astype("<i8").tobytes(), todo.tobytes()))
+            todo = b"".join(_pack(x[a:b][~sure], w) for x, w in zip((start, count, state, anchor), _OPEN))
+            out.append((int(doc[a]), int(tag[a]), spans.astype("<i8").tobytes(), todo))
         yield _batch(_PER_DOC, out)
 
     yield from _by_bucket(batches, solve)
@@ -225,7 +226,11 @@ def _emit_texts(length: int, buckets: int):
         for batch in batches:
             parts: dict[int, list] = {}
             for doc, tag, data, todo in zip(*(c.to_pylist() for c in batch.columns)):
-                for start, count, state, anchor in np.frombuffer(todo, "<i8").reshape(4, -1).T.tolist():
+                at, columns, n = 0, [], len(todo) // sum(_OPEN)
+                for width in _OPEN:
+                    columns.append(_unpack(todo[at : at + n * width], width).tolist())
+                    at += n * width
+                for start, count, state, anchor in zip(*columns):
                     if state == 1:
                         parts.setdefault(anchor % buckets, []).append((doc, tag, start, count, data[start : start + count + length - 1]))
                     else:
@@ -273,8 +278,13 @@ def _sort(length: int, doc_buckets: int):
         size = count + (length - 1)
         begins = np.concatenate([[0], np.cumsum(size)])[:-1]
         text, place = repeated_strings(b"".join(r[5] for r in rows), begins, count, doc, length)
-        zero = np.zeros(len(text), np.int64)
-        yield from _found(doc[text], tag[text], start[text] + place, zero + 1, zero, zero, doc_buckets)
+        order = np.lexsort((place, text))
+        text, place = text[order], place[order]
+        # strings that begin next to each other are sent as one interval
+        first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1)])) if len(text) else np.empty(0, int)
+        count_of, zero = np.diff(np.concatenate([first, [len(text)]])), np.zeros(len(first), np.int64)
+        text, place = text[first], place[first]
+        yield from _found(doc[text], tag[text], start[text] + place, count_of, zero, zero, doc_buckets)
 
     return lambda batches: _by_bucket(batches, solve)
 
