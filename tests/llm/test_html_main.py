@@ -43,3 +43,27 @@ def test_templates_of_a_host(spark):
     assert got[22][0].text == got[23][0].text == "" and got[21][0].text.startswith("Welcome")
     assert got[None][0].text == "Welcome to our pages\nWelcome to our pages"
     assert main_text(pages.limit(0)).count() == 0
+
+
+def test_names_do_not_drop_the_text():
+    body = "<h1>Head</h1><p>Some long text of this page that is the reason to read it.</p>"
+    for page in (f'<div class="content has-sidebar"><article>{body}</article></div>', f'<div class="elementor-widget-text">{body}</div>',
+                 f'<div id="search-results">{body}</div>', f'<form id="aspnetForm"><nav>a b</nav>{body}</form>',
+                 "".join(f'<div class="widget">{part}</div>' for part in ("<p>one part of it</p>", "<p>another part</p>", "<p>third part here</p>"))):
+        got = texts(f"<html><head><title>t</title><body>{page}<footer>foot</footer></body></html>")
+        assert got in (["Head", "Some long text of this page that is the reason to read it."], ["one part of it", "another part", "third part here"])
+    assert texts('<div class="widget">all there is</div>') == ["all there is"]
+
+
+def test_recurring_prose_of_articles(spark):
+    def page(i):
+        return f"<article><h1>Story {i}</h1><p>What happened on day {i} at length and in full.</p><p>Sign up here.</p></article>"
+
+    copies = "<article><p>One text that stands at many addresses.</p></article>"
+    near = "<article><p>Near copies share this long paragraph with each other.</p><p>seen {} times</p></article>"
+    rows = [(i, f"http://a/{i}", page(i)) for i in range(8)] + [(100 + i, f"http://a/c{i}", copies) for i in range(8)]
+    rows += [(200 + i, f"http://a/n{i}", near.format(i)) for i in range(8)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i}\nWhat happened on day {i} at length and in full." for i in range(8))
+    assert all(got[100 + i] == "One text that stands at many addresses." for i in range(8))
+    assert all(got[200 + i] == f"Near copies share this long paragraph with each other.\nseen {i} times" for i in range(8))

@@ -1,4 +1,4 @@
-"""Main text of web pages: named boilerplate and recurring subtrees are removed."""
+"""Main text of web pages: recurring subtrees and small parts named as boilerplate are removed."""
 
 from __future__ import annotations
 
@@ -21,21 +21,26 @@ _HINT = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*+)"|'([^']*+)'|([^\s>"'
 _WORD = re.compile(r"[a-z]+")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 RAW = {"script", "style", "title", "textarea", "xmp", "noembed", "noframes"}
-GONE = {"head", "script", "style", "title", "textarea", "noscript", "template", "nav", "menu", "footer", "aside", "form", "button",
-        "select", "dialog", "iframe", "object", "svg", "canvas", "audio", "video", "datalist", "xmp", "noembed", "noframes"}
-#: Words in class, id or role that name an element as one of the parts that are not the article.
+#: Elements whose content is no text of the page.
+HIDDEN = RAW | {"head", "template", "select", "datalist", "iframe", "object", "svg", "canvas", "audio", "video"}
+#: Elements that say they are not the article; evidence for small parts only, see ``_dropped``.
+GONE = {"noscript", "nav", "menu", "footer", "aside", "form", "button", "dialog"}
+#: Words in class, id or role that do the same.
 NAMED = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment",
          "comments", "complementary", "contentinfo", "cookie", "cookies", "consent", "disqus", "footer", "gdpr", "masthead", "menu",
          "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promoted", "related", "replies",
          "search", "share", "sharing", "sidebar", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget"}
 BLOCK = {"address", "article", "blockquote", "body", "center", "dd", "details", "dir", "div", "dl", "dt", "fieldset", "figcaption",
          "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section",
-         "summary", "table", "caption", "tbody", "thead", "tfoot", "td", "th", "tr", "ul"} | GONE
-#: Blocks of an article's own prose; they stay even where they recur on other pages.
-PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd", "dt", "td", "th", "tr", "caption", "figcaption",
-         "b", "i", "em", "strong", "a", "span", "u", "s", "code", "sub", "sup", "small", "q", "cite", "font", "mark"}
+         "summary", "table", "caption", "tbody", "thead", "tfoot", "td", "th", "tr", "ul"} | GONE | HIDDEN
+#: Pieces of a line: a block is deleted by elements that hold all of it, so these are hashed within their parents only.
+INLINE = {"b", "i", "em", "strong", "a", "span", "u", "s", "code", "sub", "sup", "small", "q", "cite", "font", "mark"}
+#: An article's own prose, deleted where it recurs unless that takes most of the article.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figcaption"}
+#: Cells and items of an article's tables and lists, which are counted as wholes.
+ITEMS = {"li", "dd", "dt", "td", "th", "tr", "caption"}
 #: An open element of the first kind ends where one of the second kind begins.
-ENDS = {"p": BLOCK - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
+ENDS = {"head": {"body"}, "p": BLOCK - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
         "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}}
 #: An open element is not closed from inside these.
 FENCE = {"table", "td", "th", "ul", "ol", "dl", "div", "section", "article", "main", "body", "html", "button", "aside", "nav", "footer",
@@ -53,23 +58,52 @@ def _named(tag: str, attributes: str) -> bool:
 
 
 class _Node:
-    __slots__ = ("tag", "gone", "article", "path", "digest", "inner", "candidate")
+    __slots__ = ("parent", "tag", "hidden", "article", "mark", "digest", "inner", "size", "holds", "drop")
 
-    def __init__(self, tag, gone, article, path):
-        self.tag, self.gone, self.article, self.path = tag, gone, article, path
-        self.digest, self.inner, self.candidate = None, [], False
+    def __init__(self, parent, tag, hidden, article, mark):
+        self.parent, self.tag, self.hidden, self.article, self.mark = parent, tag, hidden, article, mark
+        self.digest, self.inner, self.size, self.holds, self.drop = None, [], 0, tag in ("article", "main"), None
 
 
-def parse(html: str | None) -> list[tuple[str, bool, list[int]]]:
-    """(text, inside an article, hashes of the subtrees around it that may be template) per block in page order.
+def _dropped(root: _Node, blocks: list) -> list:
+    """Blocks left when the parts named as boilerplate are out.
 
-    One scan builds the open elements as a stack. Blocks inside parts that are named as boilerplate are left
-    out. Hashes cover tag names and texts of whole subtrees, bottom up.
+    A name counts only for a part that holds no article or main element and at most half of the page's text.
+    Class words are the weaker evidence: where the parts they name hold over half of the text together, they
+    count for nothing. A page never loses all its blocks to names.
+    """
+    def leaving(marks):
+        for node in nodes:  # parents come before their children
+            small = not node.holds and 2 * node.size <= root.size
+            node.drop = (node.parent is not None and node.parent.drop) or (node.mark in marks and small)
+        return [b for b in blocks if not b[1].drop]
+
+    nodes, seen = [], set()
+    for _, owner in blocks:
+        line = []
+        while owner is not None and owner not in seen:
+            seen.add(owner)
+            line.append(owner)
+            owner = owner.parent
+        nodes += reversed(line)
+    left = leaving({"tag", "class"})
+    by_class = sum(n.size for n in nodes if n.drop and n.mark == "class" and not n.parent.drop)
+    if 2 * by_class > root.size:
+        left = leaving({"tag"})
+    return left or blocks
+
+
+def parse(html: str | None) -> list[tuple[str, bool, tuple[list[int], list[int]]]]:
+    """(text, inside an article, hashes of the subtrees around it) per block in page order.
+
+    One scan builds the open elements as a stack. Hashes cover tag names and texts of whole subtrees, bottom
+    up, whatever their names; those of an article's own prose come apart from the others. Small parts named
+    as boilerplate are left out.
     """
     from xxhash import xxh64_intdigest
 
     html = html or ""
-    root = _Node("", False, False, ())
+    root = _Node(None, "", False, False, None)
     stack, blocks, pending, raw_from = [root], [], [], 0
     owner = None
 
@@ -85,19 +119,24 @@ def parse(html: str | None) -> list[tuple[str, bool, list[int]]]:
     def say(text):
         nonlocal owner
         top = stack[-1]
-        if not top.gone:
+        if not top.hidden:
             if owner is None:
                 owner = top
             pending.append(text)
+            text = " ".join(text.split())
             top.inner.append(text)
+            top.size += len(text)
 
     def pop():
         node = stack.pop()
         if node.tag in BLOCK:
             flush()
-        if not node.gone:
-            node.digest = xxh64_intdigest(f"<{node.tag}>" + "\x1f".join(" ".join(x.split()) if isinstance(x, str) else f"{x:x}" for x in node.inner))
-            stack[-1].inner.append(node.digest)
+        if not node.hidden:
+            node.digest = xxh64_intdigest(f"<{node.tag}>" + "\x1f".join(x if isinstance(x, str) else f"{x:x}" for x in node.inner))
+            above = stack[-1]
+            above.inner.append(node.digest)
+            above.size += node.size
+            above.holds = above.holds or node.holds
 
     at = 0
     size = len(html)
@@ -140,22 +179,31 @@ def parse(html: str | None) -> list[tuple[str, bool, list[int]]]:
             flush()
         top = stack[-1]
         article = top.article or tag in ("article", "main")
-        gone = top.gone or tag in GONE or (tag == "header" and not article) or _named(tag, attributes)
+        mark = "tag" if tag in GONE or (tag == "header" and not article) else "class" if _named(tag, attributes) else None
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
             close = html.find(">", end.end()) if end else -1
             at = close + 1 if close >= 0 else size
             continue
         if not attributes.rstrip().endswith("/") or tag in BLOCK:
-            node = _Node(tag, gone, article, None)
-            node.candidate = not gone and tag not in ("html", "body", "article", "main") and not (article and tag in PROSE)
-            node.path = (*top.path, node) if node.candidate else top.path
-            stack.append(node)
+            stack.append(_Node(top, tag, top.hidden or tag in HIDDEN, article, mark))
     while len(stack) > 1:
         pop()
     flush()
     signed = lambda h: h - (1 << 64) if h >> 63 else h
-    return [(text, node.article, [signed(x.digest) for x in node.path]) for text, node in blocks]
+    out, lines = [], {}
+    for text, node in _dropped(root, blocks):
+        if node not in lines:
+            path, own, at = [], [], node
+            while at.parent is not None:
+                if at.article and at.tag in PROSE:
+                    own.append(signed(at.digest))
+                elif at.tag not in INLINE and at.tag not in ("html", "body", "article", "main") and not (at.article and at.tag in ITEMS):
+                    path.append(signed(at.digest))
+                at = at.parent
+            lines[node] = path, own
+        out.append((text, node.article, lines[node]))
+    return out
 
 
 def site(url: str) -> Column:
@@ -170,33 +218,42 @@ def page_blocks(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        block = pa.list_(pa.struct([("text", pa.string()), ("article", pa.bool_()), ("path", pa.list_(pa.int64()))]))
+        block = pa.list_(pa.struct([("text", pa.string()), ("article", pa.bool_()), ("path", pa.list_(pa.int64())), ("own", pa.list_(pa.int64()))]))
         for batch in batches:
-            parsed = pa.array([[{"text": t, "article": a, "path": p} for t, a, p in parse(x.as_py())] for x in batch.column(4)], block)
+            parsed = pa.array([[{"text": t, "article": a, "path": p, "own": o} for t, a, (p, o) in parse(x.as_py())] for x in batch.column(4)], block)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], parsed], ["row", "page_id", "url", "host", "blocks"])
 
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("page_id"), F.col(url).alias("url"),
                         site(url).alias("host"), F.col(html).cast("string").alias("html"))
     return rows.mapInArrow(
-        run, f"row long, page_id {kinds[key]}, url {kinds[url]}, host string, blocks array<struct<text: string, article: boolean, path: array<long>>>")
+        run, f"row long, page_id {kinds[key]}, url {kinds[url]}, host string, blocks array<struct<text: string, article: boolean, path: array<long>, own: array<long>>>")
+
+
+def _subtrees(blocks: str = "blocks") -> Column:
+    return F.array_distinct(F.flatten(F.concat(F.col(f"{blocks}.path"), F.col(f"{blocks}.own"))))
 
 
 def recurring_subtrees(blocks: DataFrame, min_pages: int = 5, min_share: float = 0.01) -> DataFrame:
-    """(host, subtree): hashes that stand on at least ``min_pages`` pages and ``min_share`` of their host's pages."""
-    own = F.array_distinct(F.flatten(F.col("blocks.path")))
-    marks = blocks.select("host", F.explode(own).alias("subtree")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages"))
+    """(host, subtree): hashes that stand on at least ``min_pages`` pages and ``min_share`` of their host's pages.
+
+    Pages of a host with the same blocks are one page here: copies of a page do not make a template of it.
+    """
+    pages = blocks.select("host", F.xxhash64("blocks").alias("page"), _subtrees().alias("own")).dropDuplicates(["host", "page"])
+    marks = pages.select("host", F.explode("own").alias("subtree")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages"))
     marks = marks.where(F.col("pages") >= min_pages)
-    hosts = blocks.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
+    hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
     return marks.join(hosts, "host").where(F.col("pages") >= F.col("all") * min_share).select("host", "subtree")
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = 5, min_share: float = 0.01) -> DataFrame:
     """(page_id, url, text, n_chars) for every page, by site template removal.
 
-    Parts that say what they are (tags and class, id or role words) go first. Of the rest, the subtrees are
-    hashed and counted per host in Spark; those that recur on many pages of their host are deleted. An
-    article's own paragraphs and headings are no subtrees of this kind: they stay where another page repeats
-    them. Where a page marks an article or main element, only that is its text; else what is left of the page.
+    All subtrees of more than a line's piece are hashed and counted per host in Spark; those that recur on many
+    pages of their host are deleted. An article's own paragraphs and headings are deleted too, unless over half
+    of the article's text would go, as it does where articles are near copies; cells and items of an article go
+    with their tables and lists only. Small parts that say what they are (tags and class, id or role words) go
+    without a count, but names never delete an article or main element or most of a page's text. Where a page
+    marks an article or main element, only that is its text; else what is left of the page.
 
     White space in a block becomes one space, character references are decoded, blocks are joined by a line
     feed. Null or empty HTML gives an empty text; a null URL counts as a host of its own, and pages without a
@@ -204,12 +261,19 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     """
     blocks = stored(page_blocks(pages, key, url, html), "page-blocks")
     recurring = stored(recurring_subtrees(blocks, min_pages, min_share), "templates")
-    touched = blocks.select("row", "host", F.explode(F.array_distinct(F.flatten(F.col("blocks.path")))).alias("subtree")).join(recurring, ["host", "subtree"])
+    touched = blocks.select("row", "host", F.explode(_subtrees()).alias("subtree")).join(recurring, ["host", "subtree"])
     # a list per page, of subtrees that this page itself holds
     marks = stored(touched.groupBy("row").agg(F.collect_set("subtree").alias("template")), "page-templates")
-    kept = F.filter("blocks", lambda b: F.col("template").isNull() | ~F.arrays_overlap(b["path"], F.col("template")))
-    left = blocks.join(marks, "row", "left").select("page_id", "url", kept.alias("kept"))
-    inside = F.filter("kept", lambda b: b["article"])
-    chosen = F.when(F.size(inside) > 0, inside).otherwise(F.col("kept"))
+
+    def without(column: str, field: str) -> Column:
+        return F.filter(column, lambda b: F.col("template").isNull() | ~F.arrays_overlap(b[field], F.col("template")))
+
+    def chars(column: str) -> Column:
+        return F.aggregate(column, F.lit(0), lambda n, b: n + F.char_length(b["text"]))
+
+    left = blocks.join(marks, "row", "left").select("page_id", "url", "template", without("blocks", "path").alias("kept"))
+    left = left.withColumn("inside", F.filter("kept", lambda b: b["article"])).withColumn("distinct", without("inside", "own"))
+    inside = F.when(2 * chars("distinct") >= chars("inside"), F.col("distinct")).otherwise(F.col("inside"))
+    chosen = F.when(F.size("inside") > 0, inside).otherwise(F.col("kept"))
     text = left.select("page_id", "url", F.array_join(F.transform(chosen, lambda b: b["text"]), "\n").alias("text"))
     return text.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
