@@ -228,6 +228,16 @@ def test_skip_propagation_alternates_along_failures(spark):
     assert got == {"s0": "Failed", "s1": "Skipped", "s2": "Failed", "s3": "Skipped", "s4": "Failed", "go": "Success", "after": "Success"}
 
 
+def test_skip_propagation_keeps_steps_without_a_result(spark):
+    steps = spark.createDataFrame([("w", "a", [], None), ("w", "b", ["a"], None), ("w", "c", [], None), ("w", "d", ["c"], None)],
+                                  "workflow_id string, step_id string, depends_on array<string>, continue_on_error boolean")
+    for status, after in (("Failed", "Skipped"), ("Success", None)):
+        results = spark.createDataFrame([("w", "a", status)], "workflow_id string, step_id string, status string")
+        got = {r["step_id"]: r["status"] for r in workflow.propagate_status(steps, results).collect()}
+        assert got == {"a": status, "b": after, "c": None, "d": None}
+
+
+
 def test_safety_modes(spark):
     rows = [(1, "a", "Command", "rm -rf /", None, None, 5), (2, "a", "DeleteFile", None, "/etc/passwd", None, 5),
             (3, "a", "Http", None, None, "http://x.y", 5), (4, "a", "Command", "ls", None, None, None)]

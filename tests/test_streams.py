@@ -72,3 +72,16 @@ def test_late_rows_are_dropped(spark, tmp_path):
     stream = _stream(spark, path, "kind string, timestamp timestamp_ntz")
     st.append_to(st.stream_counters(stream, interval="1 hour"), sink, ckpt).awaitTermination(120)
     assert [r["events"] for r in spark.read.parquet(sink).collect()] == [1]
+
+
+def test_batches_deliver_every_row(spark, event_files):
+    path, events = event_files
+    sink, ckpt = fresh_path(spark, "s"), fresh_path(spark, "c")
+    st.stream_batches(_stream(spark, path, events.schema).select("client_id", "id"), sink, ckpt, "client_id", 3).awaitTermination(120)
+    out = spark.read.parquet(sink)
+    assert out.select("batch").distinct().count() > 1
+    assert sorted(r["id"] for r in out.collect()) == sorted(r["id"] for r in events.collect())
+    groups = out.groupBy("batch", "client_id", "batch_no").count()
+    last = groups.groupBy("batch", "client_id").agg(F.max("batch_no").alias("batch_no"))
+    assert groups.filter("count > 3").count() == 0
+    assert groups.join(last, ["batch", "client_id", "batch_no"], "left_anti").filter("count <> 3").count() == 0

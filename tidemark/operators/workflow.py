@@ -60,11 +60,12 @@ def propagate_status(steps: DataFrame, results: DataFrame, max_rounds: int = 10_
     """(workflow_id, step_id, status) after skipping.
 
     A step is Skipped when a direct dependency ends Failed, unless it continues
-    on error; a Skipped dependency does not block. Only failed steps can pass
+    on error; a Skipped dependency does not block. A step without a result keeps a
+    null status unless it is Skipped. Only failed steps can pass
     anything on, so only edges between failed steps are iterated.
     """
     own = steps.select(*STEP, "depends_on", F.coalesce("continue_on_error", F.lit(False)).alias("continues"))
-    own = own.join(results.select(*STEP, "status"), STEP)
+    own = own.join(results.select(*STEP, "status"), STEP, "left")
     edges = own.filter(~F.col("continues")).select(*STEP, F.explode("depends_on").alias("parent")).distinct()
     failed = own.filter(F.col("status") == "Failed").select(*STEP)
     as_parent = failed.select("workflow_id", F.col("step_id").alias("parent"))

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
@@ -313,16 +313,25 @@ def stream_gather(stream: DataFrame, shard: str, size: int = 10, order: str = "i
 
 def stream_batches(
     stream: DataFrame, sink: str, checkpoint: str, shard: str, size: int = 10,
-    action: Callable[[DataFrame, int], DataFrame] | None = None,
+    action: Callable[[DataFrame, int], DataFrame] | None = None, **trigger,
 ) -> StreamingQuery:
-    """Run ``action`` on full groups of rows and save what it returns per micro-batch."""
+    """Run ``action`` on numbered groups of each micro-batch and save what it returns.
+
+    Every row is delivered with its micro-batch, so a shard's last group may hold fewer than ``size`` rows.
+    ``batch_no`` counts a shard's groups from 0 within the micro-batch, which the sink names as ``batch``. Rows
+    are ordered by all columns that have an order, so that a repeated micro-batch makes the same groups.
+    """
+    if size < 1:
+        raise ValueError("size must be positive")
+    ordered = [c for c, kind in stream.dtypes if c != shard and "map<" not in kind and "variant" not in kind]
+    place = F.row_number().over(Window.partitionBy(shard).orderBy(*(ordered or [F.lit(0)])))
 
     def save(rows: DataFrame, batch: int) -> None:
-        (action(rows, batch) if action else rows).write.mode("overwrite").parquet(f"{sink}/batch={batch}")
+        grouped = rows.withColumn("batch_no", F.floor((place - 1) / size))
+        (action(grouped, batch) if action else grouped).write.mode("overwrite").parquet(f"{sink}/batch={batch}")
 
-    gathered = stream_gather(stream, shard, size)
-    writer = gathered.writeStream.outputMode("append").foreachBatch(save).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+    writer = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 # --------------------------------------------------------------------- index
