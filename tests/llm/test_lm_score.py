@@ -3,6 +3,9 @@
 import math
 from collections import Counter
 
+import public_tokenizers
+from tokenizers import Tokenizer
+
 from tidemark.llm import lm_score
 
 
@@ -46,3 +49,37 @@ def test_cross_entropy_difference(spark):
     assert by[0] < by[2]
     assert lm_score.cross_entropy_difference(docs, target.limit(0)).count() == len(texts)
     assert lm_score.cross_entropy_difference(docs.limit(0), target).count() == 0
+
+
+def test_token_bigrams_against_a_plain_count(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["the cat sat on the mat", "a cat", "zzz qqq é", None, "", "the cat sat on the mat", "mat the on sat cat the", "long " * 20_000]
+    docs = spark.createDataFrame([(i if i != 1 else None, t, 0.0) for i, t in enumerate(texts)], "doc_id long, text string, tokens double")
+    target = docs.where("text LIKE '%cat sat%'")
+    ids = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    vocabulary = len({i for x in ids for i in x})
+
+    def plain(rows, own):
+        c2 = Counter((a, b) for x in rows for a, b in zip([None, *x], x))
+        before, single = Counter(), Counter()
+        for (a, b), n in c2.items():
+            before[a] += n
+            single[b] += n
+        n, total = sum(single.values()), 0.0
+        for a, b in zip([None, *own], own):
+            total -= math.log2((c2[a, b] + 4 * (single[b] + 1) / (n + vocabulary)) / (before[a] + 4))
+        return total / max(1, len(own))
+
+    goal = [x for x, t in zip(ids, texts) if t and "cat sat" in t]
+    rows = lm_score.token_cross_entropy_difference(docs, target, path).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        own = ids[1 if r.doc_id is None else r.doc_id]
+        assert r.tokens == len(own)
+        assert math.isclose(r.target_loss, plain(goal, own), rel_tol=1e-5, abs_tol=1e-5)
+        assert math.isclose(r.background_loss, plain(ids, own), rel_tol=1e-5, abs_tol=1e-5)
+    by = {r.doc_id: r.difference for r in rows}
+    assert by[0] < by[6]
+    assert lm_score.token_cross_entropy_difference(docs, target.limit(0), path).count() == len(texts)
+    assert lm_score.token_cross_entropy_difference(docs.limit(0), target, path).count() == 0

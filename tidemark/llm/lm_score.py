@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_or_empty
+from tidemark.llm.common import stored, text_or_empty
+from tidemark.llm.tokens import id_encoder, without_collector
 
-#: Both models are trigrams over UTF-8 bytes: any text is covered, and a table has at most 256 ** 3 counts.
+#: Models of ``cross_entropy_difference`` are trigrams over UTF-8 bytes: any text is covered, and a table has at most 256 ** 3 counts.
 SYMBOLS = 256
 CHUNK = 4 << 20
 
@@ -111,3 +112,98 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id: str = "doc_
 
     rows = docs.select(F.col(id).alias("doc_id"), text_or_empty(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, tokens long, target_loss double, background_loss double, difference double")
+
+
+#: Losses of single bigrams are whole numbers of this part of a bit, so that sums do not depend on their order.
+PART = 1 << 20
+#: Bigrams after which a task hands its rows on.
+BATCH = 1 << 17
+
+
+def bigrams(docs: DataFrame, tokenizer: str | Callable[[], str], id: str, text: str) -> DataFrame:
+    """(row, doc_id, tokens, grams, counts): the distinct id bigrams of every text, coded as (id before + 1) << 32 | id.
+
+    The first id follows 0.
+    """
+    kind = dict(docs.dtypes)[id]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        encode, dtype = id_encoder(tokenizer if isinstance(tokenizer, str) else tokenizer())
+
+        def ready(batch, first, tokens, grams, counts):
+            ends = pa.array(np.cumsum([0, *map(len, grams)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (grams, counts)]
+            own = batch.slice(first, len(tokens))
+            return pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(tokens, pa.int64()), *lists], ["row", "doc_id", "tokens", "grams", "counts"])
+
+        for batch in batches:
+            first, held, tokens, grams, counts = 0, 0, [], [], []
+            for value in batch.column(2):
+                with without_collector():
+                    ids = np.frombuffer(encode(value.as_py()), dtype).astype(np.int64)
+                codes = ids.copy()
+                codes[1:] |= (ids[:-1] + 1) << 32
+                found, n = np.unique(codes, return_counts=True)
+                tokens.append(len(ids))
+                grams.append(found)
+                counts.append(n.astype(np.int32))
+                held += len(found)
+                if held >= BATCH:
+                    yield ready(batch, first, tokens, grams, counts)
+                    first, held, tokens, grams, counts = first + len(tokens), 0, [], [], []
+            if tokens:
+                yield ready(batch, first, tokens, grams, counts)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("doc_id"), text_or_empty(text).alias("text"))
+    return rows.mapInArrow(run, f"row long, doc_id {kind}, tokens long, grams array<long>, counts array<int>")
+
+
+def _each(coded: DataFrame, *keys: str) -> DataFrame:
+    return coded.select(*keys, F.explode(F.arrays_zip("grams", "counts")).alias("g")).select(*keys, F.col("g.grams").alias("gram"), F.col("g.counts").alias("n"))
+
+
+def bigram_losses(background: DataFrame, target: DataFrame, weight: float = 4.0) -> DataFrame:
+    """(gram, target_part, background_part) from the tables (gram, n) of both models, for the grams of the background.
+
+    Bigrams are smoothed with ``weight`` counts of single ids, these with one count per id of the vocabulary: all
+    ids of both tables. Losses are in parts of a bit.
+    """
+    both = background.withColumnRenamed("n", "n_b").join(target.withColumnRenamed("n", "n_t"), "gram", "full")
+    both = stored(both.select("gram", F.coalesce("n_b", F.lit(0)).alias("n_b"), F.coalesce("n_t", F.lit(0)).alias("n_t")), "bigrams")
+    parted = both.withColumn("before", F.shiftright("gram", 32)).withColumn("id", F.col("gram").bitwiseAND((1 << 32) - 1))
+    before = parted.groupBy("before").agg(F.sum("n_b").alias("before_b"), F.sum("n_t").alias("before_t"))
+    single = parted.groupBy("id").agg(F.sum("n_b").alias("id_b"), F.sum("n_t").alias("id_t"))
+    size, all_b, all_t = single.agg(F.count(F.lit(1)), F.coalesce(F.sum("id_b"), F.lit(0)), F.coalesce(F.sum("id_t"), F.lit(0))).first()
+
+    def part(of: str, total: int):
+        one = (F.col(f"id_{of}") + 1) / F.lit(float(total + size))
+        two = (F.col(f"n_{of}") + F.lit(weight) * one) / (F.col(f"before_{of}") + F.lit(weight))
+        return F.round(-F.log2(two) * PART).cast("long")
+
+    known = parted.where("n_b > 0").join(before, "before").join(single, "id")
+    return known.select("gram", part("t", all_t).alias("target_part"), part("b", all_b).alias("background_part"))
+
+
+def token_cross_entropy_difference(
+    docs: DataFrame, target: DataFrame, tokenizer: str | Callable[[], str], id: str = "doc_id", text: str = "text", target_text: str = "text",
+) -> DataFrame:
+    """(doc_id, tokens, target_loss, background_loss, difference) as above, by bigrams of tokenizer ids, in bits per id.
+
+    Counts of all bigrams of ``docs`` and ``target`` are Spark tables, combined in each task before the shuffle;
+    they grow with the corpus. Both models are joined to the documents by their bigrams, a row for each distinct
+    bigram of a document, so that no table of counts reaches the driver or travels whole with a task; Spark
+    splits the partitions of frequent bigrams. Null text counts as empty; an empty text has zero losses.
+    Repeated rows count as often as they come. Other columns are not read.
+    """
+    coded = stored(bigrams(docs, tokenizer, id, text), "document-bigrams")
+    aimed = bigrams(target.withColumn("_none", F.lit(0)), tokenizer, "_none", target_text)
+    tables = [_each(c).groupBy("gram").agg(F.sum("n").alias("n")) for c in (coded, aimed)]
+    # the grams of documents grow with the input as the model does: a merge join at every size
+    scored = _each(coded, "row").join(bigram_losses(*tables).hint("merge"), "gram")
+    sums = scored.groupBy("row").agg(F.sum(F.col("n") * F.col("target_part")).alias("t"), F.sum(F.col("n") * F.col("background_part")).alias("b"))
+    per = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.lit(float(PART)) / F.greatest("tokens", F.lit(1))
+    out = coded.select("row", "doc_id", "tokens").join(sums, "row", "left")
+    out = out.select("doc_id", "tokens", per("t").alias("target_loss"), per("b").alias("background_loss"))
+    return out.withColumn("difference", F.col("target_loss") - F.col("background_loss"))

@@ -41,7 +41,7 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
     # labels grow with the documents: a merge join at every size, never a broadcast
-    return lm_score.cross_entropy_difference(docs, docs.join(good.hint("merge"), "doc_id", "left_semi"))
+    return lm_score.token_cross_entropy_difference(docs, docs.join(good.hint("merge"), "doc_id", "left_semi"), _tokenizer)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
