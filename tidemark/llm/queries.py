@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, html_main, lm_score, packing, quality, sharding, simhash, suffix_dedup, token_store
+from tidemark.llm import (
+    decontaminate, exact_dedup, html_main, lm_score, packing, periodic, quality, sharding, simhash, suffix_dedup, token_store,
+)
 from tidemark.session import table
 
 
@@ -78,6 +80,28 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(docs, width=4, max_bits=4).select("doc_id", "fingerprint", "component_id")
 
 
+def _planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's tenth of documents that repeat part of themselves to the end."""
+    import zlib
+
+    h = 0 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g = h // 10
+    a = g % len(words)
+    p = 1 + (len(words) - a) // (3 + g % 8)
+    return [*words[:a], *(words[a : a + p] * ((len(words) - a) // p + 1))[: len(words) - a]]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.periodic_runs(docs, min_length=24, min_periods=3, rewrite=_planted_period)
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", F.expr("1000 * length div period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_lm_score": op4_lm_score,
@@ -86,5 +110,6 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op8_packing": op8_packing,
     "op3_token_store": op3_token_store,
-    "op9_simhash": op9_simhash, "op5_sharding": op5_sharding, "op10_exact_dedup": op10_exact_dedup}
+    "op9_simhash": op9_simhash, "op5_sharding": op5_sharding, "op10_exact_dedup": op10_exact_dedup,
+    "op13_periodic_runs": op13_periodic_runs}
 ORACLE = {"op10_exact_dedup": EXACT_SQL}
