@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    decontaminate, exact_dedup, html_main, lm_score, packing, periodic, quality, sharding, simhash, suffix_dedup, token_store,
+    best_fit, decontaminate, exact_dedup, html_main, lm_score, packing, periodic, quality, sharding, simhash, suffix_dedup, token_store,
 )
 from tidemark.session import table
 
@@ -17,7 +17,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, WORD_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def _tokenizer() -> str:
@@ -27,6 +27,12 @@ def _tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def _word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(WORD_TOKENIZER)
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -102,6 +108,11 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return best_fit.pack_best_fit(docs, _word_tokenizer, end_id=0, window=2048)
+
+
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_lm_score": op4_lm_score,
@@ -111,5 +122,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op3_token_store": op3_token_store,
     "op9_simhash": op9_simhash, "op5_sharding": op5_sharding, "op10_exact_dedup": op10_exact_dedup,
+    "op12_best_fit": op12_best_fit,
     "op13_periodic_runs": op13_periodic_runs}
 ORACLE = {"op10_exact_dedup": EXACT_SQL}

@@ -50,13 +50,57 @@ class _Units(dict):
         return ids
 
 
+# Normalising and cutting of files that drop white space, lower-case and take words apart; fixed, published values.
+_WORD_FILE = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+_NOT_SPACE_THERE = re.compile("[\x1c-\x1f]")  # Python splits at these, the file does not
+
+
+def word_encoder(whole: Callable[[str], bytes], ids_of: Callable[[str], bytes], special: list[str]) -> Callable[[str], bytes]:
+    """Encodes word by word: no step of such a file looks across white space, and words are remembered.
+
+    Latin-1 letters, with signs after them or not, need no normaliser but ``lower``; other words take the long way.
+    """
+    marks = {s[:2] for s in special}
+    letters = dict(enumerate(byte_letters().values()))
+
+    def unit(text: str) -> bytes:
+        word = text.rstrip(_SIGNS)
+        if not word.isalpha():
+            return whole(text)
+        if len(word) < len(text):
+            return known(word) + tails[text[len(word) :]]
+        if word.isascii():
+            return ids_of(word.lower())
+        try:
+            word.encode("latin-1")
+        except UnicodeEncodeError:
+            return whole(text)
+        return ids_of(word.lower().encode().decode("latin-1").translate(letters))
+
+    tails = _Units(ids_of)
+    known = _Units(unit).__getitem__
+
+    def encode(text: str) -> bytes:
+        if _NOT_SPACE_THERE.search(text) or any(m in text for m in marks):
+            return whole(text)
+        return b"".join(map(known, text.split()))
+
+    return encode
+
+
 def id_encoder(path: str) -> tuple[Callable[[str], bytes], str]:
     """(text to its ids as little-endian bytes, numpy type of an id) for a ``tokenizers`` file.
 
     For byte-level BPE with the usual pattern, a blank that has a character other than white space on one side
     at least always begins a new piece, so ids are looked up blank by blank; only words not met before, and
-    texts with wider gaps, go to the tokenizer. Any other file is encoded text by text. Both ways give what
-    ``encode(text, add_special_tokens=False)`` gives.
+    texts with wider gaps, go to the tokenizer. A file that drops white space is encoded word by word, any other
+    text by text. All ways give what ``encode(text, add_special_tokens=False)`` gives.
     """
     import array
     import json
@@ -82,16 +126,19 @@ def id_encoder(path: str) -> tuple[Callable[[str], bytes], str]:
         and all(any(not c.isalpha() and c not in _SIGNS for c in t) for t in special)
         and (described.get("post_processor") or {}).get("type", "ByteLevel") == "ByteLevel"
     )
+    merge, typed = tokenizer.model.tokenize, array.array
+
+    def ids_of(written: str) -> bytes:
+        return typed(kind, [t.id for t in merge(written)]).tobytes()
+
     if not plain:
-        return whole, dtype
+        words = all(described.get(k) == v for k, v in _WORD_FILE.items()) and described["model"]["type"] == "BPE"
+        return (word_encoder(whole, ids_of, special) if words and all(special) else whole), dtype
     letters = dict(enumerate(byte_letters().values()))
-    pieces, merge, typed = regex.compile(PATTERN).findall, tokenizer.model.tokenize, array.array
+    pieces = regex.compile(PATTERN).findall
 
     blank = letters[32]
 
-    def ids_of(written: str) -> bytes:
-        return typed(kind, [t.id for t in merge(written)]).tobytes()
-
     def merged(piece: str) -> bytes:
         return ids_of(piece.encode().decode("latin-1").translate(letters))
 
