@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    best_fit, decontaminate, exact_dedup, html_main, lm_score, packing, periodic, quality, sharding, simhash, suffix_dedup, token_store,
+    best_fit, decontaminate, exact_dedup, hard_negatives, html_main, lm_score, packing, periodic, quality, sharding, simhash, suffix_dedup, token_store,
 )
 from tidemark.session import table
 
@@ -113,6 +113,28 @@ def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_best_fit(docs, _word_tokenizer, end_id=0, window=2048)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vector is given the next label first, as the contract has it."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine_hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+HARD_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+o AS (SELECT * FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT o.anchor_id, o.other AS positive_id, p.other AS negative_id, o.score AS positive_score, p.score AS negative_score
+    FROM o JOIN p ON o.anchor_id = p.anchor_id AND NOT p.same AND 30 * o.score <= 100 * p.score AND 100 * p.score <= 90 * o.score)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) AS INTEGER) AS rank,
+    negative_id, positive_score, negative_score FROM n QUALIFY rank <= 10
+"""
+
+
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_lm_score": op4_lm_score,
@@ -122,6 +144,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op3_token_store": op3_token_store,
     "op9_simhash": op9_simhash, "op5_sharding": op5_sharding, "op10_exact_dedup": op10_exact_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_best_fit": op12_best_fit,
     "op13_periodic_runs": op13_periodic_runs}
-ORACLE = {"op10_exact_dedup": EXACT_SQL}
+ORACLE = {"op10_exact_dedup": EXACT_SQL, "op11_hard_negatives": HARD_SQL}
