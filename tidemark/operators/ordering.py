@@ -67,15 +67,19 @@ def position_in_order(
     tagged = df.withColumn("_bucket", bucket)
     counts = tagged.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    named = [F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)]
     offsets = counts.select(
-        *keys, "_bucket", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before")
+        *named, F.col("_bucket").alias("_of"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before")
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     ranked = tagged.withColumn("_rank", F.row_number().over(inside))
+    same = F.col("_bucket").eqNullSafe(F.col("_of"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
     return (
-        ranked.join(offsets, [*keys, "_bucket"])
+        ranked.join(offsets, same)
         .withColumn(out, (F.col("_before") + F.col("_rank") - 1).cast("bigint"))
-        .drop("_bucket", "_rank", "_before")
+        .drop("_bucket", "_rank", "_before", "_of", *[f"_key_{i}" for i in range(len(keys))])
     )
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.embedding import HashEmbedder
+from tidemark.plans.access import _WINDOWED_SQL, PATTERNS, RATES
 from tidemark.plans.access import ORACLE as ACCESS_SQL
-from tidemark.plans.access import RATES
+from tidemark.plans.audit import _CHAIN_SQL
 from tidemark.plans.retrieval import _chunks_sql
-from tidemark.plans.views import SQL_STAMP, stamp
+from tidemark.plans.views import SQL_STAMP, audit_entries, stamp
 from tidemark.session import fresh_path, table
+from tidemark.sources.files import AUDIT_SCHEMA, read_audit
 from tidemark.streaming import streams as st
 
 LATE = "40 days"  # the shared events come in one unordered file
@@ -32,29 +34,40 @@ def _paths(spark, label):
     return fresh_path(spark, label), fresh_path(spark, label + "-ckpt")
 
 
+def _released(ts: str = "ts") -> str:
+    """SQL for rows whose slot of a day the last watermark has passed."""
+    return f"(epoch_us({ts}) // 86400000000 + 1) * 86400000000 <= (SELECT max(epoch_us(ts)) - 3600000000 FROM events)"
+
+
+DAY, HELD = 86_400, "1 hour"  # slots and lateness of the streams that put rows in order
+
+
 def stream_audit(spark, sf_dir):
-    """Every event comes twice; the log keeps it once."""
+    """Every event comes twice; the chained log of each user keeps it once."""
     sink, ckpt = _paths(spark, "audit")
-    events = _events(spark, sf_dir).select("id", "timestamp", "event_type", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).drop("copy")
+    entries = audit_entries(_stream(spark, sf_dir, "events")).withColumn("log_id", F.col("user_id"))
+    twice = entries.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     with st.rocksdb(spark):
-        st.stream_audit(events, sink, ckpt, lateness=LATE).awaitTermination()
-    return spark.read.parquet(sink).select("id", stamp("timestamp").alias("at"), "event_type")
+        st.stream_audit(twice, sink, ckpt, lateness=HELD, release=DAY).awaitTermination()
+    log = read_audit(spark, sink, AUDIT_SCHEMA + ", log_id bigint, seq bigint")
+    return log.select("log_id", "id", stamp("timestamp").alias("at"), "event_type", "seq", "previous_hash", "chain_hash")
 
 
 def stream_threats(spark, sf_dir):
     sink, ckpt = _paths(spark, "threats")
-    found = st.stream_threats(_events(spark, sf_dir), failures=3, requests=5, size_limit=300, window="24 hours", slide="12 hours", lateness=LATE)
-    st.update_into(found, sink, ckpt).awaitTermination()
-    out = st.latest(spark, sink, "source bigint, window_start timestamp, failures bigint, requests bigint, bytes double, threats array<string>", ["source", "window_start"])
-    return out.select("source", stamp("window_start").alias("window_start"), "failures", "requests", F.round("bytes", 4).alias("bytes"), F.array_join("threats", ",").alias("threats"))
+    with st.rocksdb(spark):
+        found = st.stream_threats(_events(spark, sf_dir), PATTERNS, lateness=HELD, release=DAY)
+        st.append_to(found, sink, ckpt).awaitTermination()
+    slots = spark.read.schema("source bigint, slot timestamp_ntz, pattern string, severity string, detections bigint, peak double").parquet(sink)
+    return st.threat_totals(slots).withColumn("peak", F.round("peak", 4))
 
 
 def stream_rate_limit(spark, sf_dir):
     sink, ckpt = _paths(spark, "rate")
     requests = _events(spark, sf_dir).select(F.col("source").alias("client_id"), "id", "timestamp")
     with st.rocksdb(spark):
-        st.append_to(st.stream_rate_limit(requests, RATES, lateness=LATE), sink, ckpt).awaitTermination()
-    return spark.read.parquet(sink)
+        st.append_to(st.stream_rate_limit(requests, RATES, lateness=HELD, release=DAY), sink, ckpt).awaitTermination()
+    return spark.read.schema("client_id bigint, id bigint, verdict string").parquet(sink)
 
 
 def stream_ttl_store(spark, sf_dir):
@@ -90,12 +103,12 @@ def stream_counters(spark, sf_dir):
 
 
 def stream_batches(spark, sf_dir):
-    """Totals over groups of ten rows per user. Every row is delivered; the SQL twin lists full groups, so these are shown."""
+    """Totals over groups of ten rows per user, the last of a user with what is left."""
     sink, ckpt = _paths(spark, "batches")
     rows = _events(spark, sf_dir).select("source", "id")
     totals = lambda df, _: df.groupBy("source", "batch_no").agg(F.count("*").alias("rows"))
     st.stream_batches(rows, sink, ckpt, "source", 10, totals).awaitTermination()
-    return spark.read.parquet(sink).where("rows = 10").select("source", "batch_no", "rows")
+    return spark.read.parquet(sink).select("source", "batch_no", "rows")
 
 
 def stream_index(spark, sf_dir):
@@ -119,13 +132,15 @@ QUERIES = {
 }
 
 ORACLE = {
-    "stream_audit": f"SELECT event_id AS id, strftime(ts, '{SQL_STAMP}') AS at, event_type FROM events",
-    "stream_threats": f"""WITH w AS (SELECT user_id AS source, unnest([epoch_us(ts) // 43200000000, epoch_us(ts) // 43200000000 - 1]) AS slot, event_type, value FROM events),
-        g AS (SELECT source, slot, CAST(count_if(event_type = 'error') AS BIGINT) AS failures, count(*) AS requests, sum(value) AS bytes FROM w GROUP BY 1, 2)
-        SELECT source, strftime(make_timestamp(slot * 43200000000), '{SQL_STAMP}') AS window_start, failures, requests, round(bytes, 4) AS bytes,
-        array_to_string(list_filter([CASE WHEN failures >= 3 THEN 'brute_force_login' END, CASE WHEN requests > 5 THEN 'rate_limit_abuse' END,
-            CASE WHEN bytes >= 300 THEN 'data_exfiltration' END], lambda t: t IS NOT NULL), ',') AS threats FROM g WHERE failures >= 3 OR requests > 5 OR bytes >= 300""",
-    "stream_rate_limit": ACCESS_SQL["rate_decision"],
+    "stream_audit": _CHAIN_SQL + f""" SELECT c.log_id, c.id, strftime(a.timestamp, '{SQL_STAMP}') AS at, a.event_type, c.seq, c.previous_hash, c.chain_hash
+        FROM chain c JOIN audit a USING (id) WHERE {_released("a.timestamp")}""",
+    "stream_threats": _WINDOWED_SQL + f""", k AS (SELECT event_id AS id, {_released()} AS done, epoch_us(ts) // 21600000000 AS slot, user_id AS source FROM events),
+        s AS (SELECT DISTINCT source, slot FROM k WHERE done)
+        SELECT source, 'brute_force_login' AS pattern, 'High' AS severity, count(*) AS detections, CAST(max(attempts) AS DOUBLE) AS peak
+            FROM b WHERE attempts >= 3 AND id IN (SELECT id FROM k WHERE done) GROUP BY 1
+        UNION ALL SELECT source, 'rate_limit_abuse', 'Medium', count(*), max(requests) FROM r WHERE requests > 5 AND id IN (SELECT id FROM k WHERE done) GROUP BY 1
+        UNION ALL SELECT source, 'data_exfiltration', 'High', count(*), round(max(total_bytes), 4) FROM x JOIN s USING (source, slot) GROUP BY 1""",
+    "stream_rate_limit": f"WITH all_rows AS ({ACCESS_SQL['rate_decision']}) SELECT a.* FROM all_rows a JOIN events e ON e.event_id = a.id WHERE {_released('e.ts')}",
     "stream_ttl_store": """SELECT 'k' || user_id AS key, arg_max(props, ts) AS value, max(epoch_us(ts)) AS created_us, max(epoch_us(ts)) + 3600000000 AS expires_us
         FROM events GROUP BY 1""",
     "stream_conversation": """SELECT conv_id, turn, role, md5(text) AS text_md5 FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4""",
@@ -136,7 +151,8 @@ ORACLE = {
         WHERE epoch_ms(closed) <= (SELECT epoch_ms(max(ts)) - 172800000 FROM events)""",
     "stream_counters": f"""SELECT event_type AS kind, strftime(make_timestamp(epoch_us(ts) // 21600000000 * 21600000000), '{SQL_STAMP}') AS window_start, count(*) AS events
         FROM events GROUP BY 1, 2""",
-    "stream_batches": """WITH c AS (SELECT user_id AS source, count(*) // 10 AS full_ FROM events GROUP BY 1)
-        SELECT source, unnest(range(full_)) AS batch_no, CAST(10 AS BIGINT) AS rows FROM c WHERE full_ > 0""",
+    "stream_batches": """WITH c AS (SELECT user_id AS source, count(*) AS n FROM events GROUP BY 1),
+        g AS (SELECT source, n, unnest(range((n + 9) // 10)) AS batch_no FROM c)
+        SELECT source, batch_no, least(10, n - 10 * batch_no) AS rows FROM g""",
     "stream_index": f"""WITH {_chunks_sql(1000, 100)} SELECT CAST(doc_id AS VARCHAR) AS document_id, chunk_id, md5(content) AS content_md5, 16 AS dim FROM ch""",
 }

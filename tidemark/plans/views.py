@@ -41,7 +41,11 @@ AUDIT_SQL = "SELECT " + _AUDIT_SELECT.format(text="VARCHAR") + ", props FROM eve
 
 def audit_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit entries derived from ``events``; ``details`` holds the parsed props."""
-    entries = table(spark, sf_dir, "events").selectExpr(
+    return audit_entries(table(spark, sf_dir, "events"))
+
+
+def audit_entries(events: DataFrame) -> DataFrame:
+    entries = events.selectExpr(
         *_split(_AUDIT_SELECT.format(text="STRING")), "props"
     )
     return entries.withColumn("details", F.from_json("props", "map<string,string>")).withColumn(

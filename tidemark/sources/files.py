@@ -287,24 +287,25 @@ AUDIT_SCHEMA = (
 
 
 _STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-_JSON = {"timestampNTZFormat": _STAMP, "timestampFormat": _STAMP + "XXX"}
+CHAINED_SCHEMA = AUDIT_SCHEMA + ", log_id string, seq bigint"
+JSON_TIMES = {"timestampNTZFormat": _STAMP, "timestampFormat": _STAMP + "XXX"}
 
 
-def write_audit(df: DataFrame, path: str) -> None:
+def write_audit(df: DataFrame, path: str, mode: str = "append") -> None:
     """Append to the newline-JSON log, one folder per day so that time filters prune."""
     day = df.withColumn("day", F.date_format("timestamp", "yyyy-MM-dd"))
-    day.write.mode("append").partitionBy("day").options(**_JSON).json(path)
+    day.write.mode(mode).partitionBy("day").options(**JSON_TIMES).json(path)
 
 
 def read_audit(spark: SparkSession, path: str, schema: str = AUDIT_SCHEMA) -> DataFrame:
-    return spark.read.schema(schema + ", day string").options(**_JSON).json(path)
+    return spark.read.schema(schema + ", day string").options(**JSON_TIMES).json(path)
 
 
 def export_audit(df: DataFrame, fmt: str, path: str) -> None:
     """Write the (already filtered) log as json, csv, xml or yaml."""
     kind = fmt.lower()
     if kind == "json":
-        df.write.mode("errorifexists").options(**_JSON).json(path)
+        df.write.mode("errorifexists").options(**JSON_TIMES).json(path)
     elif kind == "csv":
         stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS+00:00")
         df.withColumn("timestamp", stamp).select(*EXPORT_COLUMNS).write.csv(path, header=True)

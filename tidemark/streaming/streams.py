@@ -11,15 +11,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from tidemark.functions.embedding import Embedder
-from tidemark.operators.ordering import MICROS, micros
-from tidemark.operators.ratelimit import ClientState, RateConfig, decide
+from tidemark.operators.audit import chain_content
+from tidemark.operators.ordering import MICROS, micros, position_in_order
+from tidemark.operators.ratelimit import RateConfig
 from tidemark.operators.retrieval import build_index
+from tidemark.operators.threats import DEFAULT_PATTERNS, ThreatPattern
+from tidemark.sources.files import JSON_TIMES, write_audit
+from tidemark.streaming.ordered import ChainProcessor, RateProcessor, ThreatProcessor
 
 LATENESS = "10 minutes"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -71,10 +76,37 @@ def latest(spark: SparkSession, sink: str, schema: str, keys: Sequence[str]) ->
 # --------------------------------------------------------------- audit, threats
 
 
-def stream_audit(stream: DataFrame, sink: str, checkpoint: str, key: str = "id", lateness: str = LATENESS) -> StreamingQuery:
-    """Append audit events to the log, each id once within the watermark."""
-    once = event_time(stream, lateness=lateness).dropDuplicatesWithinWatermark([key])
-    return append_to(once, sink, checkpoint)
+def stream_audit(
+    stream: DataFrame, sink: str, checkpoint: str, key: str = "id", log: str = "log_id", lateness: str = LATENESS, release: int = 60,
+    content: Column | None = None, **trigger,
+) -> StreamingQuery:
+    """Append audit events to chained logs, each id once within the watermark.
+
+    An entry joins its log's chain, in order of (timestamp, id), once the watermark has passed its slot of
+    ``release`` seconds, so entries that arrive out of order are chained as the batch operator would. The last
+    number and hash of a log are state, and the chain goes on from them in every later micro-batch.
+
+    The sink is a log for ``read_audit`` (with ``CHAINED_SCHEMA``): a folder per micro-batch, below it one per day.
+    A repeated micro-batch overwrites its own folder.
+    """
+    schema = ", ".join(f"{name} {kind}" for name, kind in stream.dtypes)
+    parts = stream.select(
+        F.to_json(F.struct(log)).alias("log"), key, "timestamp", (content if content is not None else chain_content()).alias("content"),
+        F.to_json(F.struct(*stream.columns), JSON_TIMES).alias("entry"))
+    timed = event_time(parts, lateness=lateness).dropDuplicatesWithinWatermark([key])
+    timed = timed.select("log", key, "timestamp", micros(F.col("timestamp")).alias("at_us"), "content", "entry")
+    chained = timed.groupBy("log").transformWithStateInPandas(
+        ChainProcessor(key, dict(stream.dtypes)[key], release),
+        "log string, entry string, seq bigint, previous_hash string, chain_hash string", "Append", "EventTime")
+
+    def save(rows: DataFrame, batch: int) -> None:
+        entries = rows.select(F.from_json("entry", schema, JSON_TIMES).alias("e"), "seq", "previous_hash", "chain_hash")
+        links = ("seq", "previous_hash", "chain_hash")
+        plain = entries.select(*[F.col(f"e.`{c}`") for c in stream.columns if c not in links], *links)
+        write_audit(plain, f"{sink}/batch={batch}", mode="overwrite")
+
+    writer = chained.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def stream_counts(
@@ -87,29 +119,24 @@ def stream_counts(
 
 
 def stream_threats(
-    stream: DataFrame, source: str = "source", failures: int = 5, requests: int = 100, size_limit: float = 10_000_000,
-    window: str = "5 minutes", slide: str = "1 minute", lateness: str = LATENESS,
+    stream: DataFrame, patterns: Sequence[ThreatPattern] = DEFAULT_PATTERNS, source: str = "source", lateness: str = LATENESS, release: int = 60
 ) -> DataFrame:
-    """Brute force, request abuse and exfiltration in one windowed aggregation.
+    """(source, slot, pattern, severity, detections, peak): every pattern with its own window, in one stateful operator.
 
-    ``stream(timestamp, source, failed, bytes)``; a window is reported with
-    every threat it shows.
+    ``stream(timestamp, source, failed, bytes)``. A slot of ``release`` seconds is judged once the watermark has
+    passed it; ``threat_totals`` of all slots is what the batch ``detect`` finds in the same rows.
     """
-    span = F.window("timestamp", window, slide)
-    sums = event_time(stream, lateness=lateness).groupBy(source, span.alias("_w")).agg(
-        F.count_if("failed").alias("failures"), F.count("*").alias("requests"), F.sum("bytes").alias("bytes")
-    )
-    threats = F.filter(
-        F.array(
-            F.when(F.col("failures") >= failures, "brute_force_login"),
-            F.when(F.col("requests") > requests, "rate_limit_abuse"),
-            F.when(F.col("bytes") >= size_limit, "data_exfiltration"),
-        ),
-        lambda t: t.isNotNull(),
-    )
-    return sums.select(
-        source, F.col("_w.start").alias("window_start"), "failures", "requests", "bytes", threats.alias("threats")
-    ).filter(F.size("threats") > 0)
+    kind = dict(stream.dtypes)[source]
+    timed = event_time(stream, lateness=lateness).select(
+        source, "timestamp", micros(F.col("timestamp")).alias("at_us"), "failed", F.col("bytes").cast("double").alias("bytes"))
+    return timed.groupBy(source).transformWithStateInPandas(
+        ThreatProcessor(patterns, source, release),
+        f"{source} {kind}, slot timestamp_ntz, pattern string, severity string, detections bigint, peak double", "Append", "EventTime")
+
+
+def threat_totals(slots: DataFrame, source: str = "source") -> DataFrame:
+    """(source, pattern, severity, detections, peak) over stored slots."""
+    return slots.groupBy(source, "pattern", "severity").agg(F.sum("detections").alias("detections"), F.max("peak").alias("peak"))
 
 
 def stream_sessions(stream: DataFrame, key: str = "source", gap: str = "30 minutes", lateness: str = LATENESS) -> DataFrame:
@@ -127,52 +154,17 @@ def stream_counters(stream: DataFrame, kind: str = "kind", interval: str = "1 ho
 # -------------------------------------------------------------- stateful
 
 
-def _batches(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """One key's rows of one micro-batch, which the trigger bounds."""
-    return pd.concat(list(rows), ignore_index=True)
-
-
-class RateProcessor(StatefulProcessor):
-    """Accepted times and block end per client; idle clients are forgotten after two hours."""
-
-    IDLE_MS = 2 * 3600 * 1000
-
-    def __init__(self, config: RateConfig, client: str, tie: str):
-        self.config, self.client, self.tie = config, client, tie
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("limits", "accepted array<bigint>, blocked_until bigint, last_ms bigint")
-
-    def handleInputRows(self, key, rows, timerValues):
-        data = _batches(rows).sort_values(["at_us", self.tie])
-        stored = self.state.get() if self.state.exists() else None
-        client = ClientState(stored[0], stored[1]) if stored else ClientState()
-        verdicts = decide(client, data["at_us"].tolist(), self.config)
-        last = int(data["at_us"].iloc[-1]) // 1000
-        self.state.update((list(client.accepted), client.blocked_until, max(last, stored[2] if stored else 0)))
-        idle = max(self.IDLE_MS, self.config.memory * 1000)
-        self.handle.registerTimer(last + idle)
-        yield pd.DataFrame({self.client: [key[0]] * len(data), self.tie: data[self.tie].to_numpy(), "verdict": verdicts})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        idle = max(self.IDLE_MS, self.config.memory * 1000)
-        if self.state.exists() and self.state.get()[2] + idle <= expiredTimerInfo.getExpiryTimeInMs():
-            self.state.clear()
-        yield pd.DataFrame()
-
-    def close(self) -> None:
-        pass
-
-
 def stream_rate_limit(
-    stream: DataFrame, config: RateConfig = RateConfig(), client: str = "client_id", tie: str = "id", lateness: str = LATENESS
+    stream: DataFrame, config: RateConfig = RateConfig(), client: str = "client_id", tie: str = "id", lateness: str = LATENESS, release: int = 60
 ) -> DataFrame:
-    """(client, id, verdict) as in the batch operator; rows are ordered inside each micro-batch."""
+    """(client, id, verdict) as in the batch operator, in order of (timestamp, id) over all micro-batches.
+
+    Requests wait in state until the watermark has passed their slot of ``release`` seconds.
+    """
     kinds = dict(stream.dtypes)
     timed = event_time(stream, lateness=lateness).select(client, tie, "timestamp", micros(F.col("timestamp")).alias("at_us"))
     return timed.groupBy(client).transformWithStateInPandas(
-        RateProcessor(config, client, tie),
+        RateProcessor(config, client, tie, kinds[tie], release),
         f"{client} {kinds[client]}, {tie} {kinds[tie]}, verdict string",
         "Append",
         "EventTime",
@@ -227,107 +219,89 @@ def stream_ttl_store(stream: DataFrame, ttl_seconds: int, key: str = "key", at:
 
 
 class ConversationProcessor(StatefulProcessor):
-    """The newest n messages of a conversation."""
+    """The newest n messages of a conversation; with ``idle_ms``, until so long after the newest of them."""
 
-    def __init__(self, n: int):
-        self.n = n
+    def __init__(self, n: int, idle_ms: int | None):
+        self.n, self.idle_ms = n, idle_ms
 
     def init(self, handle) -> None:
+        self.handle = handle
         self.messages = handle.getListState("messages", "turn bigint, role string, text string")
+        self.newest = handle.getValueState("newest", "at_ms bigint")
 
     def handleInputRows(self, key, rows, timerValues):
         kept = list(self.messages.get()) if self.messages.exists() else []
+        last = self.newest.get()[0] if self.newest.exists() else None
         for batch in rows:  # never more than n plus one Arrow batch
+            if self.idle_ms is not None:
+                batch = batch.sort_values("at_us", kind="stable")
+                at = batch["at_us"].to_numpy() // 1000
+                before = np.maximum.accumulate(np.concatenate([[at[0] if last is None else last], at[:-1]]))
+                gaps = np.flatnonzero(at - before > self.idle_ms)
+                if len(gaps):  # what came before is forgotten, whether its timer has gone off or not
+                    kept, batch = [], batch.iloc[int(gaps[-1]) :]
+                last = int(max(before[-1], at[-1]))
             kept += list(zip(batch["turn"].tolist(), batch["role"], batch["text"]))
             kept = sorted(kept, key=lambda m: m[0])[-self.n :] if self.n else []
         if not kept:
             return
         self.messages.put([tuple(m) for m in kept])
+        if self.idle_ms is not None:
+            self.newest.update((last,))
+            self.handle.registerTimer(last + self.idle_ms)
         yield pd.DataFrame(
             {"conv_id": [key[0]] * len(kept), "version": [int(kept[-1][0])] * len(kept), "turn": [int(m[0]) for m in kept],
              "role": [m[1] for m in kept], "text": [m[2] for m in kept]}
         )
 
-    def close(self) -> None:
-        pass
-
-
-def stream_conversation(stream: DataFrame, n: int = 10) -> DataFrame:
-    """After every change the newest ``n`` messages; ``version`` is the newest turn."""
-    kind = dict(stream.dtypes)["conv_id"]
-    return stream.select("conv_id", "turn", "role", "text").groupBy("conv_id").transformWithStateInPandas(
-        ConversationProcessor(n), f"conv_id {kind}, version bigint, turn bigint, role string, text string", "Update", "None"
-    )
-
-
-class GatherProcessor(StatefulProcessor):
-    """Hand rows on in groups of exactly ``size``; the rest waits for more."""
-
-    def __init__(self, size: int, shard: str, columns: list[str], schema: str, order: str):
-        self.size, self.shard, self.columns, self.schema, self.order = size, shard, columns, schema, order
-
-    def init(self, handle) -> None:
-        self.waiting = handle.getListState("waiting", self.schema)
-        self.count = handle.getValueState("count", "n bigint")
-
-    def handleInputRows(self, key, rows, timerValues):
-        done = self.count.get()[0] if self.count.exists() else 0
-        old = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        held = pd.DataFrame(old, columns=self.columns)
-        for batch in rows:
-            new = batch[self.columns]
-            held = pd.concat([held, new], ignore_index=True) if len(held) else new.reset_index(drop=True)
-            full = len(held) // self.size
-            if full:
-                out = held.iloc[: full * self.size].copy()
-                out.insert(0, self.shard, key[0])
-                out.insert(1, "batch_no", [done + i // self.size for i in range(len(out))])
-                done += full
-                yield out
-                held = held.iloc[full * self.size :].reset_index(drop=True)
-        self.count.update((done,))
-        if len(held):
-            self.waiting.put([tuple(v.item() if hasattr(v, "item") else v for v in r) for r in held.itertuples(index=False)])
-        else:
-            self.waiting.clear()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        # a later message has its own, later timer
+        if self.newest.exists() and self.newest.get()[0] + self.idle_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.messages.clear()
+            self.newest.clear()
+        yield pd.DataFrame()
 
     def close(self) -> None:
         pass
 
 
-def stream_gather(stream: DataFrame, shard: str, size: int = 10, order: str = "id") -> DataFrame:
-    """(shard, batch_no, ...): rows in groups of ``size`` per shard, as soon as a group is full.
+def stream_conversation(
+    stream: DataFrame, n: int = 10, at: str | None = None, idle_seconds: int = 30 * 86_400, lateness: str = LATENESS
+) -> DataFrame:
+    """After every change the newest ``n`` messages; ``version`` is the newest turn.
 
-    The state is fewer than ``size`` rows per shard; spread a busy key over
-    several shards.
+    With a time column ``at``, a conversation is forgotten ``idle_seconds`` of event time after its newest message.
     """
-    kinds = [(n, k) for n, k in stream.dtypes if n != shard]
-    schema = ", ".join(f"{n} {k}" for n, k in kinds)
-    return stream.groupBy(shard).transformWithStateInPandas(
-        GatherProcessor(size, shard, [n for n, _ in kinds], schema, order),
-        f"{shard} {dict(stream.dtypes)[shard]}, batch_no bigint, {schema}",
-        "Append",
-        "None",
+    kind = dict(stream.dtypes)["conv_id"]
+    columns = ["conv_id", "turn", "role", "text"]
+    if at:
+        stream = event_time(stream, at, lateness).withColumn("at_us", micros(F.col(at)))
+        columns += [at, "at_us"]
+    return stream.select(*columns).groupBy("conv_id").transformWithStateInPandas(
+        ConversationProcessor(n, idle_seconds * 1000 if at else None),
+        f"conv_id {kind}, version bigint, turn bigint, role string, text string", "Update", "EventTime" if at else "None"
     )
 
 
 def stream_batches(
     stream: DataFrame, sink: str, checkpoint: str, shard: str, size: int = 10,
-    action: Callable[[DataFrame, int], DataFrame] | None = None, **trigger,
+    action: Callable[[DataFrame, int], DataFrame] | None = None, parts: int = 64, **trigger,
 ) -> StreamingQuery:
     """Run ``action`` on numbered groups of each micro-batch and save what it returns.
 
     Every row is delivered with its micro-batch, so a shard's last group may hold fewer than ``size`` rows.
     ``batch_no`` counts a shard's groups from 0 within the micro-batch, which the sink names as ``batch``. Rows
-    are ordered by all columns that have an order, so that a repeated micro-batch makes the same groups.
+    are numbered by their hash, then by all columns that have an order, so that a repeated micro-batch makes the
+    same groups; a busy shard is numbered in ``parts`` tasks.
     """
     if size < 1:
         raise ValueError("size must be positive")
     ordered = [c for c, kind in stream.dtypes if c != shard and "map<" not in kind and "variant" not in kind]
-    place = F.row_number().over(Window.partitionBy(shard).orderBy(*(ordered or [F.lit(0)])))
+    part = F.pmod(F.xxhash64(*(ordered or [F.lit(0)])), F.lit(parts))
 
     def save(rows: DataFrame, batch: int) -> None:
-        grouped = rows.withColumn("batch_no", F.floor((place - 1) / size))
+        placed = position_in_order(rows, [shard], part, ordered or [F.lit(0)], "_place")
+        grouped = placed.withColumn("batch_no", F.floor(F.col("_place") / size)).drop("_place")
         (action(grouped, batch) if action else grouped).write.mode("overwrite").parquet(f"{sink}/batch={batch}")
 
     writer = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
