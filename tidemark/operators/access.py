@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.fixed_values import SECURITY_LEVELS
-from tidemark.session import cut_lineage
+from tidemark.operators.graphs import REACH_ROWS, reach
 
 # ------------------------------------------------------------------ policy
 
@@ -76,28 +76,30 @@ def eval_conditions(df: DataFrame, conditions: str = "conditions", context: str
     return df.withColumn("holds", conditions_hold(F.col(conditions), F.col(context)))
 
 
+def compiled_rules(actions: DataFrame, rules: DataFrame) -> DataFrame:
+    """(action, ranked): for each distinct action its rules, best first, with what is needed to try them."""
+    own = matching_rules(actions, rules).join(rules.select("rule_id", "effect", "priority", "conditions"), "rule_id")
+    one = F.struct((-F.col("priority")).alias("p"), "rule_id", "effect", "conditions")
+    return own.groupBy("action").agg(F.sort_array(F.collect_list(one)).alias("ranked"))
+
+
 def policy_decide(requests: DataFrame, rules: DataFrame, default: str = "Deny", key: str = "id") -> DataFrame:
-    """(key, action, allowed, rule_id): best matching rule, else the default.
+    """(key, action, allowed, rule_id): best matching rule, else the default; one row per request.
 
     ``requests(key, action, context)``; ``rules(rule_id, effect, priority,
-    actions, conditions)``. Highest priority wins, ties by rule id; the winner
-    is a plain minimum, combined before the shuffle.
+    actions, conditions)``. Highest priority wins, ties by rule id. Rules are
+    compiled once per distinct action, and a request takes the first of its
+    action's rules that holds: it is neither multiplied by rules nor shuffled
+    by its key.
     """
-    candidates = matching_rules(requests, rules).join(
-        rules.select("rule_id", "effect", "priority", "conditions"), "rule_id"
-    )
-    tried = requests.select(key, "action", "context").join(candidates, "action", "left")
-    usable = F.col("rule_id").isNotNull() & conditions_hold(F.col("conditions"), F.col("context"))
-    best = F.min(F.when(usable, F.struct((-F.col("priority")).alias("p"), F.col("rule_id"), F.col("effect"))))
-    return (
-        tried.groupBy(key, "action")
-        .agg(best.alias("best"))
-        .select(
-            key,
-            "action",
-            (F.coalesce(F.col("best.effect"), F.lit(default)) == "Allow").alias("allowed"),
-            F.col("best.rule_id").alias("rule_id"),
-        )
+    tried = requests.select(key, "action", "context").join(compiled_rules(requests, rules), "action", "left")
+    holding = F.filter("ranked", lambda r: conditions_hold(r["conditions"], F.col("context")))
+    best = tried.select(key, "action", F.try_element_at(holding, F.lit(1)).alias("best"))
+    return best.select(
+        key,
+        "action",
+        (F.coalesce(F.col("best.effect"), F.lit(default)) == "Allow").alias("allowed"),
+        F.col("best.rule_id").alias("rule_id"),
     )
 
 
@@ -121,30 +123,13 @@ def policy_conflicts(rules: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ roles
 
 
-def role_closure(roles: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(role, ancestor) including the role itself, by path doubling.
+def role_closure(roles: DataFrame, most: int = REACH_ROWS) -> DataFrame:
+    """(role, ancestor) including the role itself; roles that are not in the table lead nowhere.
 
-    Rounds grow with the logarithm of the depth; cycles end by themselves. Only
-    the role graph is iterated, never the users.
+    Any depth and any cycles; see ``graphs.reach`` for small and large role graphs. Users are never iterated.
     """
-    reach = cut_lineage(
-        roles.select(F.col("role"), F.col("role").alias("ancestor"))
-        .unionByName(roles.select("role", F.explode("inherits_from").alias("ancestor")))
-        .join(roles.select(F.col("role").alias("ancestor")).distinct(), "ancestor", "left_semi")
-        .select("role", "ancestor")
-        .distinct()
-    )
-    size = reach.count()
-    for _ in range(max_rounds):
-        further = reach.alias("a").join(reach.alias("b"), F.col("a.ancestor") == F.col("b.role"))
-        grown = cut_lineage(
-            further.select(F.col("a.role").alias("role"), F.col("b.ancestor").alias("ancestor")).distinct()
-        )
-        new_size = grown.count()
-        if new_size == size:
-            return grown
-        reach, size = grown, new_size
-    raise RuntimeError(f"role inheritance did not settle in {max_rounds} doublings")
+    rows = roles.select(F.col("role").alias("node"), F.explode_outer("inherits_from").alias("parent"))
+    return reach(rows, most).select(F.col("node").alias("role"), F.col("found").alias("ancestor"))
 
 
 def effective_permissions(user_roles: DataFrame, roles: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.fixed_values import RISKY_COMMAND_TEXT, SAFE_URL_TEXT, SYSTEM_PATHS, UNDELETABLE_PATHS
-from tidemark.session import cut_lineage
+from tidemark.operators.graphs import LEVEL, UNBLOCKED, WHOLE, solve
 
 STEP = ["workflow_id", "step_id"]
 
@@ -25,87 +25,37 @@ def duplicate_steps(steps: DataFrame) -> DataFrame:
     return steps.groupBy(*STEP).agg(F.count("*").alias("copies")).filter(F.col("copies") > 1)
 
 
-def dag_levels(steps: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def dag_levels(steps: DataFrame, whole: int = WHOLE) -> DataFrame:
     """(workflow_id, step_id, level) for many workflows at once.
 
-    A round settles every step whose dependencies are settled; what is left
-    when a round settles nothing (cycles, missing dependencies and whatever
-    hangs on them) gets a null level. Only open steps and edges are carried
-    into the next round, through the shared checkpoint folder.
+    A step without dependencies has level 0, any other one more than its highest dependency. Cycles, missing
+    dependencies and whatever hangs on them have a null level. Workflows are packed into tasks after one shuffle;
+    one of more than ``whole`` steps and dependencies is solved by joins, see ``graphs``.
     """
-    open_steps = steps.select(*STEP).distinct()
-    edges = cut_lineage(dependencies(steps))
-    settled = []
-    for level in range(max_rounds):
-        waiting = edges.select(*STEP).distinct().withColumn("_waits", F.lit(True))
-        tagged = cut_lineage(open_steps.join(waiting, STEP, "left"))
-        ready = tagged.filter(F.col("_waits").isNull()).select(*STEP)
-        open_steps = tagged.filter(F.col("_waits").isNotNull()).select(*STEP)
-        if ready.isEmpty():
-            break
-        settled.append(ready.withColumn("level", F.lit(level)))
-        if open_steps.isEmpty():
-            break
-        parents = ready.withColumnRenamed("step_id", "depends_on")
-        edges = cut_lineage(edges.join(parents, ["workflow_id", "depends_on"], "left_anti").select(*STEP, "depends_on"))
-    else:
-        raise RuntimeError(f"more than {max_rounds} levels")
-    result = open_steps.withColumn("level", F.lit(None).cast("int"))
-    for part in settled:
-        result = result.unionByName(part)
-    return result
-
-
-def propagate_status(steps: DataFrame, results: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    deps = F.coalesce("depends_on", F.array().cast(dict(steps.dtypes)["depends_on"]))
+    alone = F.array(F.lit(None).cast(dict(steps.dtypes)["step_id"]))
+    rows = steps.select(F.col("workflow_id").alias("graph"), F.col("step_id").alias("node"), F.explode(F.concat(alone, F.array_compact(deps))).alias("parent"))
+    return solve(rows, LEVEL, whole).select(F.col("graph").alias("workflow_id"), F.col("node").alias("step_id"), F.col("value").alias("level"))
+
+
+def propagate_status(steps: DataFrame, results: DataFrame, whole: int = WHOLE) -> DataFrame:
     """(workflow_id, step_id, status) after skipping.
 
     A step is Skipped when a direct dependency ends Failed, unless it continues
     on error; a Skipped dependency does not block. A step without a result keeps a
     null status unless it is Skipped. Only failed steps can pass
-    anything on, so only edges between failed steps are iterated.
+    anything on, so only edges between failed steps are solved.
     """
     own = steps.select(*STEP, "depends_on", F.coalesce("continue_on_error", F.lit(False)).alias("continues"))
     own = own.join(results.select(*STEP, "status"), STEP, "left")
     edges = own.filter(~F.col("continues")).select(*STEP, F.explode("depends_on").alias("parent")).distinct()
     failed = own.filter(F.col("status") == "Failed").select(*STEP)
-    as_parent = failed.select("workflow_id", F.col("step_id").alias("parent"))
-    to_failed = edges.join(as_parent, ["workflow_id", "parent"])
-
-    undecided, inner = failed, cut_lineage(to_failed.join(failed, STEP, "left_semi"))
-    final_failed = []
-    for _ in range(max_rounds):
-        # without an open failed parent the step itself runs and fails
-        waiting = inner.select(*STEP).distinct().withColumn("_waits", F.lit(True))
-        tagged = cut_lineage(undecided.join(waiting, STEP, "left"))
-        ready = tagged.filter(F.col("_waits").isNull()).select(*STEP)
-        if ready.isEmpty():
-            break
-        final_failed.append(ready)
-        undecided = tagged.filter(F.col("_waits").isNotNull()).select(*STEP)
-        if undecided.isEmpty():
-            break
-        as_parents = ready.withColumnRenamed("step_id", "parent")
-        skipped = inner.join(as_parents, ["workflow_id", "parent"], "left_semi").select(*STEP).distinct()
-        undecided = cut_lineage(undecided.join(skipped, STEP, "left_anti"))
-        # what is left waits on parents that are themselves still undecided
-        open_parents = undecided.withColumnRenamed("step_id", "parent")
-        inner = cut_lineage(
-            inner.join(open_parents, ["workflow_id", "parent"], "left_semi").join(undecided, STEP, "left_semi")
-        )
-    else:
-        raise RuntimeError(f"more than {max_rounds} rounds of failed steps")
-    if not final_failed:
-        return own.select(*STEP, "status")
-    failing = final_failed[0]
-    for part in final_failed[1:]:
-        failing = failing.unionByName(part)
-    blockers = failing.select("workflow_id", F.col("step_id").alias("parent"))
-    skipped = (
-        to_failed.join(blockers, ["workflow_id", "parent"], "left_semi")
-        .select(*STEP)
-        .distinct()
-        .withColumn("skipped", F.lit(True))
-    )
+    to_failed = edges.join(failed.select("workflow_id", F.col("step_id").alias("parent")), ["workflow_id", "parent"])
+    inner = to_failed.join(failed, STEP, "left_semi").select(*STEP, "parent")
+    rows = failed.withColumn("parent", F.lit(None).cast(dict(steps.dtypes)["step_id"])).unionByName(inner)
+    ends = solve(rows.select(F.col("workflow_id").alias("graph"), F.col("step_id").alias("node"), "parent"), UNBLOCKED, whole)
+    blockers = ends.filter("value = 1").select(F.col("graph").alias("workflow_id"), F.col("node").alias("parent"))
+    skipped = to_failed.join(blockers, ["workflow_id", "parent"], "left_semi").select(*STEP).distinct().withColumn("skipped", F.lit(True))
     return own.join(skipped, STEP, "left").select(
         *STEP, F.when(F.col("skipped"), "Skipped").otherwise(F.col("status")).alias("status")
     )

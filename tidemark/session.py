@@ -47,7 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder; nothing is ever reused or removed."""
+    """A new path below the shared folder, never used twice."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
@@ -62,6 +62,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, *frames: DataFrame) -> None:
+    """Remove the folders of tables from ``cut_lineage`` that nothing reads any more."""
+    for frame in frames:
+        for path in {name.rsplit("/", 1)[0] for name in frame.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for costly per-row work on a scan of few partitions.
 
