@@ -211,6 +211,81 @@ def _steps(spark, rows):
     return spark.createDataFrame(rows, "workflow_id int, step_id string, depends_on array<string>, continue_on_error boolean")
 
 
+def _exchanges(df):
+    import re
+
+    return len(re.findall(r"Exchange (?:hash|range|Single)", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_detectors_equal_plain_counts(spark):
+    """Windows by a running sum against a plain count over all rows, ties and floods included; one shuffle of rows."""
+    rng, minute = random.Random(11), 60_000_000
+    at = [rng.choice([rng.randrange(0, 7_200), rng.randrange(3_000, 3_060), 3_600]) * 1_000_000 + rng.choice([0, 0, 1]) for _ in range(900)]
+    rows = [(i, rng.choice(["a", "a", "b", None]), t, rng.choice(["Failure", "Success", None]), rng.choice([None, 1.5, 100.0])) for i, t in enumerate(at)]
+    df = spark.createDataFrame(rows, "id int, source string, t long, outcome string, bytes double").withColumn("timestamp", F.timestamp_micros("t"))
+
+    def seen(keep, window):
+        return {i: sum(1 for j, s2, u, o2, _ in rows if s2 == s and keep(o2) and t - window < u <= t) for i, s, t, o, _ in rows if keep(o)}
+
+    failures, requests = seen(lambda o: o == "Failure", 5 * minute), seen(lambda o: True, minute)
+    got = {r["id"]: r["attempts"] for r in threats.brute_force(df.filter("outcome = 'Failure'")).collect()}
+    assert got == {i: n for i, n in failures.items() if n >= 5}
+    got = {r["id"]: r["requests"] for r in threats.rate_abuse(df, limit=20).collect()}
+    assert got == {i: n for i, n in requests.items() if n > 20}
+    patterns = [threats.ThreatPattern("f", "failures", "High", 5 * minute, 5), threats.ThreatPattern("r", "requests", "Low", minute, 20),
+                threats.ThreatPattern("r9", "requests", "Low", 9 * minute, 40), threats.ThreatPattern("b", "bytes", "High", minute, 900.0)]
+    want = {}
+    for i, s, t, o, size in rows:
+        for p, hit, n in (("f", failures.get(i, 0) >= 5, failures.get(i)), ("r", requests[i] > 20, requests[i])):
+            if hit:
+                want.setdefault((p, s), []).append(float(n))
+    for i, n in seen(lambda o: True, 9 * minute).items():
+        if n > 40:
+            want.setdefault(("r9", rows[i][1]), []).append(float(n))
+    slots = {}
+    for _, s, t, _, size in rows:
+        if size is not None:
+            slots[s, t // minute] = slots.get((s, t // minute), 0) + size
+    for (s, _), total in slots.items():
+        if total >= 900:
+            want.setdefault(("b", s), []).append(total)
+    found = threats.detect(df, patterns)
+    assert {(r.pattern, r.source): (r.detections, r.peak) for r in found.collect()} == {k: (len(v), max(v)) for k, v in want.items()}
+    assert {p for p, _ in want} == {"f", "r", "r9", "b"}
+    assert _exchanges(threats.brute_force(df)) == 1
+
+
+def test_little_of_a_history_is_context(spark):
+    """A steady source: rows handed to two panes stay under a tenth."""
+    from tidemark.operators.ordering import split_by_time
+
+    steady = spark.range(20_000).select((F.col("id") * 1_000_000).alias("_at"))
+    sliced = split_by_time(steady, F.col("_at"), threats.MINUTE, threats.PANE * threats.MINUTE)
+    assert 0 < sliced.filter("_context").count() < 2_000
+
+
+def test_segments_of_a_chain_are_checked_apart(spark, sf_dir):
+    """From checkpoints the same verdicts as from the first entry; a period alone is checked without the rest."""
+    import datetime as dt
+
+    from tidemark.operators import audit
+    from tidemark.plans.audit import _logged, _tampered
+
+    chain, stored = audit.build_chain(_logged(spark, sf_dir)), _tampered(spark, sf_dir)
+    hash_only = stored.withColumn("chain_hash", F.when(F.col("id") % 401 == 7, F.lit("0")).otherwise(F.col("chain_hash")))
+    start, end = dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20)
+    for df in (stored, hash_only):
+        want = sorted(map(tuple, audit.verify_period(df, start, end).collect()))
+        for every in (1, 3, 16, 10_000):
+            marks = audit.chain_checkpoints(chain, every)
+            assert sorted(map(tuple, audit.verify_period(df, start, end, checkpoints=marks, every=every).collect())) == want
+        assert any(r[3] for r in want) and any(not r[5] for r in want)
+    alone = audit.verify_period(stored, start, end, checkpoints=audit.chain_checkpoints(chain, 3), every=3, whole=False).collect()
+    logs = {r[0]: r for r in map(tuple, audit.verify_period(stored, start, end).collect()) if r[1]}
+    assert {r.log_id: r.total_entries for r in alone} == {k: r[1] for k, r in logs.items()}
+    assert all(r.corrupted_entries <= logs[r.log_id][3] for r in alone)
+
+
 def test_dag_levels_chain_diamond_cycle_missing(spark):
     steps = _steps(spark, [(1, "a", [], None), (1, "b", ["a"], None), (1, "c", ["a"], None), (1, "d", ["b", "c"], None),
                            (2, "a", ["b"], None), (2, "b", ["a"], None), (2, "c", ["a"], None), (2, "z", [], None), (3, "a", ["nope"], None)])
@@ -330,18 +405,80 @@ def test_hash_embedding_tail_uses_byte_length(spark):
 # -------------------------------------------------------------------- metrics
 
 
-def test_order_statistics_of_a_skewed_group(spark):
-    rng = random.Random(5)
-    rows = [("hot", float(rng.choice([1, 1, 1, 2, 50, 1000, rng.random() * 1e6]))) for _ in range(999)] + [("one", 7.0), ("two", 1.0), ("two", 2.0)]
-    df = spark.createDataFrame(rows, "operation string, duration_ms double")
-    for r in metrics.benchmark_stats(df).collect():
-        v = sorted(x for k, x in rows if k == r["operation"])
-        n = len(v)
+@pytest.mark.parametrize("signs", [(1,), (1, -1)])
+def test_sparse_search_equals_brute_force(spark, signs):
+    """A term that every row has with small values, ties, few matches, and values of both signs."""
+    rng = random.Random(len(signs))
+    store, queries = {}, {}
+    for i in range(400):
+        store[i] = {0: rng.choice([1.0, 1.0, 2.0]) * rng.choice(signs)} | {rng.randrange(1, 60): rng.choice([1.0, 3.0, 9.5]) * rng.choice(signs) for _ in range(4)}
+    for j in range(12):
+        queries[j] = {t: rng.choice([0.5, 1.0, 4.0]) * rng.choice(signs) for t in rng.sample(range(0, 64), rng.choice([1, 3, 6]))}
+    queries[12], queries[13] = {0: 2.0}, {99: 1.0}
+    long = lambda rows, key: spark.createDataFrame([(i, t, v) for i, d in rows.items() for t, v in d.items()], f"{key} int, index int, value double")
+    got = {}
+    asked, rows = long(queries, "query_id"), long(store, "id")
+    found = retrieval.sparse_search(asked, rows, 5, most_products=0).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, retrieval.sparse_search(asked, rows, 5).collect()))
+    for r in found:
+        got.setdefault(r.query_id, []).append((r.rank, r.id, round(r.score, 9)))
+    for j, terms in queries.items():
+        scored = [(sum(v * d[t] for t, v in terms.items() if t in d), i) for i, d in store.items() if d.keys() & terms.keys()]
+        best = sorted(scored, key=lambda x: (-x[0], x[1]))[:5]
+        assert sorted(got.get(j, [])) == [(n, i, round(x, 9)) for n, (x, i) in enumerate(best, 1)]
+
+
+def test_a_common_word_does_not_bring_every_row(spark, monkeypatch):
+    """Rare words decide: the pairs that are scored stay far below queries x rows."""
+    store = spark.range(20_000).select("id", F.explode(F.array(
+        F.struct(F.lit(-1).cast("long").alias("index"), (1.0 + (F.col("id") % 5) / 100).alias("value")),
+        F.struct((F.col("id") % 1_000).alias("index"), (20.0 + F.col("id") % 7).alias("value")))).alias("t")).select("id", "t.*")
+    queries = spark.range(30).select(F.col("id").alias("query_id"), F.explode(F.array(
+        F.struct(F.lit(-1).cast("long").alias("index"), F.lit(1.0).alias("value")), F.struct((F.col("id") * 3).alias("index"), F.lit(1.0).alias("value")))).alias("t")).select("query_id", "t.*")
+    scored, whole = [], retrieval._sparse_scores
+
+    def counting(pairs, q, s):
+        scored.append(pairs.count())
+        return whole(pairs, q, s)
+
+    monkeypatch.setattr(retrieval, "_sparse_scores", counting)
+    assert retrieval.sparse_search(queries, store, 5, most_products=0).count() == 150
+    assert sum(scored) < 3_000  # of 600,000
+
+
+def _ranked_as_sorted(df, rows):
+    found = {r["operation"]: r for r in metrics.benchmark_stats(df).collect()}
+    groups = {}
+    for k, x in rows:
+        if x is not None:
+            groups.setdefault(k, []).append(x)
+    assert found.keys() == groups.keys()
+    for key, v in groups.items():
+        r, v, n = found[key], sorted(v), len(v)
+        assert r["iterations"] == n
         assert r["median"] == (v[n // 2] if n % 2 else (v[n // 2 - 1] + v[n // 2]) / 2)
-        assert (r["p95"], r["p99"]) == (v[int(n * 0.95)], v[int(n * 0.99)])
+        assert (r["p95"], r["p99"], r["min"], r["max"]) == (v[int(n * 0.95)], v[int(n * 0.99)], v[0], v[-1])
         assert (r["stdev"] is None) == (n == 1)
 
 
+def test_order_statistics_of_a_skewed_group(spark):
+    rng = random.Random(5)
+    rows = [("hot", float(rng.choice([1, 1, 1, 2, 50, 1000, rng.random() * 1e6]))) for _ in range(999)]
+    rows += [("one", 7.0), ("two", 1.0), ("two", 2.0), (None, 3.0), (None, 4.0), ("empty", None), ("same", 5.0), ("same", 5.0), ("same", 5.0)]
+    _ranked_as_sorted(spark.createDataFrame(rows, "operation string, duration_ms double"), rows)
+    assert metrics.benchmark_stats(spark.createDataFrame([], "operation string, duration_ms double")).count() == 0
+
+
+def test_an_outlier_does_not_fill_a_range(spark):
+    """200,000 values and one of 1e12: what is put in order for a rank stays below a hundredth of them."""
+    values = spark.range(200_000).select(F.lit("op").alias("operation"), (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 7.0).alias("duration_ms"))
+    df = values.unionByName(spark.createDataFrame([("op", 1e12)], "operation string, duration_ms double"))
+    rows = [("op", r[1]) for r in df.collect()]
+    _ranked_as_sorted(df, rows)
+    sketch = [r[0] for r in df.select(F.percentile_approx("duration_ms", [0.947, 0.953], 10_000)).collect()][0]
+    assert sum(sketch[0] <= v <= sketch[1] for _, v in rows) < 2_000
+
+
 # ---------------------------------------------------------------------- other
 
 

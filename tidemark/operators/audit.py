@@ -449,12 +449,30 @@ def verify_chain(df: DataFrame, log: str = "log_id", anchor: DataFrame | str | N
     return joined.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select(log, "seq", "id", "reason")
 
 
+def chain_checkpoints(chain: DataFrame, every: int = 100_000, log: str = "log_id") -> DataFrame:
+    """(log, segment, end_hash) of each finished run of ``every`` entries, to be kept where entries cannot be altered."""
+    last = F.col("seq") % every == every - 1
+    return chain.filter(last).select(log, F.floor(F.col("seq") / every).alias("segment"), F.col("chain_hash").alias("end_hash"))
+
+
 def verify_period(
-    df: DataFrame, start, end, log: str = "log_id", order: Sequence[str] = ("timestamp", "id")
+    df: DataFrame, start, end, log: str = "log_id", order: Sequence[str] = ("timestamp", "id"),
+    checkpoints: DataFrame | None = None, every: int = 100_000, whole: bool = True,
 ) -> DataFrame:
-    """Recompute every chain; per log the period's totals and the whole-chain flag."""
-    checked = corrupted_entries(df, log, order)
+    """Recompute every chain; per log the period's totals and the whole-chain flag.
+
+    With ``checkpoints`` the segments of a log are recomputed in parallel, each from the checkpoint before it. Without
+    ``whole`` only segments with entries of the period are read again, and the flag speaks of these.
+    """
     inside = F.col("timestamp").between(moment(start), moment(end))
+    if checkpoints is None:
+        checked = corrupted_entries(df, log, order)
+    else:
+        rows = df.withColumn("_segment", F.floor(F.col("seq") / every))
+        if not whole:
+            asked = rows.filter(inside).select(F.col(log).alias("_of"), F.col("_segment").alias("_asked")).distinct()
+            rows = rows.join(asked, F.col(log).eqNullSafe(F.col("_of")) & (F.col("_segment") == F.col("_asked")), "left_semi")
+        checked = _checked_segments(rows, log, checkpoints, whole)
     bad = ~F.col("matches")
     return checked.groupBy(log).agg(
         F.count_if(inside).alias("total_entries"),
@@ -465,12 +483,49 @@ def verify_period(
     )
 
 
+def _checked_segments(rows: DataFrame, log: str, checkpoints: DataFrame, whole: bool) -> DataFrame:
+    """(log, timestamp, matches): each segment is folded from the checkpoint before it.
+
+    A segment that does not end at its own checkpoint has altered content, and what comes after it in the log is
+    then no longer what a recomputed chain gives.
+    """
+    marks = checkpoints.select(F.col(log).alias("_of"), F.col("segment").alias("_done"), "end_hash")
+    of = F.col(log).eqNullSafe(F.col("_of"))
+    begun = rows.join(marks, of & (F.col("_segment") == F.col("_done") + 1), "left").select(
+        log, "_segment", "seq", "timestamp", "chain_hash", F.col("end_hash").alias("_begin"), chain_content().alias("content"))
+
+    def step(state, part: pd.DataFrame):
+        last, started = state
+        if not started and isinstance(part["_begin"].iloc[0], str):
+            last = part["_begin"].iloc[0]
+        fresh = []
+        for text in part["content"]:
+            last = _hashed(text, last)
+            fresh.append(last)
+        out = part[[log, "_segment", "seq", "timestamp", "chain_hash"]].copy()
+        out["_fresh"] = fresh
+        return (last, True), out
+
+    kinds = dict(begun.dtypes)
+    schema = f"{log} {kinds[log]}, _segment {kinds['_segment']}, seq {kinds['seq']}, timestamp {kinds['timestamp']}, chain_hash string, _fresh string"
+    folded = ordered_fold(begun, [log, "_segment"], ["seq"], lambda: (None, False), step, schema)
+    checked = folded.withColumn("matches", F.col("chain_hash").eqNullSafe(F.col("_fresh")))
+    if not whole:
+        return checked
+    ends = folded.groupBy(log, "_segment").agg(F.max_by("_fresh", "seq").alias("_end"))
+    wrong = ends.join(marks, of & (F.col("_segment") == F.col("_done"))).filter(~F.col("_end").eqNullSafe(F.col("end_hash")))
+    first = wrong.groupBy(F.col(log).alias("_broken")).agg(F.min("_segment").alias("_first"))
+    joined = checked.join(first, F.col(log).eqNullSafe(F.col("_broken")), "left")
+    return joined.withColumn("matches", F.col("matches") & F.coalesce(F.col("_segment") <= F.col("_first"), F.lit(True)))
+
+
 def corrupted_entries(df: DataFrame, log: str = "log_id", order: Sequence[str] = ("timestamp", "id")) -> DataFrame:
     """Every stored row with ``matches``: its hash equals the recomputed chain's."""
     fresh = build_chain(df.drop("seq", "previous_hash"), log, order).select(
-        log, "id", F.col("chain_hash").alias("_fresh")
+        F.col(log).alias("_of"), F.col("id").alias("_id"), F.col("chain_hash").alias("_fresh")
     )
-    return df.join(fresh, [log, "id"], "left").withColumn(
+    same = F.col(log).eqNullSafe(F.col("_of")) & F.col("id").eqNullSafe(F.col("_id"))
+    return df.join(fresh, same, "left").drop("_of", "_id").withColumn(
         "matches", F.col("chain_hash").eqNullSafe(F.col("_fresh"))
     )
 

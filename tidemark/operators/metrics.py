@@ -3,49 +3,71 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.fixed_values import MODEL_PRICES
+from tidemark.session import cut_lineage
 
 # --------------------------------------------------------------- benchmarks
 
-BUCKETS = 1024
+SPLITS, ACCURACY = 256, 10_000  # splitters taken from a quantile sketch, and the sketch's 1 / rank error
 
 
-def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:
-    """The elements at given 0-based ranks of each group's sorted values.
+def same_keys(keys: Sequence[str], prefix: str) -> Column:
+    """Null-safe equality of ``keys`` with columns of these names behind ``prefix``."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(prefix + k))
+    return same
 
-    Equal values are first counted together, then counted by value range; only
-    the ranges that hold an asked rank are ordered. No task ever sees a whole
-    group. ``ranks`` maps an output name to a rank expression over ``n``.
+
+def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column], also: Sequence[Column] = ()) -> DataFrame:
+    """The elements at given 0-based ranks of each group's sorted values, with ``n`` and the aggregates ``also``.
+
+    Two scans. The first makes a mergeable quantile sketch of every group; its splitters bound, with the sketch's
+    error on both sides, the values that an asked rank can have, whatever the spread of the values. The second
+    counts what lies below a rank's range and keeps, counted by value, only what lies inside; at most about
+    three in ``SPLITS`` of a group's rows and their equals are then put in order. ``ranks`` maps an output name to
+    a rank expression over ``n``. Groups without values have no row.
     """
     keys = list(keys)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    bounds = counts.groupBy(*keys).agg(F.sum("_c").alias("n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    place = F.when(width == 0, 0).otherwise(
-        F.least(F.floor((F.col(value) - F.col("_lo")) / width * BUCKETS), F.lit(BUCKETS - 1))
-    )
-    placed = counts.join(bounds, keys).withColumn("_b", place.cast("int"))
-    ladder = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_size"), F.max("n").alias("n"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("rank")) for name, rank in ranks.items()])
-    # the bucket of every asked rank: at most one row per rank and group
-    asked = (
-        ladder.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-        .withColumn("_w", F.explode(wanted))
-        .filter((F.col("_w.rank") >= F.col("_before")) & (F.col("_w.rank") < F.col("_before") + F.col("_size")))
-        .select(*keys, "_b", "_before", F.col("_w.name").alias("_name"), F.col("_w.rank").alias("_rank"))
-    )
-    hot = placed.join(asked.select(*keys, "_b", "_before").distinct(), [*keys, "_b"])
-    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    upto = hot.withColumn("_upto", F.col("_before") + F.sum("_c").over(inside)).select(*keys, "_b", value, "_c", "_upto")
-    found = upto.join(asked.drop("_before"), [*keys, "_b"]).filter(
-        (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c"))
-    )
-    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in ranks])
+    known = df.filter(F.col(value).isNotNull())
+    shares = [i / SPLITS for i in range(SPLITS + 1)]
+    sketched = cut_lineage(known.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx(value, shares, ACCURACY).alias("_splits"), *also))
+    slack = 2.0 / ACCURACY
+
+    def bound(at: Column) -> Column:
+        return F.when((at >= 0) & (at <= SPLITS), F.try_element_at("_splits", (at + 1).cast("int")))
+
+    bounds = []
+    for i, rank in enumerate(ranks.values()):
+        rank = rank.cast("bigint")
+        low = F.floor((rank / F.col("n") - slack) * SPLITS)
+        high = F.ceil(((rank + 1) / F.col("n") + slack) * SPLITS)
+        bounds += [rank.alias(f"_rank{i}"), bound(low).alias(f"_low{i}"), bound(high).alias(f"_high{i}")]
+    wanted = sketched.select(*[F.col(k).alias("_of_" + k) for k in keys], *bounds)
+    rows = known.select(*keys, F.col(value).alias("_v")).join(wanted, same_keys(keys, "_of_"))
+    under = [F.coalesce(F.col("_v") < F.col(f"_low{i}"), F.lit(False)) for i in range(len(ranks))]
+    within = [~u & F.coalesce(F.col("_v") <= F.col(f"_high{i}"), F.lit(True)) for i, u in enumerate(under)]
+    # what lies in no range only counts: it has no value from here on
+    counted = rows.groupBy(*keys, F.when(reduce(or_, within), F.col("_v")).alias("_w"), *[f"_{c}{i}" for i in range(len(ranks)) for c in ("rank", "low", "high")]).agg(
+        F.count(F.lit(1)).alias("_c"), *[F.count_if(u).alias(f"_under{i}") for i, u in enumerate(under)])
+    here = [(F.col("_w") >= F.coalesce(f"_low{i}", "_w")) & (F.col("_w") <= F.coalesce(f"_high{i}", "_w")) for i in range(len(ranks))]
+    placed = F.array(*[F.struct(
+        F.lit(name).alias("name"), F.col(f"_rank{i}").alias("rank"), F.when(here[i], F.col("_w")).alias("v"),
+        F.when(here[i], F.col("_c")).otherwise(F.col(f"_under{i}")).alias("c")) for i, name in enumerate(ranks)])
+    each = counted.select(*keys, F.explode(placed).alias("_p")).select(
+        *keys, F.col("_p.name").alias("_name"), F.col("_p.rank").alias("_rank"), F.col("_p.v").alias("_v"), F.col("_p.c").alias("_c")).filter("_c > 0")
+    upto = Window.partitionBy(*keys, "_name").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    reached = each.withColumn("_upto", F.sum("_c").over(upto)).filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c")))
+    found = reached.groupBy(*[F.col(k).alias("_of_" + k) for k in keys]).agg(
+        *[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks])
+    return sketched.drop("_splits").join(found, same_keys(keys, "_of_")).drop(*["_of_" + k for k in keys])
 
 
 def benchmark_stats(df: DataFrame, keys: Sequence[str] = ("operation",), value: str = "duration_ms") -> DataFrame:
@@ -54,7 +76,6 @@ def benchmark_stats(df: DataFrame, keys: Sequence[str] = ("operation",), value:
     The median averages the middle pair; p95 and p99 are the sorted elements at
     ``floor(n * p)``, counted from 0.
     """
-    keys = list(keys)
     n = F.col("n")
     ranks = {
         "_low": F.floor((n - 1) / 2),
@@ -62,16 +83,16 @@ def benchmark_stats(df: DataFrame, keys: Sequence[str] = ("operation",), value:
         "p95": F.floor(n * 0.95),
         "p99": F.floor(n * 0.99),
     }
-    moments = df.groupBy(*keys).agg(
-        F.count(value).alias("iterations"),
+    moments = [
         F.sum(value).alias("total"),
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("stdev"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
-    )
-    ordered = order_statistics(df, keys, value, ranks).withColumn("median", (F.col("_low") + F.col("_high")) / 2)
-    return moments.join(ordered.drop("_low", "_high"), keys)
+    ]
+    found = order_statistics(df, keys, value, ranks, moments)
+    return found.select(
+        *keys, n.alias("iterations"), "total", "mean", "stdev", "min", "max", "p95", "p99", ((F.col("_low") + F.col("_high")) / 2).alias("median"))
 
 
 def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.embedding import Embedder, embed
@@ -200,16 +200,69 @@ def search_by_id(store: DataFrame, ids: DataFrame, k: int = 10, **options) -> Da
     return vector_search(queries, store, k, **options)
 
 
-def sparse_search(queries: DataFrame, store: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, id, score, rank) by sparse dot product.
+PRODUCTS = 100_000_000  # of a query's and a row's value, that are simply made
+LEVELS = 48  # impact levels of a term: level i holds what is between 2**-i and 2**-(i+1) of its greatest value
 
-    Both sides are long form: ``(query_id | id, index, value)``. The join is on
-    the index; partial sums per (query, id) are formed before the shuffle.
+
+def _impact(value: Column, most: Column) -> Column:
+    """0 for a term's greatest values, one more for each halving."""
+    return F.least(F.greatest(F.floor(-F.log2(F.abs(value) / most)), F.lit(0)), F.lit(LEVELS - 1)).cast("int")
+
+
+def _sparse_scores(pairs: DataFrame, q: DataFrame, s: DataFrame) -> DataFrame:
+    """Whole scores of (query_id, id) pairs, by the terms of the query."""
+    terms = pairs.join(q.select("query_id", "index", "_q"), "query_id")
+    return terms.join(s.select("id", "index", "_s"), ["id", "index"]).groupBy("query_id", "id").agg(F.sum(F.col("_q") * F.col("_s")).alias("score"))
+
+
+def sparse_search(queries: DataFrame, store: DataFrame, k: int = 10, most_products: int = PRODUCTS) -> DataFrame:
+    """(query_id, id, score, rank) by sparse dot product, over rows that share a term with the query.
+
+    Both sides are long form: ``(query_id | id, index, value)``, one row per term. How many products all common
+    terms make is counted first; up to ``most_products`` they are simply made and added up. Beyond that, with the
+    same rows, what cannot be among the best is left out before the join: the ``k`` strongest rows of each
+    term are scored first; a query's k-th score among them is a lower bound. Its most common terms that together
+    cannot give half of that bound bring no rows of their own. Of the others, with U the sum of what they can give
+    at most, a row that can still be among the best has one that gives at least the share (bound left) / U of its
+    most. Terms are kept by impact level, so a query meets only the levels above its share, and a word that
+    every row has does not bring every row. Pairs that pass are scored whole. Exact for values of any sign.
     """
-    q = queries.select("query_id", "index", F.col("value").alias("_q"))
-    s = store.select("id", "index", F.col("value").alias("_s"))
-    scores = s.join(q, "index").groupBy("query_id", "id").agg(F.sum(F.col("_q") * F.col("_s")).alias("score"))
-    return first_n(scores, ["query_id"], [F.desc("score"), F.col("id")], k).select("query_id", "id", "score", "rank")
+    q = queries.select("query_id", "index", F.col("value").alias("_q")).filter("_q <> 0 AND NOT isnan(_q)")
+    q = cut_lineage(q)
+    asked_of = q.select("index").distinct()
+    s = cut_lineage(store.select("id", "index", F.col("value").alias("_s")).filter("_s <> 0 AND NOT isnan(_s)").join(asked_of, "index", "left_semi"))
+    size = F.abs("_s").cast("double")
+    limits = cut_lineage(s.groupBy("index").agg(
+        F.max("_s").cast("double").alias("_max"), F.min("_s").cast("double").alias("_min"), F.max(size).alias("_most"), F.count(F.lit(1)).alias("_rows")))
+    best = lambda scores: first_n(scores, ["query_id"], [F.desc("score"), F.col("id")], k)
+    products = q.groupBy("index").count().join(limits, "index").agg(F.sum(F.col("count") * F.col("_rows"))).first()[0]
+    if (products or 0) <= most_products:
+        scores = s.join(q, "index").groupBy("query_id", "id").agg(F.sum(F.col("_q") * F.col("_s")).alias("score"))
+        return best(scores).select("query_id", "id", "score", "rank")
+    gives = F.greatest(F.col("_q") * F.col("_max"), F.col("_q") * F.col("_min"), F.lit(0.0))
+    terms = q.join(limits, "index").withColumn("_gives", gives)
+    first = first_n(s, ["index"], [size.desc(), F.col("id")], k, "_r").drop("_r")
+    seeds = first.join(q.select("query_id", "index"), "index").select("query_id", "id").distinct()
+    kth = first_n(_sparse_scores(seeds, q, s), ["query_id"], [F.desc("score"), F.col("id")], k, "_r").filter(F.col("_r") == k)
+    bounds = kth.select("query_id", F.greatest(F.col("score").cast("double"), F.lit(0.0)).alias("_bound"))
+    known = terms.join(bounds, "query_id", "left").withColumn("_bound", F.coalesce("_bound", F.lit(0.0)))
+    commonest = Window.partitionBy("query_id").orderBy(F.desc("_rows"), "index").rowsBetween(Window.unboundedPreceding, 0)
+    small = F.col("_gives") <= F.col("_bound") / 2
+    known = known.withColumn("_left_out", small & (F.sum(F.when(small, F.col("_gives")).otherwise(0.0)).over(commonest) <= F.col("_bound") / 2))
+    every = Window.partitionBy("query_id")
+    given_up = F.sum(F.when(F.col("_left_out"), F.col("_gives")).otherwise(0.0)).over(every)
+    can_give = F.sum(F.when(F.col("_left_out"), 0.0).otherwise(F.col("_gives"))).over(every)
+    # a little less, as sums of doubles may differ in the last bits
+    share = F.when((F.col("_bound") > 0) & (can_give > 0), (F.col("_bound") - given_up) / can_give * (1 - 1e-9)).otherwise(F.lit(0.0))
+    known = known.withColumn("_share", F.least(share, F.lit(1.0))).withColumn("_need", F.col("_share") * F.col("_gives"))
+    # what a term must give, as the least size of the stored value, and so the last level that can hold it
+    deepest = F.when(F.col("_need") > 0, _impact(F.col("_need") / F.abs("_q"), F.col("_most"))).otherwise(F.lit(LEVELS - 1))
+    useful = known.filter(~F.col("_left_out") & ((F.col("_gives") > 0) | (F.col("_share") == 0)))
+    useful = useful.withColumn("_level", F.explode(F.sequence(F.lit(0), deepest)))
+    levels = s.join(limits.select("index", "_most"), "index").withColumn("_level", _impact(F.col("_s").cast("double"), F.col("_most"))).drop("_most")
+    met = levels.join(useful.select("query_id", "index", "_level", "_q", "_need", "_share"), ["index", "_level"])
+    pairs = met.filter((F.col("_share") == 0) | (F.col("_q") * F.col("_s") >= F.col("_need"))).select("query_id", "id").distinct()
+    return best(_sparse_scores(pairs, q, s)).select("query_id", "id", "score", "rank")
 
 
 # ------------------------------------------------------------ vector tables

@@ -28,17 +28,40 @@ def _executed(pattern: str) -> str:
     return _EXECUTED.get(pattern, pattern.replace("(?i)", "(?idU)"))
 
 
+PANE = 16  # windows in a pane: about one row in 16 is also context of the next pane
+
+
+def _running(df: DataFrame, source: str, windows: Sequence[tuple[str, Column, int]]) -> DataFrame:
+    """Add, for each (name, amount, window), the sum of amounts of the source in ``(t - window, t]``.
+
+    ``df`` has ``_at``. Rows are dealt once by (source, pane). Inside a pane every row enters at its time and
+    leaves each window later, and one running sum over these moments, in order, gives all windows: no frame is
+    ever summed again, so a flood costs no more than its rows. A source with a third of all rows is many panes.
+    """
+    longest = max(w for _, _, w in windows)
+    sliced = split_by_time(df, F.col("_at"), longest, PANE * longest).repartition(source, "_slice")
+    own = F.struct(*sliced.columns)
+    amounts = {name: amount.cast("bigint") for name, amount, _ in windows}
+
+    def moment(after: int, leaving: str | None) -> Column:
+        # what leaves at a time goes before what enters at it
+        change = [(F.lit(0) if leaving not in (None, name) else -a if leaving else a).cast("bigint").alias(name) for name, a in amounts.items()]
+        return F.struct(((F.col("_at") + after) * 2 + (0 if leaving else 1)).alias("order"), *change, (F.lit(None).cast(kind) if leaving else own).alias("row"))
+
+    kind = sliced.select(own.alias("r")).schema["r"].dataType
+    moments = F.array(moment(0, None), *[moment(w, name) for name, _, w in windows])
+    events = sliced.select(source, "_slice", F.explode(moments).alias("m"))
+    upto = Window.partitionBy(source, "_slice").orderBy("m.order").rangeBetween(Window.unboundedPreceding, 0)
+    summed = events.select("m.row", *[F.sum(f"m.{name}").over(upto).alias(f"_sum_{name}") for name in amounts])
+    entered = summed.filter(F.col("row").isNotNull() & ~F.col("row._context"))
+    return entered.select("row.*", *[F.col(f"_sum_{name}").alias(name) for name in amounts]).drop("_slice", "_context")
+
+
 def sliding_count(
     df: DataFrame, source: str = "source", window: int = 5 * MINUTE, out: str = "events", at: str = "timestamp"
 ) -> DataFrame:
-    """Rows of the same source in ``(t - window, t]`` for every row.
-
-    History is cut into window-long slices per source, so a source that owns a
-    third of all rows is counted by many tasks.
-    """
-    sliced = split_by_time(df, micros(F.col(at)), window)
-    frame = Window.partitionBy(source, "_slice").orderBy("_at").rangeBetween(-(window - 1), 0)
-    return sliced.withColumn(out, F.count("*").over(frame)).filter(~F.col("_context")).drop("_at", "_slice", "_context")
+    """Rows of the same source in ``(t - window, t]`` for every row."""
+    return _running(df.withColumn("_at", micros(F.col(at))), source, [(out, F.lit(1), window)]).drop("_at")
 
 
 def brute_force(
@@ -91,29 +114,39 @@ def detect(
     failed: Column | None = None,
     size: str = "bytes",
 ) -> DataFrame:
-    """(pattern, severity, source, detections, peak) for a table of patterns."""
-    failed = failed if failed is not None else F.col("outcome") == "Failure"
+    """(pattern, severity, source, detections, peak) for a table of patterns, in one pass over the rows.
 
-    def run(p: ThreatPattern) -> DataFrame:
-        if p.kind == "failures":
-            hits = brute_force(df.filter(failed).select(source, "timestamp"), source, p.threshold, p.window)
-            value = F.col("attempts")
-        elif p.kind == "requests":
-            hits = rate_abuse(df.select(source, "timestamp"), source, p.threshold, p.window)
-            value = F.col("requests")
-        elif p.kind == "bytes":
-            hits = exfiltration(df.select(source, "timestamp", size), source, size, p.threshold, p.window)
-            value = F.col("total_bytes")
-        else:
+    Rows of a source at one instant are combined before the shuffle. All windows that look back are one running
+    sum; sums by time slot follow from the same instants. A detection is a row whose window reaches the limit,
+    or a slot that does.
+    """
+    patterns = list(patterns)
+    for p in patterns:
+        if p.kind not in ("failures", "requests", "bytes"):
             raise ValueError(f"unknown pattern kind: {p.kind}")
-        return hits.groupBy(source).agg(
-            F.lit(p.id).alias("pattern"),
-            F.lit(p.severity).alias("severity"),
-            F.count("*").alias("detections"),
-            F.max(value).cast("double").alias("peak"),
-        )
-
-    return reduce(DataFrame.unionByName, [run(p) for p in patterns])
+    failed = failed if failed is not None else F.col("outcome") == "Failure"
+    by_size = any(p.kind == "bytes" for p in patterns)
+    instants = df.groupBy(source, micros(F.col("timestamp")).alias("_at")).agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(failed).alias("failures"), *([F.sum(size).cast("double").alias("bytes")] if by_size else []))
+    parts = []
+    counted = [p for p in patterns if p.kind != "bytes"]
+    if counted:
+        names = [f"_p{i}" for i in range(len(counted))]
+        sums = _running(instants, source, [(n, F.col(p.kind), p.window) for n, p in zip(names, counted)])
+        aggs = []
+        for n, p in zip(names, counted):
+            hit = (F.col(n) >= p.threshold if p.kind == "failures" else F.col(n) > p.threshold) & (F.col(p.kind) > 0)
+            aggs += [F.sum(F.when(hit, F.col(p.kind))).alias(n + "n"), F.max(F.when(hit, F.col(n))).cast("double").alias(n + "m")]
+        rows = F.array(*[F.struct(
+            F.lit(p.id).alias("pattern"), F.lit(p.severity).alias("severity"), F.col(n + "n").alias("detections"), F.col(n + "m").alias("peak"))
+            for n, p in zip(names, counted)])
+        parts.append(sums.groupBy(source).agg(*aggs).select(source, F.inline(rows)).filter("detections IS NOT NULL"))
+    for p in patterns:
+        if p.kind == "bytes":
+            slots = instants.groupBy(source, F.floor(F.col("_at") / p.window).alias("_slot")).agg(F.sum("bytes").alias("total")).filter(F.col("total") >= p.threshold)
+            parts.append(slots.groupBy(source).agg(F.count(F.lit(1)).alias("detections"), F.max("total").alias("peak")).select(
+                source, F.lit(p.id).alias("pattern"), F.lit(p.severity).alias("severity"), "detections", "peak"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def scan_requests(df: DataFrame, uri: str = "uri", body: str = "body") -> DataFrame:
