@@ -557,14 +557,88 @@ def test_yaml_errors_and_json_files(spark, tmp_path):
     assert sum(r["bad"] for r in rows) == 1
 
 
-def test_file_inventory_depth(spark, tmp_path):
+def test_file_inventory(spark, tmp_path):
+    """Folders, empty ones too, hidden names, depth; many folders are dealt out to tasks."""
     (tmp_path / "d" / "e").mkdir(parents=True)
-    for name in ("x.txt", "d/y.csv", "d/e/z.csv"):
+    (tmp_path / "empty").mkdir()
+    (tmp_path / ".git" / "in").mkdir(parents=True)
+    for name in ("x.txt", "d/y.csv", "d/e/z.csv", ".env", ".git/in/cfg", "d/.keep"):
         (tmp_path / name).write_text("abc")
-    listed = files.file_inventory(spark, str(tmp_path), max_depth=1).collect()
-    assert [(r["name"], r["path"], r["depth"], r["size"]) for r in listed] == [("x.txt", "x.txt", 0, 3), ("y.csv", "d/y.csv", 1, 3)] or [
-        (r["name"], r["path"], r["depth"], r["size"]) for r in listed
-    ] == sorted([("x.txt", "x.txt", 0, 3), ("y.csv", "d/y.csv", 1, 3)])
+    listed = lambda **options: [(r["name"], r["path"], r["depth"], r["is_dir"], r["size"]) for r in files.file_inventory(spark, str(tmp_path), **options).collect()]
+    seen = [("d", "d", 0, True, None), ("e", "d/e", 1, True, None), ("empty", "empty", 0, True, None),
+            ("x.txt", "x.txt", 0, False, 3), ("y.csv", "d/y.csv", 1, False, 3), ("z.csv", "d/e/z.csv", 2, False, 3)]
+    assert listed() == seen
+    assert listed(max_depth=1) == seen[:5] and listed(recursive=False) == [seen[0], seen[2], seen[3]] == listed(max_depth=0)
+    hidden = [(".env", ".env", 0, False, 3), (".git", ".git", 0, True, None), (".keep", "d/.keep", 1, False, 3), ("cfg", ".git/in/cfg", 2, False, 3), ("in", ".git/in", 1, True, None)]
+    assert listed(include_hidden=True) == sorted([*seen, *hidden])
+    for i in range(90):
+        (tmp_path / "many" / f"f{i}" / "sub").mkdir(parents=True)
+        (tmp_path / "many" / f"f{i}" / "sub" / "leaf").write_text("x" * i)
+    found = files.file_inventory(spark, str(tmp_path / "many"))
+    assert found.filter("NOT is_dir").count() == 90 and found.filter("is_dir").count() == 180 and found.agg(F.sum("size")).first()[0] == 4005
+    assert spark.read.format("tidemark_folder").load(str(tmp_path / "many")).rdd.getNumPartitions() > 60
+    assert all(abs(r["modified"].timestamp() - (tmp_path / "x.txt").stat().st_mtime) < 1 for r in files.file_inventory(spark, str(tmp_path)).filter("name = 'x.txt'").collect())
+    with pytest.raises(Exception, match="no folder"):
+        files.file_inventory(spark, str(tmp_path / "x.txt")).collect()
+
+
+def test_html_analysis_is_decoded(spark):
+    page = """<html lang="fr"><head><title>A &amp; B</title><meta name=d content="x &lt; y"><meta charset=utf-8></head>
+        <body><h1>Caf&eacute; &amp; <b>bar</b></h1><h2>&nbsp;</h2><a href="/?a=1&amp;b=2">go &gt;</a><a href='#'> </a><a>no</a></body></html>"""
+    row = html.html_analyze(spark.createDataFrame([(1, page), (2, None)], "page_id int, html string"), "all").orderBy("page_id").collect()[0]
+    assert [tuple(h) for h in row.headings] == [(1, "Café & bar")]
+    assert [tuple(x) for x in row.link_list] == [("/?a=1&b=2", "go >"), ("#", "(no text)")]
+    assert [tuple(m) for m in row.metas] == [("d", "x < y"), ("title", "A & B"), ("lang", "fr")]
+    assert (row.title, row.lang) == ("A & B", "fr")
+
+
+def plain_sentence_chunks(text, size):
+    """The greedy rule word for word."""
+    chunks, at, open_ = [], 0, ""
+    for s in (x.strip() for x in text.split(".")):
+        if not s:
+            continue
+        if open_ and len(open_.encode()) + len(s.encode()) + 2 > size:
+            chunks.append((open_, at))
+            at, open_ = at + len(open_.encode()), s
+        else:
+            open_ = f"{open_}. {s}" if open_ else s
+    return chunks + [(open_, at)] if open_ else chunks
+
+
+def test_sentence_chunks_of_a_long_text(spark):
+    """Same chunks as the plain rule; 32,000 sentences take seconds at most."""
+    import time
+
+    from tidemark.functions import text as tx
+
+    rng = random.Random(8)
+    texts = ["", "...", "one", "a. b.c . é é. " * 9] + [". ".join("x" * rng.randrange(0, 40) for _ in range(rng.randrange(0, 60))) for _ in range(30)]
+    long = ". ".join(f"sentence number {i} of many" for i in range(32_000))
+    df = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id int, text string")
+    for size in (1, 30, 100):
+        got = {}
+        for r in tx.chunk_sentences(df, size).orderBy("doc_id", "chunk_index").collect():
+            got.setdefault(r.doc_id, []).append((r.content, r.start_index))
+        assert got == {i: c for i, t in enumerate(texts) if (c := plain_sentence_chunks(t, size))}
+    one = spark.createDataFrame([(1, long)], "doc_id int, text string")
+    started = time.time()
+    got = [(r.content, r.start_index) for r in tx.chunk_sentences(one, 1000).orderBy("chunk_index").collect()]
+    assert time.time() - started < 8 and got == plain_sentence_chunks(long, 1000)
+
+
+def test_vector_blocks_are_bounded_in_bytes(spark, monkeypatch):
+    """Long vectors make smaller blocks, with the same rows; stored vectors of other lengths score as before."""
+    rng = random.Random(3)
+    vec = lambda n: [rng.random() for _ in range(n)]
+    store = spark.createDataFrame([(i, vec(48 if i % 9 else 7)) for i in range(300)], "id int, embedding array<double>")
+    asked = spark.createDataFrame([(i, vec(48)) for i in range(20)], "query_id int, embedding array<double>")
+    for metric in ("cosine", "l2"):
+        whole = sorted(map(tuple, retrieval.vector_search(asked, store, 6, metric=metric).collect()))
+        monkeypatch.setattr(retrieval, "BLOCK_BYTES", 8 * 48 * 13)
+        cut = sorted(map(tuple, retrieval.vector_search(asked, store, 6, metric=metric).collect()))
+        monkeypatch.undo()
+        assert whole == cut and len(whole) == 120
 
 
 def test_csv_keeps_line_ends_in_quotes_and_all_fields(spark, tmp_path):

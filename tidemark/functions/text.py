@@ -42,29 +42,37 @@ def chunk_sentences(df: DataFrame, size: int = 1000, doc: str = "doc_id", text:
     if size <= 0:
         raise ValueError("size must be positive")
     sentences = F.filter(F.transform(F.split(text, r"\."), strip), lambda s: s != "")
-    done_type = "array<struct<content:string,start:int>>"
-    start = F.struct(
-        F.array().cast(done_type).alias("done"), F.lit("").alias("open"), F.lit(0).alias("at")
-    )
+    # only numbers are carried along the sentences: which chunks are done (first sentence, how many, offset) and,
+    # for the open one, its first sentence, its bytes and its offset
+    done_type = "array<struct<first:int,many:int,start:int>>"
+    begin = F.struct(
+        F.array().cast(done_type).alias("done"), F.lit(0).alias("first"), F.lit(0).alias("bytes"), F.lit(0).alias("at"), F.lit(0).alias("n"))
+
+    def chunk(acc: Column) -> Column:
+        return F.array(F.struct(acc["first"].alias("first"), (acc["n"] - acc["first"]).alias("many"), acc["at"].alias("start")))
 
-    def add(acc: Column, sentence: Column) -> Column:
-        full = (acc["open"] != "") & (F.octet_length(acc["open"]) + F.octet_length(sentence) + 2 > size)
-        closed = F.array(F.struct(acc["open"].alias("content"), acc["at"].alias("start")))
+    def add(acc: Column, more: Column) -> Column:
+        full = (acc["bytes"] > 0) & (acc["bytes"] + more + 2 > size)
         return F.struct(
-            F.when(full, F.concat(acc["done"], closed)).otherwise(acc["done"]).alias("done"),
-            F.when(full | (acc["open"] == ""), sentence)
-            .otherwise(F.concat(acc["open"], F.lit(". "), sentence))
-            .alias("open"),
-            F.when(full, acc["at"] + F.octet_length(acc["open"])).otherwise(acc["at"]).alias("at"),
+            F.when(full, F.concat(acc["done"], chunk(acc))).otherwise(acc["done"]).alias("done"),
+            F.when(full, acc["n"]).otherwise(acc["first"]).alias("first"),
+            F.when(full | (acc["bytes"] == 0), more).otherwise(acc["bytes"] + 2 + more).alias("bytes"),
+            F.when(full, acc["at"] + acc["bytes"]).otherwise(acc["at"]).alias("at"),
+            (acc["n"] + 1).alias("n"),
         )
 
     def close(acc: Column) -> Column:
-        tail = F.array(F.struct(acc["open"].alias("content"), acc["at"].alias("start")))
-        return F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], tail))
+        return F.when(acc["bytes"] == 0, acc["done"]).otherwise(F.concat(acc["done"], chunk(acc)))
+
+    def cut(c: Column) -> Column:
+        return F.struct(F.array_join(F.slice("_sentences", c["first"] + 1, c["many"]), ". ").alias("content"), c["start"].alias("start"))
 
     rest = [c for c in df.columns if c != text]
-    packed = df.select(*rest, F.aggregate(sentences, start, add, close).alias("chunks"))
-    return packed.select(*rest, F.posexplode("chunks").alias("chunk_index", "chunk")).select(
+    split = df.select(*rest, sentences.alias("_sentences"))
+    ends = F.aggregate(F.transform("_sentences", F.octet_length), begin, add, close)
+    packed = split.select(*rest, "_sentences", ends.alias("_ends")).select(*rest, F.transform("_ends", cut).alias("chunks"))
+    # outer: else Spark asks first whether there are chunks, and computes all of this once more for every chunk
+    return packed.select(*rest, F.posexplode_outer("chunks").alias("chunk_index", "chunk")).filter("chunk IS NOT NULL").select(
         *rest,
         F.concat(F.col(doc).cast("string"), F.lit("_sent_chunk_"), F.col("chunk_index")).alias("chunk_id"),
         "chunk_index",

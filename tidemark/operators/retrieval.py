@@ -42,6 +42,7 @@ def squared_l2(a: Column, b: Column) -> Column:
 
 QUERY_ROWS = 20_000  # queries in a block
 STORE_ROWS = 100_000  # store rows in a block
+BLOCK_BYTES = 32 << 20  # of a block's vectors as doubles
 PAIRS = 4_000_000  # scores a task holds at a time (32 MB as doubles)
 
 
@@ -151,17 +152,16 @@ def vector_search(
     id. For ``metric="l2"`` the score is the squared distance, smaller is closer. ``filters`` takes equal
     values, ``where``, ``where_document`` and ``namespace`` what ``vector_filter`` takes.
 
-    Queries and store are cut into blocks of about ``query_rows`` and ``store_rows`` rows and meet block by
-    block, whatever their size. A task holds one pair of blocks and a bounded tile of their scores, and emits
-    k rows for each query and store block.
+    Queries and store are cut into blocks of at most about ``query_rows`` and ``store_rows`` rows, fewer where
+    vectors are long (``BLOCK_BYTES``), and meet block by block, whatever their size. A task holds one pair of
+    blocks and a bounded tile of their scores, and emits k rows for each query and store block. Stored vectors of
+    a length that no query has travel without their values.
     """
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric: {metric}")
     if filters:
         store = metadata_filter(store, filters)
     store = vector_filter(store, where, where_document, namespace)
-    s_blocks = max(1, math.ceil(store.select("id").count() / store_rows))  # counted before vectors are computed
-    store = store.select("id", "embedding").filter(F.col("embedding").isNotNull())
     queries = queries.select("query_id", "embedding")
     q_kind, s_kind = dict(queries.dtypes)["query_id"], dict(store.dtypes)["id"]
     schema = f"query_id {q_kind}, id {s_kind}, score double"
@@ -170,7 +170,13 @@ def vector_search(
 
     # written once, so that counting the queries does not compute them again
     queries = cut_lineage(queries)
-    q_blocks = max(1, math.ceil(queries.count() / query_rows))
+    lengths = {r[0]: r[1] for r in queries.groupBy(F.size("embedding")).count().collect()}  # a row for each length of a query
+    fitting = max(1, BLOCK_BYTES // (8 * max(1, *lengths, 1)))
+    q_blocks = max(1, math.ceil(sum(lengths.values()) / min(query_rows, fitting)))
+    s_blocks = max(1, math.ceil(store.select("id").count() / min(store_rows, fitting)))  # counted before vectors are computed
+    store = store.select("id", "embedding").filter(F.col("embedding").isNotNull())
+    useful = F.size("embedding").isin([n for n in lengths if n is not None])
+    store = store.withColumn("embedding", F.when(useful, F.col("embedding")).otherwise(F.array().cast(dict(store.dtypes)["embedding"])))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("_s", numbers(s_blocks))
     right = store.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(s_blocks)).cast("int")).withColumn("_q", numbers(q_blocks))

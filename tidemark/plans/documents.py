@@ -122,10 +122,9 @@ def file_inventory(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     docs.select("doc_id", "lang", "source").repartition(4, "lang", "source").write.partitionBy("lang", "source").csv(path)
     listed = files.file_inventory(spark, path)
-    folder = F.regexp_extract("path", r"^(.*)/[^/]+$", 1)
-    return listed.groupBy(folder.alias("folder")).agg(
-        F.min("depth").alias("depth"), (F.count("*") > 0).alias("has_files"), F.sum("size").alias("bytes")
-    )
+    # a writer's file names differ from run to run
+    plain = lambda c: F.regexp_replace(c, r"part-[0-9a-f-]+.*$", "part").alias(c)
+    return listed.select(plain("name"), plain("path"), "depth", "is_dir", "size")
 
 
 def file_name_search(spark, sf_dir):
@@ -195,8 +194,12 @@ def html_structure(spark, sf_dir):
 
 
 def html_all(spark, sf_dir):
+    """Every value of the one-pass analysis; lists and texts by their hashes."""
     out = html.html_analyze(_pages(spark, sf_dir), "all")
-    return out.select("page_id", "title", "lang", F.size("link_list").alias("links_found"), "paragraphs", F.octet_length("text").alias("text_bytes"))
+    lines = lambda items, a, b: F.md5(F.array_join(F.transform(items, lambda x: F.concat_ws("|", x[a], x[b])), "\n"))
+    return out.select(
+        "page_id", "title", "lang", *html.COUNTED, F.md5("text").alias("text_md5"), lines("link_list", "href", "text").alias("links_md5"),
+        lines("headings", "level", "text").alias("headings_md5"), lines("metas", "name", "content").alias("metas_md5"))
 
 
 def html_metadata(spark, sf_dir):
@@ -433,8 +436,11 @@ ORACLE = {
         UNION ALL SELECT c_custkey, 1, 'seg', c_mktsegment, false FROM customer WHERE c_custkey % 13 <> 0
         UNION ALL SELECT c_custkey, 2, 'seg', 'tail', false FROM customer WHERE c_custkey % 13 <> 0
         UNION ALL SELECT c_custkey, NULL, NULL, NULL, true FROM customer WHERE c_custkey % 13 = 0""",
-    "file_inventory": """SELECT 'lang=' || lang || '/source=' || source AS folder, 2 AS depth, true AS has_files,
-        CAST(sum(strlen(CAST(doc_id AS VARCHAR)) + 1) AS BIGINT) AS bytes FROM documents GROUP BY 1""",
+    "file_inventory": """WITH f AS (SELECT 'lang=' || lang AS l, 'source=' || source AS s, CAST(sum(strlen(CAST(doc_id AS VARCHAR)) + 1) AS BIGINT) AS size
+            FROM documents GROUP BY 1, 2)
+        SELECT DISTINCT l AS name, l AS path, 0 AS depth, true AS is_dir, CAST(NULL AS BIGINT) AS size FROM f
+        UNION ALL SELECT s, l || '/' || s, 1, true, NULL FROM f UNION ALL SELECT 'part', l || '/' || s || '/part', 2, false, size FROM f
+        UNION ALL SELECT '_SUCCESS', '_SUCCESS', 0, false, 0""",
     "file_name_search": """SELECT source AS name, CAST(sum(strlen(CAST(doc_id AS VARCHAR)) + 1) AS BIGINT) AS bytes FROM documents
         WHERE contains(source, 'src1') GROUP BY 1""",
     "text_search_lines": f"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS v FROM documents)
@@ -466,9 +472,6 @@ ORACLE = {
         UNION ALL SELECT page_id, 3, 'title', {_TITLE} FROM p WHERE {_TITLE} IS NOT NULL
         UNION ALL SELECT page_id, CASE WHEN {_TITLE} IS NULL THEN 3 ELSE 4 END, 'lang', regexp_extract(h, '<html lang="([a-z]+)"', 1) FROM p)
         SELECT page_id, CAST(position AS INTEGER) AS position, name, content FROM m""",
-    "html_all": f"""WITH {_CLEAN_SQL} SELECT page_id, {_TITLE} AS title, regexp_extract(h, '<html lang="([a-z]+)"', 1) AS lang,
-        CAST(len(regexp_extract_all(h, '(?is)<a\\s[^>]*>.*?</a>')) AS INTEGER) AS links_found,
-        CAST(len(regexp_extract_all(h, '(?i)<p[\\s/>]')) AS INTEGER) AS paragraphs, CAST(strlen({_BODY_TEXT}) AS INTEGER) AS text_bytes FROM p""",
     "path_audit": """SELECT page_id, CASE page_id % 12 WHEN 0 THEN 'traversal' WHEN 1 THEN 'encoded_traversal' WHEN 2 THEN 'reserved_name'
         WHEN 3 THEN 'hidden' WHEN 4 THEN 'system_directory' WHEN 6 THEN 'too_long' WHEN 7 THEN 'control_character' WHEN 8 THEN 'system_directory' ELSE 'ok' END AS path_class FROM pages""",
     "command_audit": _COMMAND_SQL,
@@ -508,3 +511,8 @@ ORACLE = {
 }
 # a quoted attribute pattern reads better without escapes inside the f-string above
 ORACLE["html_links"] = ORACLE["html_links"].replace("'href=$$([^$$]*)$$'.replace('$$', chr(34))", "'href=\"([^\"]*)\"'")
+_LINES = "SELECT page_id, md5(string_agg({a} || '|' || {b}, chr(10) ORDER BY position)) AS m FROM ({rows}) GROUP BY 1"
+ORACLE["html_all"] = f"""WITH {_CLEAN_SQL}, t AS (SELECT *, {_TITLE} AS title, regexp_extract(h, '<html lang="([a-z]+)"', 1) AS lang FROM p),
+    l AS ({_LINES.format(a="href", b="text", rows=ORACLE["html_links"])}), g AS ({_LINES.format(a="level", b="text", rows=ORACLE["html_headings"])})
+    SELECT t.page_id, title, lang, {_COUNT_SQL}, md5({_BODY_TEXT}) AS text_md5, coalesce(l.m, md5('')) AS links_md5, coalesce(g.m, md5('')) AS headings_md5,
+    md5(concat_ws(chr(10), 'title|' || title, 'lang|' || lang)) AS metas_md5 FROM t LEFT JOIN l USING (page_id) LEFT JOIN g USING (page_id)"""

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.fixed_values import EXPORT_COLUMNS
+from tidemark.sources.listing import FolderSource
 
 # --------------------------------------------------------------------- CSV
 
@@ -228,20 +229,20 @@ def xml_elements(df: DataFrame, content: str = "content") -> DataFrame:
 # ---------------------------------------------------------------- listings
 
 
-def file_inventory(spark: SparkSession, path: str, recursive: bool = True, max_depth: int | None = None) -> DataFrame:
-    """(name, path, depth, size, modified) of the files below ``path``; hidden files are skipped.
+def file_inventory(
+    spark: SparkSession, path: str, recursive: bool = True, max_depth: int | None = None, include_hidden: bool = False
+) -> DataFrame:
+    """(name, path, depth, is_dir, size, modified) of the files and folders below ``path``, by name.
 
-    Only file metadata is read, never the contents.
+    ``path`` is relative, ``depth`` counts the folders on the way and folders have no size. What is hidden, or lies
+    in a hidden folder, has a name that begins with a dot. Folders are listed by tasks, see ``listing``; only
+    metadata is read, never the contents.
     """
-    base = spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    full = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
-    relative = F.substring(full, F.lit(len(base) + 2), F.char_length(full))
-    listed = files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), relative.alias("path"),
-        (F.size(F.split(relative, "/")) - 1).alias("depth"), F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified"),
-    )
+    spark.dataSource.register(FolderSource)
+    reader = spark.read.format(FolderSource.name()).option("recursive", str(recursive).lower()).option("includeHidden", str(include_hidden).lower())
+    if max_depth is not None:
+        reader = reader.option("maxDepth", str(max_depth))
+    listed = reader.load(path)
     if max_depth is not None:
         listed = listed.filter(F.col("depth") <= max_depth)
     return listed.orderBy("name", "path")

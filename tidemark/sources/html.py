@@ -38,6 +38,16 @@ def unescape(text: Column) -> Column:
     return run(text)
 
 
+def unescape_all(texts: Column) -> Column:
+    """``unescape`` for every element of an array."""
+
+    @F.pandas_udf("array<string>")
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda own: own if own is None else [_html.unescape(t) if t is not None and "&" in t else t for t in own])
+
+    return run(texts)
+
+
 def clean(html: Column) -> Column:
     return F.regexp_replace(html, _NOISE, "")
 
@@ -69,13 +79,10 @@ def html_structure(df: DataFrame, html: str = "html") -> DataFrame:
     source = F.col("_clean")
     counts = [F.regexp_count(source, F.lit(rf"(?i)<{tag}[\s/>]")).alias(name) for name, tag in COUNTED.items()]
     found = F.regexp_extract_all(source, F.lit(r"(?is)<h[1-6](?:\s[^>]*)?>.*?(?=</h[1-6]|<h[1-6][\s>]|\z)"), F.lit(0))
+    texts = F.transform(unescape_all(F.transform(found, _plain)), strip)
+    levels = F.transform(found, lambda h: F.substring(h, 3, 1).cast("int"))
     headings = F.filter(
-        F.transform(
-            found,
-            lambda h: F.struct(F.substring(h, 3, 1).cast("int").alias("level"), strip(_plain(h)).alias("text")),
-        ),
-        lambda h: h["text"] != "",
-    )
+        F.zip_with(levels, texts, lambda n, t: F.struct(n.alias("level"), t.alias("text"))), lambda h: h["text"] != "")
     return df.withColumn("_clean", clean(F.col(html))).select(
         *[c for c in df.columns if c != html], *counts, title(source).alias("title"), headings.alias("headings")
     )
@@ -90,7 +97,7 @@ def html_headings(df: DataFrame, html: str = "html") -> DataFrame:
     """One row per heading: position, level, text."""
     rest = [c for c in df.columns if c != html]
     return html_structure(df, html).select(*rest, F.posexplode("headings").alias("position", "h")).select(
-        *rest, "position", F.col("h.level").alias("level"), unescape(F.col("h.text")).alias("text")
+        *rest, "position", F.col("h.level").alias("level"), F.col("h.text").alias("text")
     )
 
 
@@ -108,49 +115,45 @@ def html_links(df: DataFrame, html: str = "html") -> DataFrame:
     )
 
 
+def _metas(source: Column) -> Column:
+    """Array of (name, content), decoded: meta tags by name, property or http-equiv, then ``title`` and ``lang``."""
+    tags = F.regexp_extract_all(source, F.lit(rf"(?is)<meta(\s{_ATTRS})>"), F.lit(0))
+    names = F.transform(tags, lambda m: F.coalesce(_attribute(m, "name"), _attribute(m, "property"), _attribute(m, "http-equiv")))
+    contents = F.transform(tags, lambda m: _attribute(m, "content"))
+    page_title = strip(F.regexp_extract(source, r"(?is)<title(?:\s[^>]*)?>(.*?)</title", 1))
+    root = F.regexp_extract(source, rf"(?is)<html(\s{_ATTRS}>)", 1)
+    own = F.array(F.when(page_title != "", page_title), _attribute(root, "lang"))
+    pairs = F.zip_with(
+        F.concat(names, F.array(F.lit("title"), F.lit("lang"))), unescape_all(F.concat(contents, own)),
+        lambda n, c: F.struct(n.alias("name"), c.alias("content")))
+    return F.filter(pairs, lambda p: p["name"].isNotNull() & p["content"].isNotNull())
+
+
 def html_metadata(df: DataFrame, html: str = "html") -> DataFrame:
     """Rows (name, content): meta tags by name, property or http-equiv, then ``title`` and ``lang``."""
-    source = F.col("_clean")
-    metas = F.transform(
-        F.regexp_extract_all(source, F.lit(rf"(?is)<meta(\s{_ATTRS})>"), F.lit(0)),
-        lambda m: F.struct(
-            F.coalesce(_attribute(m, "name"), _attribute(m, "property"), _attribute(m, "http-equiv")).alias("name"),
-            _attribute(m, "content").alias("content"),
-        ),
-    )
-    page_title = F.regexp_extract(source, r"(?is)<title(?:\s[^>]*)?>(.*?)</title", 1)
-    root = F.regexp_extract(source, rf"(?is)<html(\s{_ATTRS}>)", 1)
-    own = F.array(
-        F.struct(F.lit("title").alias("name"), F.when(strip(page_title) != "", strip(page_title)).alias("content")),
-        F.struct(F.lit("lang").alias("name"), _attribute(root, "lang").alias("content")),
-    )
-    pairs = F.filter(F.concat(metas, own), lambda p: p["name"].isNotNull() & p["content"].isNotNull())
     rest = [c for c in df.columns if c != html]
-    rows = df.withColumn("_clean", clean(F.col(html))).select(*rest, F.posexplode(pairs).alias("position", "_p"))
-    return rows.select(*rest, "position", F.col("_p.name").alias("name"), unescape(F.col("_p.content")).alias("content"))
+    found = df.withColumn("_clean", clean(F.col(html))).select(*rest, _metas(F.col("_clean")).alias("_all"))
+    return found.select(*rest, F.posexplode("_all").alias("position", "_p")).select(*rest, "position", "_p.name", "_p.content")
 
 
 MODES = {"text": html_text, "structure": html_structure, "links": html_links, "metadata": html_metadata}
 
 
 def html_analyze(df: DataFrame, mode: str = "all", html: str = "html", key: str = "page_id") -> DataFrame:
-    """One mode, or ``all``: text, counts, title, headings and links (``link_list``) in one pass."""
+    """One mode, or ``all``: text, counts, title, headings, links (``link_list``) and ``metas`` in one pass, all decoded."""
     if mode in MODES:
         return MODES[mode](df, html)
     if mode != "all":
         raise ValueError(f"unknown mode: {mode}")
     source = F.col("_clean0")
     kept = df.withColumn("_clean0", clean(F.col(html)))
-    links = F.transform(
-        F.regexp_extract_all(source, F.lit(rf"(?is)<a(\s{_ATTRS})>(.*?)(?=</a\s*>|<a[\s>]|\z)"), F.lit(0)),
-        lambda a: F.struct(
-            _attribute(F.regexp_extract(a, rf"(?is)^<a(\s{_ATTRS}>)", 1), "href").alias("href"),
-            strip(_plain(a)).alias("text"),
-        ),
-    )
+    found = F.regexp_extract_all(source, F.lit(rf"(?is)<a(\s{_ATTRS})>(.*?)(?=</a\s*>|<a[\s>]|\z)"), F.lit(0))
+    hrefs = F.transform(found, lambda a: _attribute(F.regexp_extract(a, rf"(?is)^<a(\s{_ATTRS}>)", 1), "href"))
+    texts = F.transform(unescape_all(F.transform(found, _plain)), strip)
+    links = F.zip_with(unescape_all(hrefs), texts, lambda h, t: F.struct(h.alias("href"), F.when(t == "", "(no text)").otherwise(t).alias("text")))
     lang = _attribute(F.regexp_extract(source, rf"(?is)<html(\s{_ATTRS}>)", 1), "lang")
     with_links = kept.select(
-        *df.columns, F.filter(links, lambda x: x["href"].isNotNull()).alias("link_list"), lang.alias("lang")
+        *df.columns, F.filter(links, lambda x: x["href"].isNotNull()).alias("link_list"), _metas(source).alias("metas"), lang.alias("lang")
     )
     texted = html_text(with_links, html)
     return html_structure(texted, html)
