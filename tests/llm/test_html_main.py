@@ -9,7 +9,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>
 
 
 def texts(html):
-    return [t for t, _, _ in parse(html)]
+    return [t for t, _, _ in parse(html)[0]]
 
 
 def test_named_parts_go():
@@ -55,15 +55,60 @@ def test_names_do_not_drop_the_text():
     assert texts('<div class="widget">all there is</div>') == ["all there is"]
 
 
-def test_recurring_prose_of_articles(spark):
+def test_recurring_parts_of_articles(spark):
+    """Containers that recur go, inside articles too; an article's own paragraphs and headings stay however often they stand."""
     def page(i):
-        return f"<article><h1>Story {i}</h1><p>What happened on day {i} at length and in full.</p><p>Sign up here.</p></article>"
+        return (f"<article><h1>Story {i}</h1><h2>Les.</h2><p>What happened on day {i} at length and in full.</p><p>Released under the MIT License.</p>"
+                "<div><p>Sign up here.</p><span>now</span></div></article>")
 
     copies = "<article><p>One text that stands at many addresses.</p></article>"
     near = "<article><p>Near copies share this long paragraph with each other.</p><p>seen {} times</p></article>"
     rows = [(i, f"http://a/{i}", page(i)) for i in range(8)] + [(100 + i, f"http://a/c{i}", copies) for i in range(8)]
     rows += [(200 + i, f"http://a/n{i}", near.format(i)) for i in range(8)]
     got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[i] == f"Story {i}\nWhat happened on day {i} at length and in full." for i in range(8))
+    assert all(got[i] == f"Story {i}\nLes.\nWhat happened on day {i} at length and in full.\nReleased under the MIT License." for i in range(8))
     assert all(got[100 + i] == "One text that stands at many addresses." for i in range(8))
     assert all(got[200 + i] == f"Near copies share this long paragraph with each other.\nseen {i} times" for i in range(8))
+
+
+def test_deep_pages_take_linear_time():
+    """200,000 elements that are never closed: one node each, and seconds at most."""
+    import time
+
+    for tag in ("<div>x y", "<span>x", "<ul><li>x", "<p>a<b>b", "<table><tr><td>x"):
+        started = time.time()
+        blocks, nodes = parse(tag * 200_000)
+        assert blocks and len(nodes) <= 800_000
+        assert time.time() - started < 20
+
+
+def test_templates_equal_a_plain_count(spark, sf_dir):
+    """Subtrees counted by plain Python over the given pages: the same templates, and the same texts."""
+    from urllib.parse import urlsplit
+
+    from tidemark.llm.html_main import left_text, page_blocks, recurring_subtrees
+    from tidemark.session import table
+
+    pages = table(spark, sf_dir, "pages")
+    rows = pages.collect()
+    parsed = {r.page_id: parse(r.html) for r in rows}
+    hosts, seen = {}, {}
+    for r in rows:
+        host = (urlsplit(r.url).hostname or "") if r.url else ""
+        blocks, nodes = parsed[r.page_id]
+        key = (host, tuple(blocks), tuple(nodes))
+        if key not in seen:
+            seen[key] = True
+            count, own = hosts.setdefault(host, [0, {}])
+            hosts[host][0] += 1
+            for d in {d for d, _, counted in nodes if counted}:
+                own[d] = own.get(d, 0) + 1
+    want = {(h, d) for h, (n, own) in hosts.items() for d, c in own.items() if c >= 2 and c >= 0.01 * n}
+    found = recurring_subtrees(page_blocks(pages), min_pages=2)
+    assert {(r.host, r.subtree) for r in found.collect()} == want
+    got = {r.page_id: r.text for r in main_text(pages, min_pages=2).collect()}
+    for r in rows:
+        host = (urlsplit(r.url).hostname or "") if r.url else ""
+        blocks, nodes = parsed[r.page_id]
+        as_rows = [{"text": t, "article": a, "node": n} for t, a, n in blocks], [{"digest": d, "parent": p, "counted": c} for d, p, c in nodes]
+        assert got[r.page_id] == left_text(*as_rows, {d for h, d in want if h == host})

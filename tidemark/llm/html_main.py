@@ -35,13 +35,15 @@ BLOCK = {"address", "article", "blockquote", "body", "center", "dd", "details",
          "summary", "table", "caption", "tbody", "thead", "tfoot", "td", "th", "tr", "ul"} | GONE | HIDDEN
 #: Pieces of a line: a block is deleted by elements that hold all of it, so these are hashed within their parents only.
 INLINE = {"b", "i", "em", "strong", "a", "span", "u", "s", "code", "sub", "sup", "small", "q", "cite", "font", "mark"}
-#: An article's own prose, deleted where it recurs unless that takes most of the article.
+#: An article's own prose, which is never counted: articles share paragraphs and headings without any being a template.
 PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figcaption"}
 #: Cells and items of an article's tables and lists, which are counted as wholes.
 ITEMS = {"li", "dd", "dt", "td", "th", "tr", "caption"}
 #: An open element of the first kind ends where one of the second kind begins.
 ENDS = {"head": {"body"}, "p": BLOCK - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
         "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}}
+#: The same by the element that begins.
+ENDED_BY = {tag: [t for t, later in ENDS.items() if tag in later] for tag in set().union(*ENDS.values())}
 #: An open element is not closed from inside these.
 FENCE = {"table", "td", "th", "ul", "ol", "dl", "div", "section", "article", "main", "body", "html", "button", "aside", "nav", "footer",
          "header", "form"}
@@ -93,19 +95,22 @@ def _dropped(root: _Node, blocks: list) -> list:
     return left or blocks
 
 
-def parse(html: str | None) -> list[tuple[str, bool, tuple[list[int], list[int]]]]:
-    """(text, inside an article, hashes of the subtrees around it) per block in page order.
+def parse(html: str | None) -> tuple[list[tuple[str, bool, int]], list[tuple[int, int, bool]]]:
+    """Blocks (text, inside an article, node) in page order, and nodes (hash, parent, counted), parents first.
 
     One scan builds the open elements as a stack. Hashes cover tag names and texts of whole subtrees, bottom
-    up, whatever their names; those of an article's own prose come apart from the others. Small parts named
-    as boilerplate are left out.
+    up, whatever their names. A node stands once, with a link to the one around it (-1: none), so a page's result
+    and time grow with its length however deep it is. Small parts named as boilerplate are left out. Counted are
+    elements that can hold a template: not a line's pieces, not an article's own prose, cells and items.
     """
     from xxhash import xxh64_intdigest
 
     html = html or ""
     root = _Node(None, "", False, False, None)
-    stack, blocks, pending, raw_from = [root], [], [], 0
+    stack, blocks, pending = [root], [], []
     owner = None
+    # where the open elements of each name stand in the stack, and the fences among them
+    open_at, fences = {}, [0]
 
     def flush():
         nonlocal pending, owner
@@ -129,6 +134,9 @@ def parse(html: str | None) -> list[tuple[str, bool, tuple[list[int], list[int]]
 
     def pop():
         node = stack.pop()
+        open_at[node.tag].pop()
+        if node.tag in FENCE:
+            fences.pop()
         if node.tag in BLOCK:
             flush()
         if not node.hidden:
@@ -153,13 +161,10 @@ def parse(html: str | None) -> list[tuple[str, bool, tuple[list[int], list[int]]
             continue
         closing, attributes = found[1] or found[4], found[3] or found[6] or ""
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    while len(stack) > depth:
-                        pop()
-                    break
-                if stack[depth].tag in FENCE and tag not in FENCE:
-                    break
+            depth = open_at[tag][-1] if open_at.get(tag) else 0
+            if depth and (tag in FENCE or depth >= fences[-1]):
+                while len(stack) > depth:
+                    pop()
             continue
         if tag == "br":
             say(" ")
@@ -168,13 +173,10 @@ def parse(html: str | None) -> list[tuple[str, bool, tuple[list[int], list[int]]
             if tag == "hr":
                 flush()
             continue
-        for depth in range(len(stack) - 1, 0, -1):
-            if tag in ENDS.get(stack[depth].tag, ()):
-                while len(stack) > depth:
-                    pop()
-                break
-            if stack[depth].tag in FENCE:
-                break
+        depth = max((open_at[t][-1] for t in ENDED_BY.get(tag, ()) if open_at.get(t)), default=0)
+        if depth and depth >= fences[-1]:
+            while len(stack) > depth:
+                pop()
         if tag in BLOCK:
             flush()
         top = stack[-1]
@@ -186,24 +188,27 @@ def parse(html: str | None) -> list[tuple[str, bool, tuple[list[int], list[int]]
             at = close + 1 if close >= 0 else size
             continue
         if not attributes.rstrip().endswith("/") or tag in BLOCK:
+            open_at.setdefault(tag, []).append(len(stack))
+            if tag in FENCE:
+                fences.append(len(stack))
             stack.append(_Node(top, tag, top.hidden or tag in HIDDEN, article, mark))
     while len(stack) > 1:
         pop()
     flush()
     signed = lambda h: h - (1 << 64) if h >> 63 else h
-    out, lines = [], {}
+    out, places, nodes = [], {root: -1}, []
     for text, node in _dropped(root, blocks):
-        if node not in lines:
-            path, own, at = [], [], node
-            while at.parent is not None:
-                if at.article and at.tag in PROSE:
-                    own.append(signed(at.digest))
-                elif at.tag not in INLINE and at.tag not in ("html", "body", "article", "main") and not (at.article and at.tag in ITEMS):
-                    path.append(signed(at.digest))
-                at = at.parent
-            lines[node] = path, own
-        out.append((text, node.article, lines[node]))
-    return out
+        line = []
+        while node not in places:
+            line.append(node)
+            node = node.parent
+        for one in reversed(line):
+            counted = one.tag not in INLINE and one.tag not in ("html", "body", "article", "main") and not (one.article and one.tag in PROSE | ITEMS)
+            places[one] = len(nodes)
+            nodes.append((signed(one.digest), places[one.parent], counted))
+        owner = line[0] if line else node
+        out.append((text, owner.article, places[owner]))
+    return out, nodes
 
 
 def site(url: str) -> Column:
@@ -211,26 +216,41 @@ def site(url: str) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+PAGE = ("row long, page_id {key}, url {url}, host string, blocks array<struct<text: string, article: boolean, node: int>>, "
+        "nodes array<struct<digest: long, parent: int, counted: boolean>>")
+
+
 def page_blocks(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(row, key, url, host, blocks): the parsed blocks of every page."""
+    """(row, page_id, url, host, blocks, nodes): the parsed blocks of every page and the elements around them."""
     kinds = dict(pages.dtypes)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        block = pa.list_(pa.struct([("text", pa.string()), ("article", pa.bool_()), ("path", pa.list_(pa.int64())), ("own", pa.list_(pa.int64()))]))
+        block = pa.list_(pa.struct([("text", pa.string()), ("article", pa.bool_()), ("node", pa.int32())]))
+        around = pa.list_(pa.struct([("digest", pa.int64()), ("parent", pa.int32()), ("counted", pa.bool_())]))
         for batch in batches:
-            parsed = pa.array([[{"text": t, "article": a, "path": p, "own": o} for t, a, (p, o) in parse(x.as_py())] for x in batch.column(4)], block)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], parsed], ["row", "page_id", "url", "host", "blocks"])
+            parsed = [parse(x.as_py()) for x in batch.column(4)]
+            blocks = pa.array([[{"text": t, "article": a, "node": n} for t, a, n in found] for found, _ in parsed], block)
+            nodes = pa.array([[{"digest": d, "parent": p, "counted": c} for d, p, c in own] for _, own in parsed], around)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], blocks, nodes], ["row", "page_id", "url", "host", "blocks", "nodes"])
 
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("page_id"), F.col(url).alias("url"),
                         site(url).alias("host"), F.col(html).cast("string").alias("html"))
-    return rows.mapInArrow(
-        run, f"row long, page_id {kinds[key]}, url {kinds[url]}, host string, blocks array<struct<text: string, article: boolean, path: array<long>, own: array<long>>>")
+    return rows.mapInArrow(run, PAGE.format(key=kinds[key], url=kinds[url]))
 
 
-def _subtrees(blocks: str = "blocks") -> Column:
-    return F.array_distinct(F.flatten(F.concat(F.col(f"{blocks}.path"), F.col(f"{blocks}.own"))))
+def _subtrees() -> Column:
+    return F.array_distinct(F.transform(F.filter("nodes", lambda n: n["counted"]), lambda n: n["digest"]))
+
+
+def left_text(blocks: list[dict], nodes: list[dict], template: set[int]) -> str:
+    """The blocks under no deleted element; those inside articles alone, if there are any."""
+    gone = []
+    for n in nodes:  # parents come first
+        gone.append((n["parent"] >= 0 and gone[n["parent"]]) or (n["counted"] and n["digest"] in template))
+    kept = [b for b in blocks if b["node"] < 0 or not gone[b["node"]]]
+    return "\n".join(b["text"] for b in [b for b in kept if b["article"]] or kept)
 
 
 def recurring_subtrees(blocks: DataFrame, min_pages: int = 5, min_share: float = 0.01) -> DataFrame:
@@ -249,11 +269,11 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     """(page_id, url, text, n_chars) for every page, by site template removal.
 
     All subtrees of more than a line's piece are hashed and counted per host in Spark; those that recur on many
-    pages of their host are deleted. An article's own paragraphs and headings are deleted too, unless over half
-    of the article's text would go, as it does where articles are near copies; cells and items of an article go
-    with their tables and lists only. Small parts that say what they are (tags and class, id or role words) go
-    without a count, but names never delete an article or main element or most of a page's text. Where a page
-    marks an article or main element, only that is its text; else what is left of the page.
+    pages of their host are deleted, whole containers inside articles too. An article's own paragraphs and
+    headings are never counted, and its cells and items go with their tables and lists only. Small parts that
+    say what they are (tags and class, id or role words) go without a count, but names never delete an article
+    or main element or most of a page's text. Where a page marks an article or main element, only that is its
+    text; else what is left of the page.
 
     White space in a block becomes one space, character references are decoded, blocks are joined by a line
     feed. Null or empty HTML gives an empty text; a null URL counts as a host of its own, and pages without a
@@ -265,15 +285,16 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     # a list per page, of subtrees that this page itself holds
     marks = stored(touched.groupBy("row").agg(F.collect_set("subtree").alias("template")), "page-templates")
 
-    def without(column: str, field: str) -> Column:
-        return F.filter(column, lambda b: F.col("template").isNull() | ~F.arrays_overlap(b[field], F.col("template")))
+    kinds = dict(blocks.dtypes)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def chars(column: str) -> Column:
-        return F.aggregate(column, F.lit(0), lambda n, b: n + F.char_length(b["text"]))
+        for batch in batches:
+            columns = (batch.column(i) for i in (2, 3, 4))
+            texts = [left_text(b.as_py(), n.as_py(), set(t.as_py() or ())) for b, n, t in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    left = blocks.join(marks, "row", "left").select("page_id", "url", "template", without("blocks", "path").alias("kept"))
-    left = left.withColumn("inside", F.filter("kept", lambda b: b["article"])).withColumn("distinct", without("inside", "own"))
-    inside = F.when(2 * chars("distinct") >= chars("inside"), F.col("distinct")).otherwise(F.col("inside"))
-    chosen = F.when(F.size("inside") > 0, inside).otherwise(F.col("kept"))
-    text = left.select("page_id", "url", F.array_join(F.transform(chosen, lambda b: b["text"]), "\n").alias("text"))
+    joined = blocks.join(marks, "row", "left").select("page_id", "url", "blocks", "nodes", "template")
+    text = joined.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
     return text.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
