@@ -42,6 +42,40 @@ def test_fingerprint():
         assert simhash.fingerprint(text) == plain_fingerprint(text)
 
 
+@pytest.mark.parametrize("max_bits", [1, 3, 4, 5])
+@pytest.mark.parametrize("tiled_rows", [1, 10_000])
+def test_odd_limits_by_tiles_and_by_middles(spark, max_bits, tiled_rows):
+    rng, fps = random.Random(max_bits), set()
+    for _ in range(8):
+        x = rng.getrandbits(64)
+        for _ in range(5):
+            fps.add(x)
+            for _ in range(rng.choice([1, max_bits, max_bits + 1])):
+                x ^= 1 << rng.randrange(64)
+    fps = sorted(fps)
+    signed = {f: f - (1 << 64) if f >> 63 else f for f in fps}
+    edges = simhash.hamming_links(spark.createDataFrame([(v,) for v in signed.values()], "fp long"), max_bits, tile=4, tiled_rows=tiled_rows).collect()
+    back = {v: f for f, v in signed.items()}
+    root = {f: f for f in fps}
+
+    def top(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    def joined(pairs):
+        for f in fps:
+            root[f] = f
+        for a, b in pairs:
+            root[max(top(a), top(b))] = min(top(a), top(b))
+        return {f: top(f) for f in fps}
+
+    found = [(back[r.a], back[r.b]) for r in edges]
+    assert all((a ^ b).bit_count() <= max_bits for a, b in found)
+    near = [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= max_bits]
+    assert near and joined(found) == joined(near)
+
+
 @pytest.mark.parametrize("options", [{}, {"tile": 3}, {"tile": 2, "tiled_rows": 4, "blocks": 6}, {"blocks": 7}])
 def test_links_join_what_pairs_join(spark, options):
     rng = random.Random(2)

@@ -160,11 +160,11 @@ def hamming_links(fps: DataFrame, max_bits: int = 4, blocks: int | None = None,
     free = F.element_at(F.array(*[F.lit(_signed(m ^ (2**64 - 1))).cast("long") for m in masks]), F.col("choice") + 1)
     # at most a few thousand flips, a number fixed by max_bits: a small side by proof
     middle = big.join(F.broadcast(table), F.col("flip").bitwiseAND(free) == F.col("flip")).select(
-        "fp", "choice", "key", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
-    lowest = stored(middle.groupBy("choice", "key", "mid").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1"), "middles")
-    near = middle.join(lowest, ["choice", "key", "mid"]).where("fp > a").select("a", F.col("fp").alias("b"))
-    if max_bits % 2:
-        near = near.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
+        "fp", "choice", "key", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"), (F.bit_count("flip") <= max_bits // 2).alias("close"))
+    # two rows within an odd limit have a middle that one of them is a bit closer to: all link to the least close one
+    lowest = stored(middle.groupBy("choice", "key", "mid").agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("a"), F.count(F.lit(1)).alias("m"))
+                    .where("m > 1 AND a IS NOT NULL"), "middles")
+    near = middle.join(lowest, ["choice", "key", "mid"]).where("fp <> a").select("a", F.col("fp").alias("b"))
     return solved.union(near).distinct()
 
 
