@@ -84,17 +84,18 @@ class Image:
             left -= int(counts[-1])
             position += 512
 
-    def ends(self):
-        """All boundaries in order, decoded in one sweep."""
+    def block_ends(self, block: int):
+        """Ends of the documents of one block: select by its sample, then by the bits up to the next one."""
         import numpy as np
 
-        n = self.documents
-        if not n:
-            return np.empty(0, np.int64)
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:n]
-        high = (ones - np.arange(n)) << self.low
-        bits = np.unpackbits(self.lows, bitorder="little")[: n * self.low].reshape(n, self.low).astype(np.int64)
-        return high | (bits << np.arange(self.low)).sum(axis=1)
+        first = block * SAMPLE
+        n = min(SAMPLE, self.documents - first)
+        at = int(self.samples[block])
+        stop = int(self.samples[block + 1]) if block + 1 < self.samples_n else 8 * len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[at // 8 : -(-stop // 8)], bitorder="little")[at % 8 :])[:n] + at
+        low = np.unpackbits(self.lows[first * self.low // 8 : -(-(first + n) * self.low // 8)], bitorder="little")[: n * self.low]
+        low = (low.reshape(n, self.low).astype(np.int64) << np.arange(self.low)).sum(axis=1)
+        return ((ones - first - np.arange(n)) << self.low) | low
 
     def document(self, i: int):
         return self.values[self.end(i - 1) if i else 0 : self.end(i)]
@@ -162,7 +163,7 @@ def write_store(
 
 
 def read_boundaries(store: DataFrame, checksum: bool = True) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) for every document, decoded from the images.
+    """(doc_id, start, n_tokens, ids_crc32) for every document, selected from the images block by block.
 
     ``start`` counts all ids before the document in the whole store. Only image sizes (a row for millions of
     ids) meet in one task to be added up.
@@ -177,14 +178,17 @@ def read_boundaries(store: DataFrame, checksum: bool = True) -> DataFrame:
 
         for batch in batches:
             for keys, data, base in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
-                image = Image(memoryview(data.as_buffer()))
-                ends = image.ends()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                ids = image.values.astype("<u4").tobytes() if checksum else b""
-                crcs = [zlib.crc32(memoryview(ids)[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [keys.values, pa.array(starts + base), pa.array(ends - starts), pa.array(crcs, pa.int64())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"])
+                image, begin = Image(memoryview(data.as_buffer())), 0
+                for block in range(image.samples_n):  # boundaries are never held for a whole image
+                    ends = image.block_ends(block)
+                    starts = np.concatenate([[begin], ends[:-1]]).astype(np.int64)
+                    first, begin = begin, int(ends[-1])
+                    ids = image.values[first:begin].astype("<u4").tobytes() if checksum else b""
+                    crcs = [zlib.crc32(memoryview(ids)[4 * (a - first) : 4 * (b - first)]) for a, b in zip(starts.tolist(), ends.tolist())]
+                    own = keys.values.slice(block * SAMPLE, len(ends))
+                    yield pa.RecordBatch.from_arrays(
+                        [own, pa.array(starts + base), pa.array(ends - starts), pa.array(crcs, pa.int64())],
+                        ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     order = Window.orderBy("known", "at_first", "at_last", "at_number").rowsBetween(Window.unboundedPreceding, -1)
     named = [F.col("first").isNotNull().alias("known"), F.col("first").alias("at_first"), F.element_at("keys", -1).alias("at_last"),
