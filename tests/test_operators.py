@@ -160,6 +160,29 @@ def _naive_limits(times, cfg):
     return out
 
 
+def test_quiet_times_of_a_client_cut_its_fold(spark):
+    """Small limits, busy and quiet times and a null client: cut histories give the verdicts of a plain fold."""
+    rng, rows, n = random.Random(12), [], 0
+    cfg = ratelimit.RateConfig(per_minute=3, per_hour=6, burst=2, minute=40, hour=90, burst_window=5, minute_block=60, hour_block=100, burst_block=20)
+    for client in ("a", "b", "c", None):
+        t = 0.0
+        for _ in range(60):
+            busy = rng.random() < 0.4
+            for _ in range(rng.randint(1, 9) if busy else 1):
+                t += rng.uniform(0, 12) if busy else rng.uniform(20, 160)
+                rows.append((client, n, T0 + dt.timedelta(microseconds=round(t * 1e6))))
+                n += 1
+    df = spark.createDataFrame(rows, "client_id string, id int, timestamp timestamp_ntz")
+    got = {r["id"]: r["verdict"] for r in ratelimit.rate_limit(df, cfg).collect()}
+    for client in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == client), key=lambda r: (r[2], r[1]))
+        assert [got[r[1]] for r in mine] == _naive_limits([round((r[2] - T0).total_seconds() * 1e6) for r in mine], cfg)
+    cut = ratelimit.with_episode(df, "client_id", "timestamp", cfg.memory, 2)
+    whole = ratelimit.with_episode(df, "client_id", "timestamp", cfg.memory)
+    episodes = lambda d: d.select("client_id", "_episode").distinct().count()
+    assert cut.count() == len(rows) and episodes(cut) > episodes(whole)
+
+
 def test_rate_limit_defaults_against_a_plain_fold(spark):
     rng, rows, n = random.Random(3), [], 0
     for client, gap in (("burst", 0.2), ("minute", 0.55), ("hour", 3.4), ("idle", 4000)):
@@ -534,6 +557,36 @@ def test_paths_and_commands(spark):
     assert validation.classify_commands(df).filter("command_class <> want").count() == 0
 
 
+def test_the_first_failing_argument_counts(spark):
+    """One search in joined arguments against a look at every argument; nulls and the joint itself among them."""
+    rng = random.Random(6)
+    parts = ["x", "sub", "su", "rm", "rm -rf", "/etc/passwd", "/etc/hosts", "a;b", "..", "~", "", None, "é", "su\u0001x", "\u0001", "a\u0001;", "$(x)", "/dev/null su", "-", "C:\\windows\\x"]
+    plain = {}
+    rows = [(i, "echo", [rng.choice(parts) for _ in range(rng.randint(0, 6))]) for i in range(600)] + [(600, "echo", None)]
+    alone = spark.createDataFrame([(j, "echo", [p]) for j, p in enumerate(parts)], "id int, command string, args array<string>")
+    for r in validation.classify_commands(alone).collect():
+        plain[parts[r.id]] = r.command_class
+    assert {"ok", "metacharacter", "denied_word", "system_path", "traversal"} <= set(plain.values())
+    got = {r.id: r.command_class for r in validation.classify_commands(spark.createDataFrame(rows, "id int, command string, args array<string>")).collect()}
+    for i, _, args in rows:
+        assert got[i] == next((plain[x] for x in args or () if plain[x] != "ok"), "ok"), args
+
+
+def test_report_parts_equal_their_own_operators(spark, sf_dir):
+    """Three scans give what every part gives alone, for an empty period too."""
+    from tidemark.operators import audit
+    from tidemark.plans.audit import END, START, _detailed
+
+    df = _detailed(spark, sf_dir)
+    for start, end in ((START, END), (dt.datetime(1990, 1, 1), dt.datetime(1990, 1, 2))):
+        period, parts = audit.audit_filter(df, start=start, end=end), audit.audit_report(df, start, end)
+        alone = {"counts": audit.audit_counts(period), "top_actors": audit.top_n(period, "actor"), "top_resources": audit.top_n(period, "resource"),
+                 "highlights": audit.security_highlights(period), "performance": audit.audit_performance(period),
+                 "violations": audit.compliance_violations(period), "score": audit.compliance_score(period)}
+        for name, want in alone.items():
+            assert sorted(map(str, parts[name].collect())) == sorted(map(str, want.collect())), name
+
+
 def test_malformed_html(spark):
     page = ('<html lang=en><head><title> A &amp; B </title><script>x="<p>"</script></head><body><h1>One<h2>Two</h2>'
             "<p title='a>b'>Text<!-- <p>no</p> --><a href=/x>go</a><a href='/y'></a><a>none</a><style>p{}</style> end")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.fixed_values import PENALTY, TEST_TOKENS
 from tidemark.operators.ordering import MICROS, micros, moment, ordered_fold, split_by_time
+from tidemark.session import cut_lineage
 
 # ------------------------------------------------------------------ filters
 
@@ -141,21 +142,29 @@ def top_n_of(counts: DataFrame, column: str, n: int) -> DataFrame:
     return counts.select(column, "events").orderBy(F.desc("events"), F.asc(column)).limit(n)
 
 
+def _performance_sums() -> list[Column]:
+    return [
+        F.count("*").alias("rows"), F.avg("execution_time_ms").alias("time_avg"), F.max("execution_time_ms").alias("time_max"),
+        F.count("execution_time_ms").alias("timed"), F.sum("memory_usage_mb").alias("memory"), F.max("memory_usage_mb").alias("memory_max"),
+        F.count_if(F.col("outcome") == "Failure").alias("failed"),
+    ]
+
+
+def _performance_of(sums: DataFrame) -> DataFrame:
+    rows = F.col("rows")
+    return sums.select(
+        F.coalesce("time_avg", F.lit(0.0)).alias("avg_execution_time_ms"),
+        F.coalesce("time_max", F.lit(0)).alias("max_execution_time_ms"),
+        F.col("timed").alias("total_operations"),
+        F.when(rows > 0, F.coalesce("memory", F.lit(0)) / rows).otherwise(0.0).alias("avg_memory_usage_mb"),
+        F.coalesce("memory_max", F.lit(0)).alias("peak_memory_usage_mb"),
+        F.when(rows > 0, F.col("failed") / rows).otherwise(0.0).alias("error_rate"),
+    )
+
+
 def audit_performance(df: DataFrame) -> DataFrame:
     """Memory is averaged over all rows, time only over the rows that have one."""
-    rows = F.count("*")
-    return df.agg(
-        F.coalesce(F.avg("execution_time_ms"), F.lit(0.0)).alias("avg_execution_time_ms"),
-        F.coalesce(F.max("execution_time_ms"), F.lit(0)).alias("max_execution_time_ms"),
-        F.count("execution_time_ms").alias("total_operations"),
-        F.when(rows > 0, F.coalesce(F.sum("memory_usage_mb"), F.lit(0)) / rows)
-        .otherwise(0.0)
-        .alias("avg_memory_usage_mb"),
-        F.coalesce(F.max("memory_usage_mb"), F.lit(0)).alias("peak_memory_usage_mb"),
-        F.when(rows > 0, F.count_if(F.col("outcome") == "Failure") / rows)
-        .otherwise(0.0)
-        .alias("error_rate"),
-    )
+    return _performance_of(df.agg(*_performance_sums()))
 
 
 def _rules() -> list[tuple[str, str, Column]]:
@@ -216,16 +225,14 @@ def _rules() -> list[tuple[str, str, Column]]:
     ]
 
 
-def compliance_violations(df: DataFrame) -> DataFrame:
-    """(rule, severity, violations, last_occurrence) per violated rule.
-
-    One aggregate with a conditional count and maximum per rule: a row never
-    multiplies, and only one row per task is shuffled.
-    """
-    rules = _rules()
+def _rule_sums() -> list[Column]:
     aggs = []
-    for i, (_, _, hit) in enumerate(rules):
+    for i, (_, _, hit) in enumerate(_rules()):
         aggs += [F.count_if(hit).alias(f"n{i}"), F.max(F.when(hit, F.col("timestamp"))).alias(f"t{i}")]
+    return aggs
+
+
+def _violations_of(sums: DataFrame) -> DataFrame:
     rows = F.array(
         *[
             F.struct(
@@ -234,35 +241,42 @@ def compliance_violations(df: DataFrame) -> DataFrame:
                 F.col(f"n{i}").alias("violations"),
                 F.col(f"t{i}").alias("last_occurrence"),
             )
-            for i, (rule, severity, _) in enumerate(rules)
+            for i, (rule, severity, _) in enumerate(_rules())
         ]
     )
-    return df.agg(*aggs).select(F.inline(rows)).filter(F.col("violations") > 0)
+    return sums.select(F.inline(rows)).filter(F.col("violations") > 0)
 
 
-def compliance_score(df: DataFrame) -> DataFrame:
-    """``max(0, 100 * passed / all - penalty per violated rule)``; 100 when empty."""
-    rules = _rules()
-    sums = df.agg(
-        F.count("*").alias("total_checks"),
-        F.count_if(F.col("outcome") == "Failure").alias("failed_checks"),
-        *[F.count_if(hit).alias(f"n{i}") for i, (_, _, hit) in enumerate(rules)],
-    )
+def compliance_violations(df: DataFrame) -> DataFrame:
+    """(rule, severity, violations, last_occurrence) per violated rule.
+
+    One aggregate with a conditional count and maximum per rule: a row never
+    multiplies, and only one row per task is shuffled.
+    """
+    return _violations_of(df.agg(*_rule_sums()))
+
+
+def _score_of(sums: DataFrame) -> DataFrame:
     penalty = sum(
-        (F.when(F.col(f"n{i}") > 0, PENALTY[severity]).otherwise(0.0) for i, (_, severity, _) in enumerate(rules)),
+        (F.when(F.col(f"n{i}") > 0, PENALTY[severity]).otherwise(0.0) for i, (_, severity, _) in enumerate(_rules())),
         F.lit(0.0),
     )
-    passed = F.col("total_checks") - F.col("failed_checks")
+    checks, failed = F.col("rows"), F.col("failed")
     return sums.select(
-        "total_checks",
-        passed.alias("passed_checks"),
-        "failed_checks",
-        F.when(F.col("total_checks") == 0, 100.0)
-        .otherwise(F.greatest(F.lit(0.0), passed / F.col("total_checks") * 100.0 - penalty))
+        checks.alias("total_checks"),
+        (checks - failed).alias("passed_checks"),
+        failed.alias("failed_checks"),
+        F.when(checks == 0, 100.0)
+        .otherwise(F.greatest(F.lit(0.0), (checks - failed) / checks * 100.0 - penalty))
         .alias("compliance_score"),
     )
 
 
+def compliance_score(df: DataFrame) -> DataFrame:
+    """``max(0, 100 * passed / all - penalty per violated rule)``; 100 when empty."""
+    return _score_of(df.agg(*_performance_sums(), *_rule_sums()))
+
+
 def security_highlights(df: DataFrame) -> DataFrame:
     """High and Critical rows per (type, action), most frequent first.
 
@@ -332,16 +346,25 @@ def audit_range(df: DataFrame) -> DataFrame:
 
 
 def audit_report(df: DataFrame, start, end) -> dict[str, DataFrame]:
-    """All report parts for ``[start, end)``; each part scans the pruned period."""
+    """All report parts for ``[start, end)`` from three scans of the pruned period.
+
+    One aggregate holds performance and every rule, one set of grouped counts all tallies; both are small and
+    written once, and the parts are views of them. Highlights count resources of severe rows only.
+    """
     period = audit_filter(df, start=start, end=end)
+    sums = cut_lineage(period.agg(*_performance_sums(), *_rule_sums()))
+    tallies = cut_lineage(counts_by(
+        period, type=F.col("event_type"), outcome=F.col("outcome"), risk=F.col("risk_level"), actor=F.col("actor"), resource=F.col("resource")))
+    kinds = dict(df.dtypes)
+    tally = lambda name: tallies.filter(F.col("dimension") == name).select(F.col("value").cast(kinds[name]).alias(name), "events")
     return {
-        "counts": audit_counts(period),
-        "top_actors": top_n(period, "actor"),
-        "top_resources": top_n(period, "resource"),
+        "counts": tallies.filter(F.col("dimension").isin("type", "outcome", "risk")),
+        "top_actors": top_n_of(tally("actor"), "actor", 10),
+        "top_resources": top_n_of(tally("resource"), "resource", 10),
         "highlights": security_highlights(period),
-        "performance": audit_performance(period),
-        "violations": compliance_violations(period),
-        "score": compliance_score(period),
+        "performance": _performance_of(sums),
+        "violations": _violations_of(sums),
+        "score": _score_of(sums),
     }
 
 

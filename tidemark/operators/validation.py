@@ -132,6 +132,9 @@ def classify_paths(df: DataFrame, path: str = "path") -> DataFrame:
     return df.withColumn("path_class", kind)
 
 
+_JOINT = "\u0001"  # between joined arguments; where an argument holds it, all are looked at one by one
+
+
 def classify_commands(df: DataFrame, command: str = "command", args: str = "args") -> DataFrame:
     """Add ``command_class``: the first failing check, or ``ok``.
 
@@ -151,7 +154,15 @@ def classify_commands(df: DataFrame, command: str = "command", args: str = "args
             .when(x.contains("..") | x.contains("~"), "traversal")
         )
 
-    found = F.try_element_at(F.filter(F.transform(a, argument), lambda v: v.isNotNull()), F.lit(1))
+    # one search in the joined arguments finds the first that fails any check; only that one is classified
+    given = F.filter(a, lambda x: x.isNotNull())
+    joined = F.array_join(given, _JOINT)
+    at = F.regexp_instr(joined, F.lit(rf"{meta}|{word}|{places}|\.\.|~"))
+    before = F.substring(joined, F.lit(1), at - 1)
+    joints = lambda text: F.char_length(text) - F.char_length(F.replace(text, F.lit(_JOINT), F.lit("")))
+    each = F.try_element_at(F.filter(F.transform(a, argument), lambda v: v.isNotNull()), F.lit(1))
+    first = argument(F.try_element_at(given, joints(before) + 1))
+    found = F.when(at == 0, F.lit(None).cast("string")).when(joints(joined) == F.size(given) - 1, first).otherwise(each)
     base = F.lower(file_name(c))
     private = F.exists(
         a, lambda x: x.rlike("^https?://") & x.rlike(_any_of(fv.PRIVATE_HOST_TEXT))
