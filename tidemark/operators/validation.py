@@ -155,14 +155,18 @@ def classify_commands(df: DataFrame, command: str = "command", args: str = "args
         )
 
     # one search in the joined arguments finds the first that fails any check; only that one is classified
-    given = F.filter(a, lambda x: x.isNotNull())
-    joined = F.array_join(given, _JOINT)
-    at = F.regexp_instr(joined, F.lit(rf"{meta}|{word}|{places}|\.\.|~"))
-    before = F.substring(joined, F.lit(1), at - 1)
+    single = "".join(_quote(w) for w in fv.SHELL_METACHARACTERS if len(w) == 1)
+    longer = [w for w in (*fv.SHELL_METACHARACTERS, "..") if len(w) > 1]
+    anything = rf"[{single}~]|{_any_of(longer)}|{word}|{places}"
     joints = lambda text: F.char_length(text) - F.char_length(F.replace(text, F.lit(_JOINT), F.lit("")))
-    each = F.try_element_at(F.filter(F.transform(a, argument), lambda v: v.isNotNull()), F.lit(1))
-    first = argument(F.try_element_at(given, joints(before) + 1))
-    found = F.when(at == 0, F.lit(None).cast("string")).when(joints(joined) == F.size(given) - 1, first).otherwise(each)
+    given = df.withColumn("_given", F.filter(a, lambda x: x.isNotNull())).withColumn("_joined", F.array_join("_given", _JOINT))
+    searched = given.withColumn("_at", F.regexp_instr("_joined", F.lit(anything)))
+    each = F.try_element_at(F.filter(F.transform("_given", argument), lambda v: v.isNotNull()), F.lit(1))
+    place = joints(F.substring("_joined", F.lit(1), F.col("_at") - 1)) + 1
+    suspect = searched.withColumn("_suspect", F.when(F.col("_at") > 0, F.try_element_at("_given", place)))
+    marked = suspect.withColumn("_found", F.when(F.col("_at") == 0, F.lit(None).cast("string")).when(
+        joints(F.col("_joined")) == F.size("_given") - 1, argument(F.col("_suspect"))).otherwise(each))
+    found = F.col("_found")
     base = F.lower(file_name(c))
     private = F.exists(
         a, lambda x: x.rlike("^https?://") & x.rlike(_any_of(fv.PRIVATE_HOST_TEXT))
@@ -176,7 +180,7 @@ def classify_commands(df: DataFrame, command: str = "command", args: str = "args
         .when((base == "git") & remote, "remote_git")
         .otherwise("ok")
     )
-    return df.withColumn("command_class", kind)
+    return marked.withColumn("command_class", kind).drop("_given", "_joined", "_at", "_suspect", "_found")
 
 
 def classify_urls(df: DataFrame, url: str = "url") -> DataFrame:
