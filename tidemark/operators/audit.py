@@ -142,11 +142,14 @@ def top_n_of(counts: DataFrame, column: str, n: int) -> DataFrame:
     return counts.select(column, "events").orderBy(F.desc("events"), F.asc(column)).limit(n)
 
 
+def _outcome_sums() -> list[Column]:
+    return [F.count("*").alias("rows"), F.count_if(F.col("outcome") == "Failure").alias("failed")]
+
+
 def _performance_sums() -> list[Column]:
     return [
-        F.count("*").alias("rows"), F.avg("execution_time_ms").alias("time_avg"), F.max("execution_time_ms").alias("time_max"),
+        *_outcome_sums(), F.avg("execution_time_ms").alias("time_avg"), F.max("execution_time_ms").alias("time_max"),
         F.count("execution_time_ms").alias("timed"), F.sum("memory_usage_mb").alias("memory"), F.max("memory_usage_mb").alias("memory_max"),
-        F.count_if(F.col("outcome") == "Failure").alias("failed"),
     ]
 
 
@@ -274,7 +277,7 @@ def _score_of(sums: DataFrame) -> DataFrame:
 
 def compliance_score(df: DataFrame) -> DataFrame:
     """``max(0, 100 * passed / all - penalty per violated rule)``; 100 when empty."""
-    return _score_of(df.agg(*_performance_sums(), *_rule_sums()))
+    return _score_of(df.agg(*_outcome_sums(), *_rule_sums()))
 
 
 def security_highlights(df: DataFrame) -> DataFrame:
