@@ -176,3 +176,42 @@ def test_batches_deliver_every_row(spark, event_files):
     for own in sizes.values():
         assert sorted(own) == list(range(len(own)))
         assert all(n == 3 for i, n in own.items() if i < len(own) - 1) and own[len(own) - 1] <= 3
+
+
+def test_index_over_micro_batches_and_compaction(spark):
+    """Replaced, emptied and new documents; compacted in between, looked up by part, the newest batch always counts."""
+    from tidemark.functions.embedding import HashEmbedder
+
+    path, sink, ckpt = (fresh_path(spark, n) for n in ("docs", "s", "c"))
+    schema = "doc_id long, text string"
+    files = [[(i, f"first {i} " * 30) for i in range(40)], [(i, f"second {i}") for i in range(0, 40, 3)], [(5, None), (7, ""), (100, "new " * 200)]]
+    state, embedder = {}, HashEmbedder(4)
+
+    def grow(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        st.stream_index(_stream(spark, path, schema), sink, ckpt, embedder, size=50, overlap=0).awaitTermination(120)
+        state.update(dict(rows))
+
+    def check():
+        want = {}
+        for i, t in state.items():
+            for n in range(0, max(len(t), 1), 50) if t is not None else ():
+                want[f"{i}_chunk_{n // 50}"] = t[n : n + 50]
+        assert {r.id: r.content for r in st.read_index(spark, sink).collect()} == want
+        for some in ([5], [7, 12, 100], [999]):
+            got = st.read_index(spark, sink, some)
+            assert {r.id for r in got.collect()} == {k for k in want if int(k.split("_")[0]) in some}
+        plan = st.read_index(spark, sink, [12])._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [part" in plan or "PartitionFilters: [isnotnull(part" in plan
+
+    grow(files[0])
+    grow(files[1])
+    check()
+    assert st.compact_index(spark, sink) == 1
+    check()
+    assert len(st._folders(spark, sink, "batch")) == 0
+    grow(files[2])
+    check()
+    assert st.compact_index(spark, sink) == 2 == st.compact_index(spark, sink)
+    check()
+    assert list(st._folders(spark, f"{sink}/_compacted", "upto")) == [2]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -311,22 +312,95 @@ def stream_batches(
 # --------------------------------------------------------------------- index
 
 
+INDEX_PARTS = 64  # folders of a micro-batch's chunks, by a hash of the document
+
+
+def _part_of(document: Column, parts: int = INDEX_PARTS) -> Column:
+    return F.pmod(F.xxhash64(document.cast("string")), F.lit(parts)).cast("int")
+
+
 def stream_index(
     stream: DataFrame, sink: str, checkpoint: str, embedder: Embedder | None = None, size: int = 1000, overlap: int = 100,
-    metadata: Sequence[str] = (),
+    metadata: Sequence[str] = (), doc: str = "doc_id", **trigger,
 ) -> StreamingQuery:
-    """Chunk, embed and store new documents; a later batch replaces a document whole."""
+    """Chunk, embed and store new documents; a later batch replaces a document whole.
+
+    A micro-batch is a folder, below it one folder for each part of the documents. Every document of the batch also
+    leaves a mark (a row without id and chunk), so one that has no chunks any more, or null text, takes its older
+    chunks away. A repeated micro-batch overwrites its own folder.
+    """
 
     def save(docs: DataFrame, batch: int) -> None:
-        index = build_index(docs, embedder, size, overlap, metadata=metadata)
-        index.write.mode("overwrite").parquet(f"{sink}/batch={batch}")
+        index = build_index(docs, embedder, size, overlap, metadata=metadata, doc=doc)
+        marks = docs.select(F.col(doc).cast("string").alias("document_id")).distinct()
+        rows = index.unionByName(marks, allowMissingColumns=True).withColumn("part", _part_of(F.col("document_id")))
+        rows.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{sink}/batch={batch}")
 
     writer = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _folders(spark: SparkSession, path: str, name: str) -> dict[int, str]:
+    """{number: path} of the finished folders ``name=<number>`` below a path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return {}
+    found = {}
+    for status in files.listStatus(at):
+        folder = status.getPath()
+        key, _, number = folder.getName().partition("=")
+        if key == name and files.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
+            found[int(number)] = folder.toString()
+    return found
+
 
+def _index_rows(spark: SparkSession, sink: str) -> DataFrame:
+    """All rows a reader needs, with ``batch``: the newest compacted folder and the micro-batches after it."""
+    merged = _folders(spark, f"{sink}/_compacted", "upto")
+    last = max(merged, default=-1)
+    parts = [spark.read.parquet(merged[last])] if merged else []
+    parts += [spark.read.parquet(path).withColumn("batch", F.lit(n)) for n, path in sorted(_folders(spark, sink, "batch").items()) if n > last]
+    if not parts:
+        raise FileNotFoundError(f"no index in {sink}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
-def read_index(spark: SparkSession, sink: str) -> DataFrame:
-    """The stored index: of each document only the chunks of its newest batch."""
-    rows = spark.read.parquet(sink)
-    newest = rows.groupBy("document_id").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["document_id", "batch"], "left_semi").drop("batch")
+
+def _newest_of(rows: DataFrame) -> DataFrame:
+    newest = rows.groupBy(F.col("document_id").alias("_of")).agg(F.max("batch").alias("_last"))
+    return rows.join(newest, F.col("document_id").eqNullSafe(F.col("_of")) & (F.col("batch") == F.col("_last")), "left_semi")
+
+
+def read_index(spark: SparkSession, sink: str, documents: Sequence | None = None) -> DataFrame:
+    """The stored index: of each document only the chunks of its newest batch.
+
+    ``documents`` looks up these ids: of every folder only the parts that can hold them are read.
+    """
+    rows = _index_rows(spark, sink)
+    if documents is not None:
+        ids = [str(d) for d in documents]
+        held = spark.createDataFrame([(i,) for i in ids], "id string").select(_part_of(F.col("id")).alias("p")).distinct().collect()
+        rows = rows.filter(F.col("part").isin([r.p for r in held]) & F.col("document_id").isin(ids))
+    return _newest_of(rows).filter("id IS NOT NULL").drop("batch", "part")
+
+
+def compact_index(spark: SparkSession, sink: str) -> int | None:
+    """Merge all finished micro-batches into one folder and drop what it replaces; returns the last batch in it.
+
+    Marks without chunks and replaced documents go. Readers take the newest finished folder, so one that is
+    interrupted does no harm. Not to be run while another compaction of the same index runs.
+    """
+    batches = _folders(spark, sink, "batch")
+    merged = _folders(spark, f"{sink}/_compacted", "upto")
+    last = max(merged, default=-1)
+    new = [n for n in batches if n > last]
+    if new:
+        whole = _newest_of(_index_rows(spark, sink)).filter("id IS NOT NULL")
+        whole.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{sink}/_compacted/upto={max(new)}")
+        last = max(new)
+    for n, path in [*batches.items(), *merged.items()]:
+        if path != merged.get(last) or n != last:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            if n <= last:
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return None if last < 0 else last
