@@ -44,6 +44,15 @@ class HashEmbedder:
         return out
 
 
+def batch_vectors(batches: Iterator[pd.Series], model: Embedder, batch_size: int) -> Iterator[pd.Series]:
+    """Vectors of the texts, ``batch_size`` at a time: a batch of vectors goes on before the next is made."""
+    for texts in batches:
+        for i in range(0, len(texts), batch_size):
+            some = texts.iloc[i : i + batch_size]
+            vectors = model.embed_batch(some.fillna("").tolist())
+            yield pd.Series([vector.astype(np.float32) for vector in vectors], index=some.index, dtype=object)
+
+
 def embed(
     df: DataFrame, embedder: Embedder | None = None, text: str = "content", out: str = "embedding", batch_size: int = 256
 ) -> DataFrame:
@@ -52,11 +61,7 @@ def embed(
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            values = texts.fillna("").tolist()
-            parts = [model.embed_batch(values[i : i + batch_size]) for i in range(0, len(values), batch_size)]
-            rows = [vector.astype(np.float32) for part in parts for vector in part]
-            yield pd.Series(rows, index=texts.index, dtype=object)
+        yield from batch_vectors(batches, model, batch_size)
 
     return df.withColumn(out, run(F.col(text)))
 
