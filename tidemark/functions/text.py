@@ -24,13 +24,15 @@ def chunk_text(df: DataFrame, size: int = 1000, overlap: int = 100, doc: str = "
     last = (F.ceil((n - size) / step) * step).cast("int")
     starts = F.when(n <= size, F.array(F.lit(0))).when(n > size, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step)))
     rest = [c for c in df.columns if c != text]
-    return df.select(*rest, text, F.posexplode(starts).alias("chunk_index", "start_index")).select(
+    # cut before they are rows, so that no chunk carries the whole text
+    chunks = F.transform(starts, lambda at: F.struct(at.alias("start"), F.substring(F.col(text), at + 1, F.lit(size)).alias("content")))
+    return df.select(*rest, F.posexplode(chunks).alias("chunk_index", "_chunk")).select(
         *rest,
         F.concat(F.col(doc).cast("string"), F.lit("_chunk_"), F.col("chunk_index")).alias("chunk_id"),
         "chunk_index",
-        F.substring(F.col(text), F.col("start_index") + 1, F.lit(size)).alias("content"),
-        "start_index",
-        F.least(F.col("start_index") + size, n).alias("end_index"),
+        F.col("_chunk.content").alias("content"),
+        F.col("_chunk.start").alias("start_index"),
+        (F.col("_chunk.start") + F.char_length("_chunk.content")).alias("end_index"),
     )
 
 

@@ -174,14 +174,15 @@ def vector_search(
     fitting = max(1, BLOCK_BYTES // (8 * max(1, *lengths, 1)))
     q_blocks = max(1, math.ceil(sum(lengths.values()) / min(query_rows, fitting)))
     s_blocks = max(1, math.ceil(store.select("id").count() / min(store_rows, fitting)))  # counted before vectors are computed
-    store = store.select("id", "embedding").filter(F.col("embedding").isNotNull())
-    useful = F.size("embedding").isin([n for n in lengths if n is not None])
-    store = store.withColumn("embedding", F.when(useful, F.col("embedding")).otherwise(F.array().cast(dict(store.dtypes)["embedding"])))
+    # null vectors are left out in the blocks: a filter here would be pushed down and compute every vector twice
+    useful = F.col("embedding").isNull() | F.size("embedding").isin([n for n in lengths if n is not None])
+    store = store.select("id", F.when(useful, F.col("embedding")).otherwise(F.array().cast(dict(store.dtypes)["embedding"])).alias("embedding"))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("_s", numbers(s_blocks))
     right = store.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(s_blocks)).cast("int")).withColumn("_q", numbers(q_blocks))
 
     def block(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        s = s[s["embedding"].notna()]
         if not len(q) or not len(s):
             return pd.DataFrame({"query_id": q["query_id"][:0], "id": s["id"][:0], "score": np.empty(0)})
         return _best(q["query_id"].tolist(), q["embedding"].tolist(), s["id"].to_numpy(), s["embedding"].tolist(), k, floor, metric)
