@@ -83,3 +83,15 @@ def test_token_bigrams_against_a_plain_count(spark):
     assert by[0] < by[6]
     assert lm_score.token_cross_entropy_difference(docs, target.limit(0), path).count() == len(texts)
     assert lm_score.token_cross_entropy_difference(docs.limit(0), target, path).count() == 0
+
+
+def test_texts_of_a_chunk_send_a_bigram_once(spark, monkeypatch):
+    """One row for a bigram and chunk goes through the shuffles, however many texts of the chunk have it."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, "the cat sat on the mat") for i in range(100)] + [(100, None)], "doc_id long, text string").coalesce(1)
+    sent = lm_score.bigrams(docs, path, "doc_id", "text").selectExpr("sum(size(grams)) AS grams", "sum(aggregate(counts, 0, (a, n) -> a + n)) AS ids").first()
+    assert (sent.grams, sent.ids) == (6, 600)
+    whole = lm_score.token_cross_entropy_difference(docs, docs.where("doc_id < 3"), path).collect()
+    monkeypatch.setattr(lm_score, "CHUNK_IDS", 30)
+    assert lm_score.bigrams(docs, path, "doc_id", "text").select("chunk").distinct().count() == 34
+    assert sorted(lm_score.token_cross_entropy_difference(docs, docs.where("doc_id < 3"), path).collect()) == sorted(whole)

@@ -116,14 +116,21 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id: str = "doc_
 
 #: Losses of single bigrams are whole numbers of this part of a bit, so that sums do not depend on their order.
 PART = 1 << 20
-#: Bigrams after which a task hands its rows on.
-BATCH = 1 << 17
+#: Ids of a chunk: documents that a task encodes one after the other and that send their bigrams together.
+CHUNK_IDS = 2 << 20
 
 
-def bigrams(docs: DataFrame, tokenizer: str | Callable[[], str], id: str, text: str) -> DataFrame:
-    """(row, doc_id, tokens, grams, counts): the distinct id bigrams of every text, coded as (id before + 1) << 32 | id.
+def _codes(ids):
+    """Bigrams of the ids of a text, coded as (id before + 1) << 32 | id. The first id follows 0."""
+    codes = ids.astype(np.int64)
+    codes[1:] |= (codes[:-1] + 1) << 32
+    return codes
 
-    The first id follows 0.
+
+def bigrams(docs: DataFrame, tokenizer: str | Callable[[], str], id: str, text: str, keep_ids: bool = True) -> DataFrame:
+    """(chunk, doc_id, tokens, id_bytes, ids, grams, counts): the ids of every text, little-endian (null without ``keep_ids``).
+
+    A chunk's last row holds the distinct bigrams of all its texts; those of the other rows are empty.
     """
     kind = dict(docs.dtypes)[id]
 
@@ -131,33 +138,36 @@ def bigrams(docs: DataFrame, tokenizer: str | Callable[[], str], id: str, text:
         import pyarrow as pa
 
         encode, dtype = id_encoder(tokenizer if isinstance(tokenizer, str) else tokenizer())
-
-        def ready(batch, first, tokens, grams, counts):
-            ends = pa.array(np.cumsum([0, *map(len, grams)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (grams, counts)]
-            own = batch.slice(first, len(tokens))
-            return pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(tokens, pa.int64()), *lists], ["row", "doc_id", "tokens", "grams", "counts"])
+        width = np.dtype(dtype).itemsize
+        parts, ids, held = [], [], 0
+
+        def ready():
+            grams, counts = np.unique(np.concatenate([_codes(np.frombuffer(x, dtype)) for x in ids]), return_counts=True)
+            ends = pa.array([0] * len(ids) + [len(grams)], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (grams, counts.astype(np.int32))]
+            row, doc_id = (pa.concat_arrays([p.column(i) for p in parts]) for i in (0, 1))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([row[0].as_py()] * len(ids), pa.int64()), doc_id, pa.array([len(x) // width for x in ids], pa.int64()),
+                 pa.array([width] * len(ids), pa.int32()), pa.array(ids if keep_ids else [None] * len(ids), pa.binary()), *lists],
+                ["chunk", "doc_id", "tokens", "id_bytes", "ids", "grams", "counts"])
 
         for batch in batches:
-            first, held, tokens, grams, counts = 0, 0, [], [], []
-            for value in batch.column(2):
+            first = 0
+            for at, value in enumerate(batch.column(2), 1):
                 with without_collector():
-                    ids = np.frombuffer(encode(value.as_py()), dtype).astype(np.int64)
-                codes = ids.copy()
-                codes[1:] |= (ids[:-1] + 1) << 32
-                found, n = np.unique(codes, return_counts=True)
-                tokens.append(len(ids))
-                grams.append(found)
-                counts.append(n.astype(np.int32))
-                held += len(found)
-                if held >= BATCH:
-                    yield ready(batch, first, tokens, grams, counts)
-                    first, held, tokens, grams, counts = first + len(tokens), 0, [], [], []
-            if tokens:
-                yield ready(batch, first, tokens, grams, counts)
+                    ids.append(encode(value.as_py()))
+                held += len(ids[-1]) // width + 8  # so that empty texts end a chunk too
+                if held >= CHUNK_IDS:
+                    parts.append(batch.slice(first, at - first).select([0, 1]))
+                    yield ready()
+                    first, parts, ids, held = at, [], [], 0
+            if first < batch.num_rows:
+                parts.append(batch.slice(first).select([0, 1]))
+        if ids:
+            yield ready()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("doc_id"), text_or_empty(text).alias("text"))
-    return rows.mapInArrow(run, f"row long, doc_id {kind}, tokens long, grams array<long>, counts array<int>")
+    return rows.mapInArrow(run, f"chunk long, doc_id {kind}, tokens long, id_bytes int, ids binary, grams array<long>, counts array<int>")
 
 
 def _each(coded: DataFrame, *keys: str) -> DataFrame:
@@ -192,18 +202,36 @@ def token_cross_entropy_difference(
     """(doc_id, tokens, target_loss, background_loss, difference) as above, by bigrams of tokenizer ids, in bits per id.
 
     Counts of all bigrams of ``docs`` and ``target`` are Spark tables, combined in each task before the shuffle;
-    they grow with the corpus. Both models are joined to the documents by their bigrams, a row for each distinct
-    bigram of a document, so that no table of counts reaches the driver or travels whole with a task; Spark
-    splits the partitions of frequent bigrams. Null text counts as empty; an empty text has zero losses.
-    Repeated rows count as often as they come. Other columns are not read.
+    they grow with the corpus. Documents meet them chunk by chunk: a row for each distinct bigram of a chunk is
+    joined to both models and goes back to its chunk, where the losses of every document are summed. So no table
+    of counts reaches the driver or travels whole with a task, a bigram has at most one row for each chunk, and a
+    task holds one chunk (about two million ids, or one longer text) at a time. Null text counts as empty; an
+    empty text has zero losses. Repeated rows count as often as they come. Other columns are not read.
     """
     coded = stored(bigrams(docs, tokenizer, id, text), "document-bigrams")
-    aimed = bigrams(target.withColumn("_none", F.lit(0)), tokenizer, "_none", target_text)
+    aimed = bigrams(target.withColumn("_none", F.lit(0)), tokenizer, "_none", target_text, keep_ids=False)
     tables = [_each(c).groupBy("gram").agg(F.sum("n").alias("n")) for c in (coded, aimed)]
-    # the grams of documents grow with the input as the model does: a merge join at every size
-    scored = _each(coded, "row").join(bigram_losses(*tables).hint("merge"), "gram")
-    sums = scored.groupBy("row").agg(F.sum(F.col("n") * F.col("target_part")).alias("t"), F.sum(F.col("n") * F.col("background_part")).alias("b"))
-    per = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.lit(float(PART)) / F.greatest("tokens", F.lit(1))
-    out = coded.select("row", "doc_id", "tokens").join(sums, "row", "left")
-    out = out.select("doc_id", "tokens", per("t").alias("target_loss"), per("b").alias("background_loss"))
+    # the grams of chunks grow with the input as the model does: a merge join at every size
+    known = _each(coded, "chunk").join(bigram_losses(*tables).hint("merge"), "gram")
+    known = known.select(F.col("chunk").alias("of"), "gram", "target_part", "background_part")
+
+    def score(documents, losses):
+        import pyarrow as pa
+
+        doc_id, tokens, width, packed = (documents.column(c).combine_chunks() for c in ("doc_id", "tokens", "id_bytes", "ids"))
+        gram, *parts = (losses.column(c).to_numpy() for c in ("gram", "target_part", "background_part"))
+        order = np.argsort(gram)
+        gram, parts = gram[order], [p[order] for p in parts]
+        dtype = f"<u{width[0].as_py()}"
+        sums = np.zeros((2, len(packed)), np.int64)
+        for row, data in enumerate(packed):
+            place = np.searchsorted(gram, _codes(np.frombuffer(data.as_buffer(), dtype)))
+            sums[:, row] = [p[place].sum() for p in parts]
+        return pa.table([doc_id, tokens, pa.array(sums[0]), pa.array(sums[1])], ["doc_id", "tokens", "t", "b"])
+
+    texts = coded.select("chunk", "doc_id", "tokens", "id_bytes", "ids")
+    kind = dict(texts.dtypes)["doc_id"]
+    sums = texts.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(score, f"doc_id {kind}, tokens long, t long, b long")
+    per = lambda c: F.col(c) / F.lit(float(PART)) / F.greatest("tokens", F.lit(1))
+    out = sums.select("doc_id", "tokens", per("t").alias("target_loss"), per("b").alias("background_loss"))
     return out.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
