@@ -1,5 +1,6 @@
 """Edges the shared tables do not reach, and comparisons with brute force."""
 
+import contextlib
 import datetime as dt
 import math
 import random
@@ -788,3 +789,32 @@ def test_most_frequent_actions(spark):
     assert [(a.action, a.events) for a in audit.audit_summary(df).first().top_actions] == [("a0", 2), ("a1", 2), ("a2", 1), ("a3", 1)]
     empty = audit.audit_range(df.limit(0)).first()
     assert empty.total_events == 0 and empty.top_actions == []
+
+
+def test_a_fold_hands_on_one_batch_for_each_it_gets(spark, monkeypatch):
+    """Many short logs in one batch are not many small batches."""
+    import pyarrow as pa
+
+    df, held = _entries(spark), []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: held.append(run) or self.select("log_id", "id"))
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, run, schema: self.select("log_id", "id"))
+    with contextlib.suppress(Exception):  # the stand-in lacks the new columns
+        audit.build_chain(df, order=("id",))
+    logs = [f"log {i // 2}" if i > 1 else None for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(logs), pa.array(range(2000)), pa.array([f"c{i}" for i in range(2000)])], ["log_id", "id", "content"])
+    out = list(held[0](iter([batch, batch.slice(1999)])))
+    assert [b.num_rows for b in out] == [2000, 1]
+    assert out[0].column(out[0].schema.get_field_index("seq")).to_pylist() == [0, 1] * 1000
+    last = {n: out[1].column(n)[0].as_py() for n in out[1].schema.names}
+    assert last["seq"] == 2 and last["previous_hash"] == out[0].column(out[0].schema.names.index("chain_hash"))[1999].as_py()
+
+
+def test_segments_of_a_null_log(spark):
+    df = _entries(spark, 30).withColumn("log_id", F.when(F.col("id") % 2 == 0, F.lit(7)))
+    chain = audit.build_chain(df)
+    stored = df.join(chain.drop("log_id"), "id").withColumn("action", F.when(F.col("id") == 9, "x").otherwise(F.col("action"))).cache()
+    period = dt.datetime(2000, 1, 1), dt.datetime(2100, 1, 1)
+    want = {r.log_id: tuple(r) for r in audit.verify_period(stored, *period).collect()}
+    got = {r.log_id: tuple(r) for r in audit.verify_period(stored, *period, checkpoints=audit.chain_checkpoints(chain, 3), every=3).collect()}
+    assert got == want and want[7][4] and not want[None][4]
+    assert want[None][1:4] == (15, 4, 11)

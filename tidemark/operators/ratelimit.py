@@ -6,7 +6,6 @@ from bisect import bisect_left
 from collections import deque
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,11 +117,9 @@ def rate_limit(
     ))
     quiet = F.col("_size") <= least
 
-    def step(state: ClientState, rows: pd.DataFrame):
-        out = rows[[client, tie]].copy()
-        out["verdict"] = decide(state, rows["_at"].tolist(), config)
-        return state, out
+    def step(state: ClientState, times: list[int]):
+        return state, (decide(state, times, config),)
 
     schema = f"{client} {kinds[client]}, {tie} {kinds[tie]}, verdict string"
-    busy = ordered_fold(cut.filter(~quiet).drop("_size"), [client, "_episode"], ["_at", tie], ClientState, step, schema)
+    busy = ordered_fold(cut.filter(~quiet).drop("_size"), [client, "_episode"], ["_at", tie], ["_at"], ClientState, step, schema)
     return busy.unionByName(cut.filter(quiet).select(client, tie, F.lit("allowed").alias("verdict")))
