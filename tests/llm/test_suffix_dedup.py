@@ -74,3 +74,48 @@ def test_window_least():
     v = np.random.default_rng(1).integers(0, 1000, 200)
     for w in (1, 2, 3, 5, 8, 27):
         assert S.window_least(v, w).tolist() == [v[i : i + w].min() for i in range(200 - w + 1)]
+
+
+def test_suffix_order_of_wide_symbols():
+    rng = random.Random(5)
+    for top in (1 << 20, 1 << 30, 1 << 45):
+        symbols = [rng.randint(1, top) for _ in range(6)]
+        s = [rng.choice(symbols) for _ in range(200)]
+        assert suffix_order(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def test_merging_suffixes_takes_no_more_steps_for_longer_texts():
+    import sys
+
+    def calls(n):
+        seen = []
+        sys.setprofile(lambda frame, event, arg: seen.append(1) if event in ("call", "c_call") else None)
+        try:
+            suffix_order(np.ones(n, np.int64), 50)
+        finally:
+            sys.setprofile(None)
+        return len(seen)
+
+    assert calls(100_000) <= calls(1000) + 20
+
+
+def test_spans_of_a_bucket_are_merged_together(monkeypatch):
+    import pyarrow as pa
+
+    rng, rows = random.Random(2), []
+    for _ in range(900):
+        rows.append((rng.randint(-20, 20), rng.choice([1, 7]), rng.randint(0, 300), rng.randint(1, 30), rng.choice([0, 0, 1, 2]), rng.randint(0, 99)))
+    doc, tag, start, count, state, anchor = (np.array(c, np.int64) for c in zip(*rows))
+    made = list(S._found(doc, tag, start, count, state, anchor, 1))
+    whole, calls = S.merged, []
+    monkeypatch.setattr(S, "merged", lambda *a: calls.append(1) or whole(*a))
+    got = pa.Table.from_batches(S._gather(iter(made))).to_pylist()
+    assert len(calls) == 1 and len(got) == len({r[:2] for r in rows})
+    for r in got:
+        own = sorted((x for x in rows if x[:2] == (r["doc_id"], r["tag"])), key=lambda x: x[2])
+        sure = [x for x in own if x[4] == 0]
+        spans = whole(np.array([x[2] for x in sure]), np.array([x[2] + x[3] for x in sure]))
+        assert np.frombuffer(r["starts"], "<i8").reshape(-1, 2).tolist() == spans.tolist()
+        open_ = [x for x in own if x[4]]
+        assert len(r["open"]) == len(open_) * sum(S._OPEN)
+        assert S._unpack(r["open"][: 4 * len(open_)], 4).tolist() == [x[2] for x in open_]

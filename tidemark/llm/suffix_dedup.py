@@ -196,14 +196,19 @@ def _gather(batches: Iterator) -> Iterator:
             np.concatenate([_unpack(r[i], w) for r in rows]).astype(np.int64) for i, w in ((1, 8), (2, 4), (3, 4), (4, 4), (5, 1), (6, 8)))
         order = np.lexsort((start, tag, doc))
         doc, tag, start, count, state, anchor = (x[order] for x in (doc, tag, start, count, state, anchor))
-        cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]), [True]]))
-        out = []
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            sure = state[a:b] == 0
-            spans = merged(start[a:b][sure], (start + count)[a:b][sure])
-            todo = b"".join(_pack(x[a:b][~sure], w) for x, w in zip((start, count, state, anchor), _OPEN))
-            out.append((int(doc[a]), int(tag[a]), spans.astype("<i8").tobytes(), todo))
-        yield _batch(_PER_DOC, out)
+        fresh = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
+        cut = np.flatnonzero(fresh)
+        # all documents at once, each on a stretch of its own
+        own, sure = np.cumsum(fresh) - 1, state == 0
+        stretch = int((start + count).max()) + 1
+        spans = merged((start + own * stretch)[sure], (start + count + own * stretch)[sure])
+        of = spans[:, 0] // stretch
+        parts = [np.searchsorted(of, np.arange(len(cut) + 1)).tolist(), np.searchsorted(own[~sure], np.arange(len(cut) + 1)).tolist()]
+        starts = (spans - of[:, None] * stretch).astype("<i8").tobytes()
+        todo = [(_pack(x[~sure], w), w) for x, w in zip((start, count, state, anchor), _OPEN)]
+        yield _batch(_PER_DOC, [
+            (d, t, starts[16 * a : 16 * b], b"".join(x[w * c : w * e] for x, w in todo))
+            for d, t, a, b, c, e in zip(doc[cut].tolist(), tag[cut].tolist(), parts[0], parts[0][1:], parts[1], parts[1][1:])])
 
     yield from _by_bucket(batches, solve)
 
@@ -251,15 +256,16 @@ def repeated_strings(texts: bytes, begins, counts, docs, length: int):
     """Step 3, sorting: for the concatenated texts, each ``counts + length - 1`` bytes, the places whose string
     of ``length`` bytes also starts in a text of a smaller document."""
     size = counts + (length - 1)
-    symbols = np.zeros(len(texts) + len(begins), np.int64)  # one 1 after each text parts it from the next
-    owner = np.repeat(np.arange(len(begins)), size)
-    symbols[np.arange(len(texts)) + owner] = np.frombuffer(texts, np.uint8).astype(np.int64) + 2
-    symbols[begins + size + np.arange(len(begins))] = 1
+    total = len(texts) + len(begins)  # one 1 after each text parts it from the next
+    kind = np.int32 if total < 1 << 31 else np.int64
+    text_at = np.repeat(np.arange(len(begins), dtype=kind), size + 1)
+    place = np.arange(total, dtype=kind) - np.repeat((begins + np.arange(len(begins))).astype(kind), size + 1)
+    symbols = np.ones(total, np.uint16)
+    symbols[place < size[text_at]] = np.frombuffer(texts, np.uint8).astype(np.uint16) + 2
     order = suffix_order(symbols, length)
-    text_at = np.repeat(np.arange(len(begins)), size + 1)
-    place = np.arange(len(symbols)) - (begins + np.arange(len(begins)))[text_at]
     real = order[place[order] < counts[text_at[order]]]  # suffixes with a whole string in their own text
-    narrow = np.concatenate([symbols.astype(np.uint16).view(np.uint8), np.zeros(8, np.uint8)]).tobytes()
+    del order
+    narrow = np.concatenate([symbols.view(np.uint8), np.zeros(8, np.uint8)]).tobytes()
     words = np.ndarray((len(symbols),), "<u8", narrow, strides=(2,))  # four symbols each
     same = np.ones(max(0, len(real) - 1), bool)
     for k in [*range(0, length - 3, 4), length - 4]:
