@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -22,6 +23,42 @@ def test_encoder_equals_the_library():
         assert np.frombuffer(encode(text), dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_columns_equal_the_library():
+    """Every kind of white space, special tokens in gaps, letters in and out of the quick set, slices of a column."""
+    encode, dtype = tokens.id_encoder(PATH)
+    library, rng, stop = Tokenizer.from_file(PATH), random.Random(2), np.array([7], "<u2").tobytes()
+    more = [*PIECES, " ", " ", "\n", ".\nThe", "été", "Ж", "ÿ.", "µ", "ͿՀ", "क", "\x0b", "\x1c", "\x85", "\xa0", "\u2028", "\u3000", "  <|endoftext|>", "!!!", "...x"]
+    texts = ["", " ", "\n", *("".join(rng.choice(more) for _ in range(rng.randint(0, 14))) for _ in range(6000))]
+    want = [[*library.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+    column = pa.array(["left out", *texts])[1:]
+    for size in (1 << 10, 1 << 25):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(tokens, "SLICE_BYTES", size)
+            got = [np.frombuffer(x, dtype).tolist() for part in tokens.encode_column(encode, column, stop) for x in part.to_pylist()]
+        assert got == want
+    assert [np.frombuffer(encode(t), dtype).tolist() for t in texts] == [w[:-1] for w in want]
+
+
+def test_a_word_goes_to_the_tokenizer_once():
+    """Also with signs, and beside a line break, whose two words used to be cut and merged again with each neighbour."""
+    model, asked = Tokenizer.from_file(PATH).model, []
+
+    def merge(written):
+        asked.append(written)
+        return model.tokenize(written)
+
+    def ids_of(written):
+        return np.array([t.id for t in merge(written)], "<u2").tobytes()
+
+    encode = tokens.BlankEncoder(lambda text: pytest.fail(text), ids_of, merge, "<u2", [])
+    library = Tokenizer.from_file(PATH)
+    texts = [f"Start {a}{b} {b}.\n{a}, {a}" for a in ("alpha", "béta", "gamma") for b in ("delta", "zêta", "eta")]
+    for _ in range(2):
+        got = [x for part in tokens.encode_column(encode, pa.array(texts), b"") for x in part.to_pylist()]
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == [library.encode(t).ids for t in texts]
+    assert len(asked) == len(set(asked)) == 2 + 9 + 3 + 3 + 3 + len(".\n,")  # Start in two ways, pairs, b, a after a line break, a
+
+
 def test_other_files_are_encoded_whole():
     path = public_tokenizers.path("word_bpe_49k.json")
     encode, dtype = tokens.id_encoder(path)

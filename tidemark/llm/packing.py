@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, text_or_empty
-from tidemark.llm.tokens import id_encoder, without_collector
+from tidemark.llm.tokens import encode_column, id_encoder
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -104,15 +104,17 @@ def encode_documents(docs: DataFrame, tokenizer: str | Callable[[], str], end_id
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         encode, dtype = id_encoder(tokenizer if isinstance(tokenizer, str) else tokenizer())
         stop = np.array([end_id], dtype).tobytes()
         for batch in batches:
-            with without_collector():
-                ids = [encode(t.as_py()) + stop for t in batch.column(1)]
-            counts = pa.array([len(x) // len(stop) for x in ids], pa.int64())
-            width = pa.array([len(stop)] * len(ids), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, width, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "id_bytes", "ids"])
+            at = 0
+            for ids in encode_column(encode, batch.column(1), stop):
+                counts = pc.divide(pc.cast(pc.binary_length(ids), pa.int64()), len(stop))
+                width = pa.array(np.full(len(ids), len(stop), np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), counts, width, ids], ["doc_id", "n_tokens", "id_bytes", "ids"])
+                at += len(ids)
 
     rows = docs.select(F.col(id).alias("doc_id"), text_or_empty(text).alias("text"))
     return stored(rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, id_bytes int, ids binary"), "token-ids")
