@@ -30,6 +30,29 @@ def test_bm25_scores_follow_the_formula():
             assert math.isclose(index.scores(q)[d], want, abs_tol=1e-4)
 
 
+def test_document_frequencies_come_with_the_ids(spark):
+    """One count per document and id, whatever the batches and tasks; a null id is a document like any other."""
+    rng = random.Random(8)
+    rows = [(i if i % 9 else None, " ".join(rng.choice(["word", "the", "Zeile,", "x\ny", "été"]) for _ in range(rng.randint(0, 9)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    encoded, frequencies = packing.encode_documents(docs, PATH, 1)
+    library, want = Tokenizer.from_file(PATH), defaultdict(int)
+    for _, text in rows:
+        for token in {*library.encode(text).ids, 1}:
+            want[token] += 1
+    assert {r.token: r.documents for r in frequencies.collect()} == want
+    assert encoded.count() == 300 and encoded.columns == ["doc_id", "n_tokens", "id_bytes", "ids"]
+
+
+def test_bm25_of_many_short_documents():
+    """More documents than 16 bits count."""
+    docs = [np.array([d % 7, 8], "<u2") for d in range(1 << 16)] + [np.array([9, 9], "<u2")]
+    index = packing.Bm25Shard(docs, np.arange(10.0), 2.0)
+    scores = index.scores(1 << 16)
+    assert np.flatnonzero(scores).tolist() == [1 << 16] and math.isclose(scores[-1], 9 * 2 * 2.2 / (2 + 1.2), rel_tol=1e-5)
+    assert math.isclose(index.scores(3)[10], 3 + 8, rel_tol=1e-5)
+
+
 def test_neighbours_fill_a_window_by_score():
     order = {0: [0, 1, 5, 3], 2: [9, 9, 9, 9], 3: [0, 0, 0, 0], 1: [0, 0, 0, 0]}
     pieces = list(packing.pack_shard([4, 3, 5, 4], lambda d: np.array(order[d], float), 10))

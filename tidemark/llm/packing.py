@@ -19,11 +19,14 @@ class Bm25Shard:
     def __init__(self, documents: list, idf, mean_length: float, k1: float = 1.2, b: float = 0.75):
         import numpy as np
 
-        found = [np.unique(d, return_counts=True) for d in documents]
-        sizes = np.array([len(t) for t, _ in found], np.int64)
-        terms = np.concatenate([t for t, _ in found]).astype(np.int64)
-        tf = np.concatenate([c for _, c in found]).astype(np.float64)
-        doc = np.repeat(np.arange(len(documents)), sizes)
+        ids = np.concatenate(documents)
+        bits, kind = (16, np.uint32) if max(len(documents), int(ids.max()) + 1) <= 1 << 16 else (32, np.uint64)
+        keys = np.repeat(np.arange(len(documents), dtype=kind) << kind(bits), [len(d) for d in documents]) | ids.astype(kind)
+        keys.sort()
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        tf = np.diff(np.append(first, len(keys))).astype(np.float64)
+        terms, doc = (keys[first] & kind((1 << bits) - 1)).astype(np.int64), (keys[first] >> kind(bits)).astype(np.int64)
+        sizes = np.bincount(doc, minlength=len(documents))
         norm = k1 * (1 - b + b * np.array([len(d) for d in documents], np.float64) / mean_length)
         order = np.argsort(terms, kind="stable")
         doc_of, weight = doc[order].astype(np.int32), (idf[terms] * tf * (k1 + 1) / (tf + norm[doc]))[order].astype(np.float32)
@@ -97,8 +100,31 @@ def pack_shard(lengths: list[int], scores: Callable, window: int) -> Iterator[tu
         sequence += 1
 
 
-def encode_documents(docs: DataFrame, tokenizer: str | Callable[[], str], end_id: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): whole texts as little-endian ids with ``end_id`` after them, stored."""
+def count_documents(total, ids, dtype: str):
+    """``total`` and the number of Arrow binaries of ids that hold each id."""
+    import numpy as np
+
+    _, offsets, data = ids.buffers()
+    bounds = np.frombuffer(offsets, np.int32, len(ids) + 1, 4 * ids.offset) // np.dtype(dtype).itemsize
+    values = np.frombuffer(data, dtype, bounds[-1])
+    size = 1 + int(values[bounds[0] :].max(initial=0))
+    if size > len(total):
+        total = np.concatenate([total, np.zeros(size - len(total), np.int64)])
+    found = np.empty((64, size), bool)
+    for at in range(0, len(ids), len(found)):
+        found[:] = False
+        for row, i in enumerate(range(at, min(at + len(found), len(ids)))):
+            found[row, values[bounds[i] : bounds[i + 1]]] = True
+        total[:size] += found.sum(axis=0, dtype=np.uint8)
+    return total
+
+
+def encode_documents(
+    docs: DataFrame, tokenizer: str | Callable[[], str], end_id: int, id: str = "doc_id", text: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_tokens, id_bytes, ids): whole texts as little-endian ids with ``end_id`` after them, stored; and
+    (token, documents) over all documents, for which a task adds a row of at most one count per id of the vocabulary.
+    """
     kind = dict(docs.dtypes)[id]
 
     def run(batches: Iterator) -> Iterator:
@@ -107,38 +133,29 @@ def encode_documents(docs: DataFrame, tokenizer: str | Callable[[], str], end_id
         import pyarrow.compute as pc
 
         encode, dtype = id_encoder(tokenizer if isinstance(tokenizer, str) else tokenizer())
-        stop = np.array([end_id], dtype).tobytes()
+        stop, total = np.array([end_id], dtype).tobytes(), np.zeros(0, np.int64)
+        names, counted = ["doc_id", "n_tokens", "id_bytes", "ids", "tokens", "documents"], pa.list_(pa.int64())
         for batch in batches:
-            at = 0
+            key_type, at = batch.schema.field(0).type, 0
             for ids in encode_column(encode, batch.column(1), stop):
+                total = count_documents(total, ids, dtype)
                 counts = pc.divide(pc.cast(pc.binary_length(ids), pa.int64()), len(stop))
                 width = pa.array(np.full(len(ids), len(stop), np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), counts, width, ids], ["doc_id", "n_tokens", "id_bytes", "ids"])
+                none = pa.nulls(len(ids), counted)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), counts, width, ids, none, none], names)
                 at += len(ids)
+        if len(total):
+            seen = np.flatnonzero(total)
+            types = [key_type, pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.nulls(1, t) for t in types], *[pa.array([x], counted) for x in (seen, total[seen])]], names)
 
     rows = docs.select(F.col(id).alias("doc_id"), text_or_empty(text).alias("text"))
-    return stored(rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, id_bytes int, ids binary"), "token-ids")
-
-
-def document_frequencies(encoded: DataFrame) -> DataFrame:
-    """(token, documents) over all documents; a task sends at most one row per id of the vocabulary."""
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for ids, width in zip(batch.column(0), batch.column(1).to_pylist()):
-                terms = np.unique(np.frombuffer(ids.as_buffer(), f"<u{width}"))
-                if len(terms) and terms[-1] >= len(total):
-                    total = np.concatenate([total, np.zeros(int(terms[-1]) + 1 - len(total), np.int64)])
-                total[terms] += 1
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["token", "documents"])
-
-    counted = encoded.select("ids", "id_bytes").mapInArrow(run, "token long, documents long")
-    return counted.groupBy("token").agg(F.sum("documents").alias("documents"))
+    table = stored(rows.mapInArrow(
+        run, f"doc_id {kind}, n_tokens long, id_bytes int, ids binary, tokens array<long>, documents array<long>"), "token-ids")
+    each = table.where("n_tokens IS NULL").select(F.explode(F.arrays_zip("tokens", "documents")).alias("c")).select("c.*")
+    frequencies = each.withColumnRenamed("tokens", "token").groupBy("token").agg(F.sum("documents").alias("documents"))
+    return table.where("n_tokens IS NOT NULL").drop("tokens", "documents"), frequencies
 
 
 def pack_documents(
@@ -156,9 +173,9 @@ def pack_documents(
     Null text counts as empty and is packed as ``end_id`` alone. Ties of score go to the smaller place in
     (id, ids) order. Repeated rows are packed once each. Other columns are not read. No rows, no pieces.
     """
-    encoded = encode_documents(docs, tokenizer, end_id, id, text)
+    encoded, frequencies = encode_documents(docs, tokenizer, end_id, id, text)
     rows, tokens = encoded.agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
-    frequencies = document_frequencies(encoded).collect()  # bounded by the vocabulary
+    frequencies = frequencies.collect()  # bounded by the vocabulary
     shards, mean = max(1, -(-rows // shard_documents)), (tokens or 0) / max(1, rows)
     size = 1 + max((r.token for r in frequencies), default=0)
     kind = dict(encoded.dtypes)["doc_id"]
