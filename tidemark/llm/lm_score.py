@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, text_or_empty
-from tidemark.llm.tokens import id_encoder, without_collector
+from tidemark.llm.tokens import encode_column, id_encoder
 
 #: Models of ``cross_entropy_difference`` are trigrams over UTF-8 bytes: any text is covered, and a table has at most 256 ** 3 counts.
 SYMBOLS = 256
@@ -153,9 +153,9 @@ def bigrams(docs: DataFrame, tokenizer: str | Callable[[], str], id: str, text:
 
         for batch in batches:
             first = 0
-            for at, value in enumerate(batch.column(2), 1):
-                with without_collector():
-                    ids.append(encode(value.as_py()))
+            encoded = (own for part in encode_column(encode, batch.column(2), b"") for own in part.to_pylist())
+            for at, own in enumerate(encoded, 1):
+                ids.append(own)
                 held += len(ids[-1]) // width + 8  # so that empty texts end a chunk too
                 if held >= CHUNK_IDS:
                     parts.append(batch.slice(first, at - first).select([0, 1]))

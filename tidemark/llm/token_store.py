@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import fresh_path, stored, text_or_empty
-from tidemark.llm.tokens import id_encoder, without_collector
+from tidemark.llm.tokens import encode_column, id_encoder
 
 MAGIC, VERSION, HEAD, SAMPLE = b"TMKT", 1, "<4sHHQQII", 512
 
@@ -140,8 +140,7 @@ def write_store(
 
         for batch in batches:
             key_type = batch.schema.field(0).type
-            with without_collector():
-                encoded = [encode(value.as_py()) + stop for value in batch.column(1)]
+            encoded = (own for part in encode_column(encode, batch.column(1), stop) for own in part.to_pylist())
             for key, own in zip(batch.column(0).to_pylist(), encoded):
                 keys.append(key)
                 parts.append(own)
